@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from vigil.llm import tokens
+from vigil.llm import packing, quality, tokens
 
 QUERIES = {
+    "op2_quality": quality.op2_quality,
     "op7_token_counts": tokens.op7_token_counts,
+    "op9_pack": packing.op9_pack,
 }
 
 #: SQL for those that SQL can express.
