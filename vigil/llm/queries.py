@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from vigil.llm import packing, pii, quality, simhash, tokens
+from vigil.llm import ann, packing, pii, quality, simhash, tokens
 
 QUERIES = {
     "op2_quality": quality.op2_quality,
     "op5_simhash": simhash.op5_simhash,
     "op6_pii": pii.op6_pii,
     "op7_token_counts": tokens.op7_token_counts,
+    "op8_neighbours": ann.op8_neighbours,
     "op9_pack": packing.op9_pack,
 }
 
