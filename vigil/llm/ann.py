@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from vigil.llm.common import cut, read
+from vigil.llm.common import cut, read, sample_ids
 
 #: Bound of the sample the index is fitted on (rows with the smallest hashes of their ids), and of its lists.
 SAMPLE_ROWS = 20_000
@@ -140,7 +140,8 @@ def nearest(vectors: DataFrame, queries: Column, id_col: str = "vec_id", vector_
         return spark.createDataFrame([], schema)
     dims, total = common["dims"], common["count"]
     rows = whole.where(F.size("v") == dims)
-    sample = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE_ROWS).select("v").toArrow().column(0).combine_chunks()
+    chosen = rows.join(F.broadcast(sample_ids(rows, "id", SAMPLE_ROWS)), "id", "left_semi").limit(SAMPLE_ROWS)
+    sample = chosen.orderBy("id").select("v").toArrow().column(0).combine_chunks()
     index = fit_index(np.asarray(sample.flatten()).reshape(-1, dims), total, k)
 
     def matrix(column) -> np.ndarray:

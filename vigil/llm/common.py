@@ -14,6 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that a vectorised step works on at once; a longer text is a slice of its own.
 SLICE_BYTES = 2_000_000
@@ -123,3 +124,13 @@ def gram_hashes(words: np.ndarray, k: int) -> np.ndarray:
     for j in range(1, k):
         out = out * np.uint64(0xD6E8FEB86659FD93) + words[j : j + n]
     return mix(out)
+
+
+def sample_ids(df: DataFrame, id_col: str, n: int) -> DataFrame:
+    """At most n distinct ids, those with the smallest hashes; a threshold on the hash keeps what is sorted near n rows."""
+    ids = df.where(F.col(id_col).isNotNull()).select(id_col)
+    share = 2 * n / max(1, ids.count())
+    order = F.xxhash64(id_col)
+    if share < 0.5:
+        ids = ids.where(F.shiftrightunsigned(order, 33) < int(share * 2**31))
+    return ids.distinct().orderBy(order, id_col).limit(n)

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vigil.llm.common import read, span_hashes, text_slices, word_bounds
+from vigil.llm.common import read, sample_ids, span_hashes, text_slices, word_bounds
 
 #: Bounds of the training sample (documents with the smallest hashes of their ids): trusted positives, unlabelled documents.
 MAX_POSITIVES = 6000
@@ -138,8 +138,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, max_positives: int = MAX_POS
     Trusted positives: documents whose label is 1, unlabelled: any documents, both outside fold 0. Null labels and ids are no
     positives; an id that is labelled both ways counts as labelled 1.
     """
-    order = F.xxhash64("doc_id")
-    open_ids = lambda df, n: df.where(fold() != 0).select("doc_id").distinct().orderBy(order, "doc_id").limit(n)
+    open_ids = lambda df, n: sample_ids(df.where(fold() != 0), "doc_id", n)
     chosen = open_ids(labels.where("quality = 1"), max_positives).withColumn("kind", F.lit(1)).union(open_ids(docs, max_unlabelled).withColumn("kind", F.lit(0)))
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("kind", "text")
 

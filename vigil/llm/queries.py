@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from vigil.llm import ann, packing, pii, quality, simhash, tokens
+from vigil.llm import ann, media, packing, pii, quality, simhash, tokens
 
 QUERIES = {
     "op2_quality": quality.op2_quality,
+    "op3_media": media.op3_media,
     "op5_simhash": simhash.op5_simhash,
     "op6_pii": pii.op6_pii,
     "op7_token_counts": tokens.op7_token_counts,
