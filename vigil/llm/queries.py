@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from vigil.llm import ann, media, packing, pii, quality, simhash, tokens
+from vigil.llm import ann, media, packing, pii, quality, secrets, simhash, tokens
 
 QUERIES = {
     "op2_quality": quality.op2_quality,
@@ -12,6 +12,7 @@ QUERIES = {
     "op7_token_counts": tokens.op7_token_counts,
     "op8_neighbours": ann.op8_neighbours,
     "op9_pack": packing.op9_pack,
+    "op10_secrets": secrets.op10_secrets,
 }
 
 #: SQL for those that SQL can express.
