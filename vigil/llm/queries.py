@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from vigil.llm import ann, media, packing, pii, quality, secrets, simhash, tokens
+from vigil.llm import ann, media, packing, pieces, pii, quality, secrets, simhash, tokens
 
 QUERIES = {
+    "op1_sentencepiece": pieces.op1_sentencepiece,
     "op2_quality": quality.op2_quality,
     "op3_media": media.op3_media,
     "op5_simhash": simhash.op5_simhash,
