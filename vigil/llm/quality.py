@@ -24,7 +24,7 @@ MAX_UNLABELLED = 10000
 BIGRAMS = 1024
 STATS = 8
 #: Standardised features are scaled so that a row has about this length.
-SPREAD = 8
+SPREAD = 20
 WIDTH = 256 + BIGRAMS + STATS
 
 _KIND = np.zeros(256, np.uint8)
@@ -73,7 +73,7 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit_risk(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 400, rate: float = 0.05, decay: float = 1e-5) -> np.ndarray:
+def fit_risk(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 700, rate: float = 0.05, decay: float = 1e-5) -> np.ndarray:
     """Weights and bias that minimise prior * R_p(+1) + max(0, R_u(-1) - prior * R_p(-1)) with the logistic loss, by Adam.
     Where the second term is negative its gradient is turned round, as the non-negative estimator asks."""
     w = np.zeros(positive.shape[1] + 1, np.float32)
@@ -92,9 +92,9 @@ def fit_risk(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps:
 
 
 def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
-    """The share of positives among the unlabelled: the least ratio of tail masses over score thresholds that keep at least a
-    tenth of the positives, each ratio raised by a standard error."""
-    cuts = np.quantile(positive, np.linspace(0, 0.9, 91))
+    """The share of positives among the unlabelled: the least ratio of tail masses over score thresholds that keep at least
+    half of the positives, each ratio raised by a standard error."""
+    cuts = np.quantile(positive, np.linspace(0, 0.5, 51))
     p = np.array([(positive >= c).mean() for c in cuts])
     u = np.array([(unlabelled >= c).mean() for c in cuts])
     error = np.sqrt(u * (1 - u) / len(unlabelled)) + np.sqrt(p * (1 - p) / len(positive))

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from vigil.llm import ann, media, packing, pieces, pii, quality, secrets, simhash, tokens
+from vigil.llm import ann, media, packing, pieces, pii, quality, secrets, simhash, substrings, tokens
 
 QUERIES = {
     "op1_sentencepiece": pieces.op1_sentencepiece,
     "op2_quality": quality.op2_quality,
     "op3_media": media.op3_media,
+    "op4_substrings": substrings.op4_substrings,
     "op5_simhash": simhash.op5_simhash,
     "op6_pii": pii.op6_pii,
     "op7_token_counts": tokens.op7_token_counts,

@@ -221,3 +221,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one document of each component, the one of the smallest id, whole and with all its columns. Of repeated rows of
+    that id one stays. Rows with a null id can't stand for a component and all stay."""
+    groups = near_duplicates(docs, id_col, text_col)
+    chosen = cut(groups.where(F.col(id_col) == F.col("component_id")).select(id_col).distinct())
+    kept = docs.join(chosen, id_col, "left_semi").dropDuplicates([id_col])
+    return kept.unionByName(docs.where(F.col(id_col).isNull())).select(*docs.columns)
