@@ -51,7 +51,7 @@ def embed(rows: DataFrame, text: str, dims: int = 384, vector: str = "embedding"
     from pyspark.ml.functions import vector_to_array
 
     named = rows.withColumn("__text", F.coalesce(F.col(text), F.lit("")))
-    steps = [Tokenizer(inputCol="__text", outputCol="__words"), HashingTF(dims, inputCol="__words", outputCol="__tf"), IDF(inputCol="__tf", outputCol="__idf"), Normalizer(inputCol="__idf", outputCol="__unit")]
+    steps = [Tokenizer(inputCol="__text", outputCol="__words"), HashingTF(numFeatures=dims, inputCol="__words", outputCol="__tf"), IDF(inputCol="__tf", outputCol="__idf"), Normalizer(inputCol="__idf", outputCol="__unit")]
     out = Pipeline(stages=steps).fit(named).transform(named)
     return out.withColumn(vector, vector_to_array("__unit", "float32")).drop("__text", "__words", "__tf", "__idf", "__unit")
 

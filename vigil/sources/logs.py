@@ -15,6 +15,7 @@ _STAMP = r"^(\w+)\s+(\d+)\s+(\S+).*"
 SSH_FAILED = _STAMP + r"Failed (?:password|publickey) for (?:invalid user )?(\S+) from ([0-9a-fA-F:.]+) port (\d+)"
 SSH_ACCEPTED = _STAMP + r"Accepted (?:password|publickey) for (\S+) from ([0-9a-fA-F:.]+) port (\d+)"
 SSH_CONNECTION = _STAMP + r"Connection from ([0-9a-fA-F:.]+) port (\d+)"
+_MARK = "\x01"
 WEB_LINE = r'^(\S+) \S+ \S+ \[([^\]]+)\] "([A-Z]+) (\S+)[^"]*" (\d{3})'
 SYSLOG_HEAD = r"^\w{3}\s+\d+\s+\d{2}:\d{2}:\d{2}"
 
@@ -38,23 +39,18 @@ def parse_ssh(lines: DataFrame, year: int | None = None) -> DataFrame:
     """
     year = year or datetime.now(UTC).year
     line = F.col("value")
-    kinds = {"failed_login": (SSH_FAILED, 4, 5, 6), "successful_login": (SSH_ACCEPTED, 4, 5, 6), "connection": (SSH_CONNECTION, None, 4, 5)}
-    kind = F.coalesce(*(F.when(F.rlike(line, F.lit(p)), name) for name, (p, *_) in kinds.items()))
-
-    def part(k: int) -> Column:
-        """A group of the pattern that matched: 0 to 2 for the time, 3 user, 4 address, 5 port."""
-        out = F.lit(None).cast("string")
-        for name, (p, user, ip, port) in kinds.items():
-            group = (1, 2, 3, user, ip, port)[k]
-            if group is not None:
-                out = F.when(F.col("event_type") == name, F.regexp_extract(line, p, group)).otherwise(out)
-        return out
-
-    stamp = F.concat_ws(" ", F.lit(str(year)), F.substring(part(0), 1, 3), part(1), part(2))
-    found = lines.withColumn("event_type", kind).where("event_type is not null")
-    return found.select(
-        F.lit("ssh").alias("log_type"), "event_type", F.try_to_timestamp(stamp, F.lit("yyyy MMM d HH:mm:ss")).alias("event_time"), part(4).alias("source_ip"), part(3).alias("username"),
-        part(5).try_cast("int").alias("port"), line.alias("raw_line"), F.lit(0).alias("tz_offset_s"), _file(lines).alias("source_file"), F.lit(None).cast("string").alias("hostname"),
+
+    def parts(kind: str, pattern: str, user: str, ip: str, port: str) -> Column:
+        """Kind, month, day, time, user, address and port of a line, by one replacement; null if it doesn't match."""
+        fields = _MARK.join((kind, "$1", "$2", "$3", user, ip, port))
+        return F.when(F.rlike(line, F.lit(pattern)), F.split(F.regexp_replace(line, F.lit(pattern + "(?s:.*)$"), F.lit(fields)), _MARK, -1))
+
+    found = F.coalesce(parts("failed_login", SSH_FAILED, "$4", "$5", "$6"), parts("successful_login", SSH_ACCEPTED, "$4", "$5", "$6"), parts("connection", SSH_CONNECTION, "", "$4", "$5"))
+    p = lambda k: F.get("__p", k)
+    stamp = F.concat_ws(" ", F.lit(str(year)), F.substring(p(1), 1, 3), p(2), p(3))
+    return lines.withColumn("__p", found).where(F.size("__p") == 7).select(
+        F.lit("ssh").alias("log_type"), p(0).alias("event_type"), F.try_to_timestamp(stamp, F.lit("yyyy MMM d HH:mm:ss")).alias("event_time"), p(5).alias("source_ip"), F.nullif(p(4), F.lit("")).alias("username"),
+        p(6).try_cast("int").alias("port"), line.alias("raw_line"), F.lit(0).alias("tz_offset_s"), _file(lines).alias("source_file"), F.lit(None).cast("string").alias("hostname"),
     ).where("event_time is not null")
 
 
