@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that a vectorised step works on at once; a longer text is a slice of its own.
 SLICE_BYTES = 2_000_000
+SLICE_ROWS = 2_000
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -26,6 +27,7 @@ _rng = np.random.default_rng(20240607)
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _R = 0x9E3779B97F4A7C15
 _POWERS: dict[str, np.ndarray] = {}
+_OWN_DIRS: dict[str, str] = {}
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -33,11 +35,14 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: the session's spark.checkpoint.dir; only where that is unset a new temporary one is set."""
+    """The folder all executors share: the session's spark.checkpoint.dir. Only where that is unset, as in local tests, a temporary
+    folder is made, one for each application."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        app = spark.sparkContext.applicationId
+        if app not in _OWN_DIRS:
+            _OWN_DIRS[app] = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
+        found = _OWN_DIRS[app]
     return found.rstrip("/")
 
 
@@ -50,7 +55,8 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def text_slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Cut an Arrow string column into runs of rows of about limit bytes: first row, end row, UTF-8 bytes, offsets."""
+    """Cut an Arrow string column into runs of rows of about limit bytes (SLICE_ROWS rows at most): first row, end row, UTF-8
+    bytes, offsets."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
     texts = texts.cast(pa.large_string()).fill_null("")
@@ -63,7 +69,7 @@ def text_slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int
     first = 0
     while first < n:
         end = int(np.searchsorted(offsets, offsets[first] + limit, "right")) - 1
-        end = min(n, max(end, first + 1))
+        end = min(n, max(end, first + 1), first + SLICE_ROWS)
         yield first, end, data[offsets[first] : offsets[end]], offsets[first : end + 1] - offsets[first]
         first = end
 

@@ -17,5 +17,13 @@ QUERIES = {
     "op10_secrets": secrets.op10_secrets,
 }
 
-#: SQL for those that SQL can express.
-ORACLES: dict[str, str] = {}
+#: SQL for those that SQL can express on whole tables.
+ORACLES: dict[str, str] = {
+    "op4_substrings": r"""WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+ t AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM w),
+ g AS (SELECT doc_id, i, word, string_agg(word, ' ') OVER nxt AS g, count(*) OVER nxt AS c FROM t WINDOW nxt AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING)),
+ r AS (SELECT doc_id, i, row_number() OVER (PARTITION BY g ORDER BY doc_id, i) AS k FROM g WHERE c = 20),
+ m AS (SELECT t.doc_id, t.i, t.word, max(CASE WHEN r.k > 1 THEN 1 ELSE 0 END) OVER (PARTITION BY t.doc_id ORDER BY t.i ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS gone FROM t LEFT JOIN r ON r.doc_id = t.doc_id AND r.i = t.i),
+ s AS (SELECT doc_id, count(*) FILTER (gone = 1) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (gone = 0) AS kept FROM m GROUP BY doc_id)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN s USING (doc_id)""",
+}
