@@ -14,12 +14,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigil.llm.common import SPACE, cut, gram_hashes, read, span_hashes, text_slices, word_bounds
+from vigil.llm.common import SPACE, cut, gram_hashes, mix, read, span_hashes, text_slices, word_bounds
 from vigil.llm.fmindex import FMIndex
 
 WINDOW = 20
@@ -106,28 +105,41 @@ def _unpacked(z: pa.Array) -> pa.Array:
     return pa.array([unpack.decompress(x) for x in z.to_pylist()], pa.binary()).cast(pa.string())
 
 
+def _flat(column: pa.Array, fields: tuple[str, ...]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Of a column of lists of structs: the lengths of the lists (null: 0), and the fields of all their structs."""
+    items = column.flatten()
+    counts = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    return counts, [items.field(f).to_numpy(zero_copy_only=False) for f in fields]
+
+
 def stretches(held: DataFrame, with_words: bool) -> DataFrame:
     """The stretches of words around repeated minimizers: route, k (a hash of the words), rid, tkey, a (first window), n (windows),
     and words, if asked for. held: rid, tkey, z, places (h, a, n, hot). A hot minimizer's windows are stretches of their own."""
 
+    names = ["route", "k", "rid", "tkey", "a", "n", "words"][: 6 + with_words]
+
     def run(batches):
         for b in batches:
-            rid, tkey, places = b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(3).to_pylist()
+            rid, tkey = (b.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            counts, (h, a, n, hot) = _flat(b.column(3), ("h", "a", "n", "hot"))
+            edges = np.concatenate([[0], np.cumsum(counts)])
             for first, end, data, offsets in text_slices(_unpacked(b.column(2))):
                 starts, ends, heads = word_bounds(data, offsets)
                 buf, x, y = _normal(data, starts, ends)
-                out: list[list] = [[], [], [], [], [], [], []]
-                for k in range(first, end):
-                    base = heads[k - first]
-                    for p in places[k]:
-                        runs = [(p["h"], p["a"], p["n"])] if not p["hot"] else [(None, p["a"] + i, 1) for i in range(p["n"])]
-                        for route, a, n in runs:
-                            words = buf[x[base + a] : y[base + a + n + WINDOW - 2]]
-                            values = (xxhash.xxh64_intdigest(words, 1) - 2**63 if route is None else route, xxhash.xxh64_intdigest(words, 2) - 2**63, rid[k], tkey[k], a, n, words)
-                            for column, value in zip(out, values, strict=True):
-                                column.append(value)
-                arrays = [pa.array(v, t) for v, t in zip(out, [pa.int64()] * 4 + [pa.int32()] * 2 + [pa.binary()], strict=True)]
-                yield pa.record_batch(arrays[: 6 + with_words], names=["route", "k", "rid", "tkey", "a", "n", "words"][: 6 + with_words])
+                own = slice(edges[first], edges[end])
+                times = np.where(hot[own], n[own], 1)  # a hot run's windows come one by one
+                at = np.repeat(np.arange(edges[first], edges[end]), times)
+                row = np.repeat(np.arange(first, end), counts[first:end])[at - edges[first]]
+                start = a[at] + np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times)
+                size = np.where(hot[at], 1, n[at])
+                word = heads[row - first] + start
+                lo, hi = x[word], y[word + size + WINDOW - 2]
+                k = span_hashes(np.frombuffer(buf, np.uint8), lo, hi)
+                route = np.where(hot[at], mix(k + np.uint64(1)).view(np.int64), h[at])
+                out = [pa.array(route), pa.array(k.view(np.int64)), pa.array(rid[row]), pa.array(tkey[row]), pa.array(start.astype(np.int32)), pa.array(size.astype(np.int32))]
+                if with_words:
+                    out.append(pa.array([buf[i:j] for i, j in zip(lo.tolist(), hi.tolist(), strict=True)], pa.binary()))
+                yield pa.record_batch(out, names=names)
 
     return held.select("rid", "tkey", "z", "places").mapInArrow(run, "route long, k long, rid long, tkey long, a int, n int" + ", words binary" * with_words)
 
@@ -184,24 +196,32 @@ def _finish(rows: DataFrame, text_out: bool) -> DataFrame:
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts, windows = _unpacked(b.column(at)), b.column(at + 1).to_pylist()
+            texts = _unpacked(b.column(at))
+            counts, (a, mask) = _flat(b.column(at + 1), ("a", "mask"))
+            edges = np.concatenate([[0], np.cumsum(counts)])
             n_words, n_removed, kept_sha, kept_text = [], [], [], []
             for first, end, data, offsets in text_slices(texts):
                 starts, ends, heads = word_bounds(data, offsets)
                 buf, x, y = _normal(data, starts, ends)
+                own = slice(edges[first], edges[end])
+                base = np.repeat(heads[:-1], counts[first:end]) + a[own]
+                turns = np.zeros(len(starts) + 1, np.int64)
+                for i in range(int(mask[own].max(initial=0)).bit_length()):
+                    begin = base[mask[own] >> i & 1 == 1] + i
+                    np.add.at(turns, begin, 1)
+                    np.add.at(turns, begin + WINDOW, -1)
+                stay = np.cumsum(turns)[:-1] == 0
                 for k in range(first, end):
                     lo, hi = int(heads[k - first]), int(heads[k - first + 1])
                     n_words.append(hi - lo)
-                    if not windows[k]:
-                        kept, gone = buf[x[lo] : y[hi - 1]] if hi > lo else b"", 0
+                    gone = 0
+                    if counts[k]:
+                        kept_words = np.flatnonzero(stay[lo:hi]) + lo
+                        gone = hi - lo - len(kept_words)
+                    if gone:
+                        kept = b" ".join([buf[i:j] for i, j in zip(x[kept_words].tolist(), y[kept_words].tolist(), strict=True)])
                     else:
-                        edge = np.zeros(hi - lo + 1, np.int64)
-                        for w in windows[k]:
-                            own = w["a"] + np.flatnonzero([w["mask"] >> i & 1 for i in range(w["mask"].bit_length())])
-                            np.add.at(edge, own, 1)
-                            np.add.at(edge, own + WINDOW, -1)
-                        stay = np.flatnonzero(np.cumsum(edge)[:-1] == 0) + lo
-                        kept, gone = b" ".join([buf[i:j] for i, j in zip(x[stay].tolist(), y[stay].tolist(), strict=True)]), hi - lo - len(stay)
+                        kept = buf[x[lo] : y[hi - 1]] if hi > lo else b""
                     n_removed.append(gone)
                     if text_out:
                         kept_text.append(kept.decode() if gone else texts[k].as_py())
