@@ -37,5 +37,5 @@ def test_every_oracle_has_a_query():
 def test_entry(spark):
     import __spark_entry__ as entry
 
-    assert entry.entry(spark).count() == 8 + 9 + 5 or entry.entry(spark).count() > 0
+    assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())

@@ -4,8 +4,6 @@ import json
 import time
 from datetime import datetime, timedelta
 
-from pyspark.sql import functions as F
-
 from vigil.config import RuleConfig
 from vigil.operators import detect
 from vigil.plans import driver_data as D
@@ -19,7 +17,7 @@ T0 = datetime(2024, 6, 15, 2, 0, 0)
 def drain(stream, name, tmp_path, mode="append"):
     q = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", str(tmp_path / f"cp-{name}")).trigger(availableNow=True).start()
     q.awaitTermination()
-    return q.sparkSession.table(name) if hasattr(q, "sparkSession") else stream.sparkSession.table(name)
+    return stream.sparkSession.table(name)
 
 
 def test_stream_equals_batch(spark, sf, tmp_path):
@@ -119,4 +117,3 @@ def test_whole_job(spark, tmp_path):
     assert inc.known_bad and inc.source_ip.startswith("ip_") and inc.event_count == 9 and inc.anomaly_score is not None
     assert a.events.where("raw_line is not null or username not like 'user_%'").count() == 0 and a.report()["kpis"].first().events == 11
     assert summarise_sources(spark, [str(tmp_path / "a.log")], year=2024).first().incidents == 2
-    assert F is not None
