@@ -26,6 +26,7 @@ from vigil.llm.tokens import tokenizer_path
 WINDOW = 1024
 #: Rows that share a rank counter, about; the counters of a length are numbered one behind the other.
 RANK_ROWS = 200_000
+LEAST_BUCKETS = 16
 #: Word encodings that a worker remembers.
 CACHE_WORDS = 400_000
 
@@ -292,7 +293,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window
     """
     made = cut(pieces(docs, id_col, text_col, window))
     rows = made.count()
-    buckets = rows // RANK_ROWS + 1
+    buckets = rows // RANK_ROWS + LEAST_BUCKETS
     bucket = F.pmod(F.col("ticket"), F.lit(buckets))
     counts = made.groupBy("length", bucket.alias("bucket")).agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
