@@ -113,11 +113,14 @@ class QualityModel:
 
 
 def train(positive: np.ndarray, unlabelled: np.ndarray) -> QualityModel:
-    """Standardise, fit with an even prior on half of the rows, estimate the prior on the other half, then fit on all rows."""
+    """Standardise (in place), fit with an even prior on half of the rows, estimate the prior on the other half, then fit on all."""
     if not len(positive) or not len(unlabelled):  # nothing to learn from: every text gets the same even score
         return QualityModel(np.zeros(WIDTH + 1), np.zeros(WIDTH), np.ones(WIDTH), 0.5)
     mean, scale = unlabelled.mean(0), (unlabelled.std(0) + 1e-2) * np.sqrt(WIDTH) / SPREAD
-    p, u = (positive - mean) / scale, (unlabelled - mean) / scale
+    p, u = positive, unlabelled
+    for part in (p, u):
+        part -= mean
+        part /= scale
     w, prior = fit_risk(p[::2], u[::2], 0.5), 0.5
     if min(len(p), len(u)) > 20:
         for _ in range(2):
@@ -148,12 +151,13 @@ def fit_quality(docs: DataFrame, labels: DataFrame, max_positives: int = MAX_POS
                 yield pa.record_batch([b.column(0).slice(first, end - first), pa.array([r.tobytes() for r in features(data, offsets)], pa.binary())], names=["kind", "x"])
 
     def learn(rows: pd.DataFrame) -> pd.DataFrame:
-        x = np.frombuffer(b"".join(rows.x), np.float32).reshape(-1, WIDTH)
+        x = np.empty((len(rows), WIDTH), np.float32)
+        for k, raw in enumerate(rows.x):
+            x[k] = np.frombuffer(raw, np.float32)
         order = np.lexsort(x[:, ::-37].T)  # the same order whatever tasks the rows came from
-        kind, x = rows.kind.to_numpy()[order], x[order]
-        x = x[(mixed := np.random.default_rng(7).permutation(len(x)))]
-        kind = kind[mixed]
-        model = train(x[kind == 1], x[kind == 0])
+        order = order[np.random.default_rng(7).permutation(len(order))]
+        kind = rows.kind.to_numpy()[order]
+        model = train(x[order[kind == 1]], x[order[kind == 0]])
         return pd.DataFrame({"weights": [model.weights.tolist()], "mean": [model.mean.tolist()], "scale": [model.scale.tolist()], "prior": [model.prior]})
 
     got = sample.mapInArrow(measured, "kind int, x binary").withColumn("one", F.lit(1)).groupBy("one").applyInPandas(learn, "weights array<double>, mean array<double>, scale array<double>, prior double").first()
