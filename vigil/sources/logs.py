@@ -48,7 +48,8 @@ def parse_ssh(lines: DataFrame, year: int | None = None) -> DataFrame:
     found = F.coalesce(parts("failed_login", SSH_FAILED, "$4", "$5", "$6"), parts("successful_login", SSH_ACCEPTED, "$4", "$5", "$6"), parts("connection", SSH_CONNECTION, "", "$4", "$5"))
     p = lambda k: F.get("__p", k)
     stamp = F.concat_ws(" ", F.lit(str(year)), F.substring(p(1), 1, 3), p(2), p(3))
-    return lines.withColumn("__p", found).where(F.size("__p") == 7).select(
+    # exploding a single value keeps the optimiser from repeating the match for each field
+    return lines.select("*", F.explode(F.array(found)).alias("__p")).where(F.size("__p") == 7).select(
         F.lit("ssh").alias("log_type"), p(0).alias("event_type"), F.try_to_timestamp(stamp, F.lit("yyyy MMM d HH:mm:ss")).alias("event_time"), p(5).alias("source_ip"), F.nullif(p(4), F.lit("")).alias("username"),
         p(6).try_cast("int").alias("port"), line.alias("raw_line"), F.lit(0).alias("tz_offset_s"), _file(lines).alias("source_file"), F.lit(None).cast("string").alias("hostname"),
     ).where("event_time is not null")
