@@ -76,3 +76,42 @@ def test_links_reach_all_that_brute_force_links(spark):
             groups.setdefault(want[k], []).append(f)
             mine.setdefault(got.get(f, f), []).append(f)
         assert sorted(map(tuple, groups.values())) == sorted(map(tuple, mine.values()))
+
+
+def shingles(text, k=5):
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {tuple(words[i : i + k]) for i in range(max(len(words) - k + 1, min(len(words), 1)))}
+
+
+def test_near_copies_against_all_pairs(spark, sf):
+    rng = random.Random(5)
+    rows = [(r.doc_id, r.text) for r in read(spark, sf, "documents").collect()]
+    for i in range(150):  # planted copies with edited words
+        words = [f"v{rng.randrange(5000)}" for _ in range(rng.randint(60, 400))]
+        rows.append((10_000 + 10 * i, " ".join(words)))
+        for c in range(1, 4):
+            edited = [f"new{rng.random()}" if rng.random() < 0.004 * c * c else w for w in words]
+            rows.append((10_000 + 10 * i + c, " ".join(edited)))
+    rows += [(20_000, None), (20_001, " "), (20_002, "one two"), (20_003, "ONE  two"), (20_004, "two one")]
+    sets = [shingles(t) for _, t in rows]
+    name = list(range(len(rows)))
+    pairs = 0
+    for i, a in enumerate(sets):
+        for j in range(i):
+            b = sets[j]
+            common = len(a & b)
+            if a == b or common and common >= 0.8 * len(a | b):
+                pairs += a != b
+                name = [name[j] if n == name[i] else n for n in name]
+    least = {}
+    for (i, _), n in zip(rows, name):
+        least[n] = min(i, least.get(n, i))
+    want = {i: least[n] for (i, _), n in zip(rows, name)}
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    got = {r.doc_id: r.component_id for r in simhash.near_copies(docs).collect()}
+    assert pairs > 200 and got == want
+    assert sorted(r.doc_id for r in simhash.keep_one(docs).collect()) == sorted(set(want.values()))
+    nodes = simhash._noted(docs, "text", ["doc_id"], 5, bands=True).dropDuplicates(["__node"])
+    linked = {r.u: r.v for r in simhash.components(simhash.copy_links(docs, nodes, "text", 5, 0.8, block_rows=2)).collect()}
+    name_of = {r.doc_id: linked.get(r["__node"], r["__node"]) for r in simhash._noted(docs, "text", ["doc_id"], 5).collect()}
+    assert len({(want[i], n) for i, n in name_of.items()}) == len(set(want.values())) == len(set(name_of.values()))

@@ -5,6 +5,10 @@ four buckets and a pair within reach meets in one of them; buckets with too many
 bits, and again, by the same argument. In a bucket the sorted fingerprints are a binary trie whose nodes are ranges; pairs of
 nodes are traversed together from the root, differing bits add up, and a pair of nodes is dropped once they exceed the budget.
 Buckets report a star for each local group, not its pairs.
+
+Fingerprints can't hold all pairs whose shingle sets have a similarity of 0.8, which differ in about ten bits: blocks for so many
+are too short to tell texts apart. near_copies() finds those by bands of least shingle hashes and compares the sets of texts that
+meet in a band.
 """
 
 from __future__ import annotations
@@ -17,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigil.llm.common import SPACE, cut, read, text_slices, word_bounds
+from vigil.llm.common import SPACE, cut, gram_hashes, mix, read, span_hashes, text_slices, word_bounds
 
 SHINGLE = 3
 SEED = 42
@@ -28,6 +32,13 @@ TASK_ROWS = 100_000
 #: Node pairs held at once, and leaf pairs compared directly instead of being followed down.
 FRONTIER = 400_000
 SMALL = 16
+#: Words of a shingle and least similarity (Jaccard, of shingle sets) of near copies.
+COPY_SHINGLE = 5
+SIMILARITY = 0.8
+#: Bands of BAND least hashes each: a pair of similarity 0.8 meets in none with probability (1 - 0.8 ** 4) ** 20, 3 in 100,000.
+BANDS, BAND = 20, 4
+#: Different texts of a band that are compared in one group; larger ones are compared by pairs of blocks.
+BLOCK_ROWS = 1_000
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
@@ -223,10 +234,119 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int = COPY_SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the distinct shingles of texts, sorted in each text, and the index of each text's first one (n + 1 values). A text
+    of fewer than k words is one shingle."""
+    n = len(offsets) - 1
+    starts, ends, first = word_bounds(data, offsets)
+    hashes, words = span_hashes(_LOWER[data], starts, ends), np.diff(first)
+    owner, value = [], []
+    for size in range(1, k + 1):
+        rows = np.flatnonzero(words == size if size < k else words >= k)
+        count = words[rows] - size + 1
+        own = np.repeat(rows, count)
+        grams = gram_hashes(hashes, size)
+        owner.append(own)
+        value.append(grams[first[own] + np.arange(len(own)) - np.repeat(np.cumsum(count) - count, count)] if len(own) else grams[:0])
+    owner, value = np.concatenate(owner), np.concatenate(value)
+    order = np.lexsort((value, owner))
+    owner, value = owner[order], value[order]
+    new = np.concatenate([[True], (owner[1:] != owner[:-1]) | (value[1:] != value[:-1])])[: len(value)]
+    return value[new], np.searchsorted(owner[new], np.arange(n + 1))
+
+
+def _bands(sets: np.ndarray, heads: np.ndarray) -> np.ndarray:
+    """BANDS keys for each text (none of them empty)."""
+    rng = np.random.default_rng(SEED)
+    keys = np.empty((len(heads), BANDS), np.uint64)
+    for b in range(BANDS):
+        key = np.full(len(heads), b, np.uint64)
+        for salt in rng.integers(1, 2**63, BAND, dtype=np.uint64):
+            key = mix(key * np.uint64(0xD6E8FEB86659FD93) + np.minimum.reduceat(mix(sets ^ salt), heads))
+        keys[:, b] = key
+    return keys
+
+
+def _noted(docs: DataFrame, text_col: str, columns: list[str], k: int, bands: bool = False) -> DataFrame:
+    """columns of docs with __node (a hash of the text's set of shingles) and, if asked for, __bands."""
+    rows = docs.select(*columns, F.col(text_col).alias("__text"))
+    at = len(columns)
+
+    def run(batches):
+        for batch in batches:
+            for first, end, data, offsets in text_slices(batch.column(at)):
+                sets, heads = shingle_sets(data, offsets, k)
+                raw, edges = sets.tobytes(), (heads * 8).tolist()
+                node = np.array([xxhash.xxh64_intdigest(raw[x:y], SEED) for x, y in zip(edges, edges[1:], strict=False)], np.uint64)
+                out = [*(c.slice(first, end - first) for c in batch.columns[:at]), pa.array(node.view(np.int64))]
+                if bands:
+                    full = heads[:-1] < heads[1:]
+                    keys = _bands(sets, heads[:-1][full]) if full.any() else np.zeros(0, np.uint64)
+                    out.append(pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(full * BANDS)]).astype(np.int32), keys.ravel().view(np.int64)))
+                yield pa.record_batch(out, names=[*columns, "__node", "__bands"][: at + 1 + bands])
+
+    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema.fields[:at])
+    return rows.mapInArrow(run, f"{fields}__node long" + ", __bands array<long>" * bands)
+
+
+def similar_pairs(sets: list[np.ndarray], side: np.ndarray, similarity: float = SIMILARITY) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of positions that connect all sets of the similarity or more, up to connectivity; where there are two sides, pairs
+    across them only."""
+    size = np.array([len(s) for s in sets])
+    order, both = np.argsort(size, kind="stable"), len(set(side.tolist())) > 1
+    label, found = np.arange(len(sets)), []
+    for x, i in enumerate(order):
+        rest = order[x + 1 : np.searchsorted(size[order], size[i] / similarity + 1e-9, "right")]
+        for j in rest[(side[rest] != side[i]) | (not both)]:
+            if label[i] == label[j]:
+                continue
+            common = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+            if common >= similarity * (size[i] + size[j] - common) - 1e-9:
+                found.append((i, j))
+                label[label == label[j]] = label[i]
+    u, v = np.array(found, np.int64).reshape(-1, 2).T
+    return u, v
+
+
+def copy_links(docs: DataFrame, nodes: DataFrame, text_col: str, k: int, similarity: float, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Links (u, v) that connect the nodes (__node, __bands) of the similarity or more: those that share a band and whose sets of
+    shingles, made from the texts of docs, are so similar."""
+    rows = nodes.select(F.col("__node").alias("node"), F.explode("__bands").alias("key"))
+    size = rows.groupBy("key").agg(F.count("*").alias("n"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("s"), F.min("node").alias("m")).where("n > 1")
+    size = cut(size.groupBy("n", "s", "m").agg(F.min("key").alias("key")).select("key", "n"))  # bands of the same nodes once
+    blocks = F.ceil(F.col("n") / block_rows).cast("int")
+    met = rows.join(size, "key").withColumn("side", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    met = cut(met.select("node", "key", F.least("side", "other").alias("lo"), F.greatest("side", "other").alias("hi"), "side"))
+    texts = _noted(docs, text_col, [text_col], k).select(F.col("__node").alias("node"), F.col(text_col).alias("text"))
+    texts = texts.join(met.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("text").alias("text"))
+
+    def run(table: pa.Table) -> pa.Table:
+        node, side, sets = table.column("node").to_numpy(), table.column("side").to_numpy(), []
+        for _, _, data, offsets in text_slices(table.column("text")):
+            flat, heads = shingle_sets(data, offsets, k)
+            sets += np.split(flat, heads[1:-1])
+        u, v = similar_pairs(sets, side, similarity)
+        return pa.table({"u": node[u], "v": node[v]})
+
+    return met.join(texts, "node").groupBy("key", "lo", "hi").applyInArrow(run, "u long, v long")
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = COPY_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """id_col, __node and component_id (the smallest id reachable over pairs of the similarity or more) for each row; ids as in
+    near_duplicates(). Texts without words are copies of each other."""
+    marked = cut(_noted(docs, text_col, [id_col], k, bands=True))
+    nodes = cut(marked.groupBy("__node").agg(F.min(id_col).alias("least"), F.first("__bands").alias("__bands")))
+    linked = components(copy_links(docs, nodes, text_col, k, similarity))
+    rooted = cut(nodes.join(linked, nodes["__node"] == linked.u, "left").select("__node", "least", F.coalesce("v", "__node").alias("root")))
+    names = cut(rooted.groupBy("root").agg(F.min("least").alias("component_id")))
+    by_node = cut(rooted.join(names, "root").select("__node", "component_id"))
+    return marked.join(by_node, "__node").select(id_col, "__node", "component_id")
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one document of each component, the one of the smallest id, whole and with all its columns. Of repeated rows of
+    """docs with one document of each component of near copies, the one of the smallest id, whole and with all its columns. Of repeated rows of
     that id one stays. Rows with a null id can't stand for a component and all stay."""
-    groups = near_duplicates(docs, id_col, text_col)
+    groups = near_copies(docs, id_col, text_col)
     chosen = cut(groups.where(F.col(id_col) == F.col("component_id")).select(id_col).distinct())
     kept = docs.join(chosen, id_col, "left_semi").dropDuplicates([id_col])
     return kept.unionByName(docs.where(F.col(id_col).isNull())).select(*docs.columns)
