@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Queries and items of a group of similar(), about.
+QUERY_ROWS = 1_000
+ITEM_ROWS = 10_000
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -22,12 +30,35 @@ def mean_vector(rows: DataFrame, vector: str = "embedding", keys: tuple[str, ...
     return parts.groupBy(*keys).agg(pack) if keys else parts.agg(pack)
 
 
-def similar(queries: DataFrame, corpus: DataFrame, k: int = 3, query_id: str = "query_id", item_id: str = "item_id", vector: str = "embedding") -> DataFrame:
-    """query_id, item_id, similarity (3 digits), rank: the k nearest items of each query by exact cosine. The queries are a few
-    incident summaries and are sent to the corpus; each task keeps its own best first (a rank limit before the shuffle)."""
-    q = queries.select(F.col(query_id).alias("query_id"), F.col(vector).alias("__q"))
-    c = corpus.select(F.col(item_id).alias("item_id"), F.col(vector).alias("__c"))
-    scored = c.crossJoin(F.broadcast(q)).select("query_id", "item_id", cosine(F.col("__q"), F.col("__c")).alias("s")).where("s is not null")
+def similar(queries: DataFrame, corpus: DataFrame, k: int = 3, query_id: str = "query_id", item_id: str = "item_id", vector: str = "embedding", query_rows: int = QUERY_ROWS, item_rows: int = ITEM_ROWS) -> DataFrame:
+    """query_id, item_id, similarity (3 digits), rank: the k nearest items of each query by exact cosine. Queries and items are dealt
+    into blocks of about query_rows and item_rows, and each pair of blocks meets in a group, which keeps all items that may be among
+    the k best of a query; their cosine is then taken by the built-in functions."""
+    whole = lambda df, name, short: df.where(dot(F.col(vector), F.col(vector)) > 0).select(F.col(name).alias(short), F.col(vector).cast("array<double>").alias("v"))
+    q, c = whole(queries, query_id, "query_id"), whole(corpus, item_id, "item_id")
+    blocks, parts = max(1, math.ceil(q.count() / query_rows)), max(1, math.ceil(c.count() / item_rows))
+    deal = lambda name, n: F.pmod(F.xxhash64(name, "v"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    q = q.select("*", deal("query_id", blocks).alias("block"), every(parts).alias("part"))
+    c = c.select("*", deal("item_id", parts).alias("part"), every(blocks).alias("block"))
+
+    def run(a: pa.Table, b: pa.Table) -> pa.Table:
+        unit = lambda t: (x := t.column("v").combine_chunks().flatten().to_numpy().reshape(t.num_rows, -1)) / np.sqrt((x * x).sum(1))[:, None]
+        rows, items = [np.zeros(0, int)], [np.zeros(0, int)]
+        if a.num_rows and b.num_rows:
+            x, y = unit(a), unit(b)
+            for i in range(0, len(x), 64):
+                scores = x[i : i + 64] @ y.T
+                least = np.partition(scores, -min(k, len(y)), axis=1)[:, -min(k, len(y))]
+                r, at = np.nonzero(scores >= least[:, None] - 1e-9)  # equal ones too: the exact cosine decides
+                rows, items = [*rows, r + i], [*items, at]
+        r, at = np.concatenate(rows), np.concatenate(items)
+        mine, found = a.take(r), b.take(at)
+        return pa.table({"query_id": mine.column("query_id"), "item_id": found.column("item_id"), "q": mine.column("v"), "c": found.column("v")})
+
+    kind = lambda df, name: df.schema[name].dataType.simpleString()
+    near = q.groupBy("block", "part").cogroup(c.groupBy("block", "part")).applyInArrow(run, f"query_id {kind(q, 'query_id')}, item_id {kind(c, 'item_id')}, q array<double>, c array<double>")
+    scored = near.select("query_id", "item_id", cosine(F.col("q"), F.col("c")).alias("s"))
     w = Window.partitionBy("query_id").orderBy(F.desc("s"), "item_id")
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "item_id", F.round("s", 3).alias("similarity"), "rank")
 
@@ -59,7 +90,6 @@ def embed(rows: DataFrame, text: str, dims: int = 384, vector: str = "embedding"
 def similar_in_cells(queries: DataFrame, corpus: DataFrame, k: int = 3, cells: int = 50, probes: int = 8, query_id: str = "query_id", item_id: str = "item_id", vector: str = "embedding", sample: float = 1.0) -> DataFrame:
     """Like similar(), over the nearest k-means cells of each query only; for corpora too large to score in full. The centres come
     from a share of the corpus."""
-    import numpy as np
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 

@@ -117,3 +117,6 @@ ORACLES: dict[str, str] = {
     "text_gate": "SELECT lang, count(*) FILTER (length(trim(text)) >= 20) AS good, count(*) FILTER (NOT length(trim(text)) >= 20) AS bad FROM documents GROUP BY 1",
     "customer_order_bursts": "WITH w AS (SELECT o_custkey, o_orderdate, count(*) OVER (PARTITION BY o_custkey ORDER BY o_orderdate RANGE BETWEEN CURRENT ROW AND INTERVAL 30 DAY FOLLOWING) AS c, max(o_orderdate) OVER (PARTITION BY o_custkey ORDER BY o_orderdate RANGE BETWEEN CURRENT ROW AND INTERVAL 30 DAY FOLLOWING) AS l FROM orders) SELECT o_custkey, min(o_orderdate) AS first_seen, arg_min(l, o_orderdate) AS last_seen, CAST(arg_min(c, o_orderdate) AS INTEGER) AS event_count FROM w WHERE c >= 3 GROUP BY 1",
 }
+
+#: Whole sets, where the SQL above takes a part.
+ORACLES["cosine_topk_all"] = ORACLES["cosine_topk"].replace("vec_id < 5", "vec_id % 100 = 0")
