@@ -215,6 +215,17 @@ def test_scores(spark, sf):
     assert anomaly.score_sources(D.events(spark, sf), "autoencoder").count() == 15
 
 
+def test_percentiles_of_many_latencies(spark):
+    rng = np.random.default_rng(3)
+    x = np.round(np.concatenate([rng.lognormal(3, 2, 3000), np.full(900, 7.5), rng.uniform(7.5, 7.6, 300)]), 6)
+    for part in (x, x[:1], x[:2], x[:57], np.full(500, 2.0)):
+        calls = spark.createDataFrame([(True, 0, 1, 1, float(v)) for v in part] + [(False, 1, 1, 1, -5.0)], "ok boolean, retries int, tokens_in long, tokens_out long, latency_ms double")
+        r = report.call_metrics(calls, sort_rows=20).first()
+        assert r.p95 == np.sort(part)[round(0.95 * (len(part) - 1))] and abs(r.p50 - np.median(part)) < 1e-9 and r.succeeded == len(part)
+    plan = report.call_metrics(calls, sort_rows=20)._jdf.queryExecution().toString()
+    assert "Window" not in plan and "percentile(" not in plan
+
+
 def test_vectors(spark):
     corpus = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [1.0, 1.0]), ("c", [-1.0, 0.1]), ("z", [0.0, 0.0])], "item_id string, embedding array<double>")
     queries = spark.createDataFrame([("q", [2.0, 0.1]), ("q", [2.0, -0.1])], "query_id string, embedding array<double>")

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vigil import schemas as S
 from vigil.functions import scalars as X
 
+#: Rows that values_at() sorts at once, on the driver, and parts that it counts in a pass.
+SORT_ROWS = 10_000
+PARTS = 200
+
 
 def event_type_counts(events: DataFrame) -> DataFrame:
     return events.groupBy("event_type").agg(F.count("*").alias("n"))
@@ -115,21 +121,49 @@ def digest(incidents: DataFrame, keys: list[str]) -> DataFrame:
     return incidents.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(entry)), lambda e: e["line"]), "\n").alias("digest"))
 
 
-def call_metrics(calls: DataFrame) -> DataFrame:
+def values_at(values: DataFrame, ranks: set[int], rows: int = SORT_ROWS) -> dict[int, float]:
+    """The values at some ranks (from 0, in ascending order) of values (one column v, no nulls). Rows are counted between bounds, which
+    quantile sketches give, and at each bound; only the parts that hold a wanted rank are looked at further, and none is sorted
+    before it has at most `rows` rows."""
+    if not ranks:
+        return {}
+    n = values.count()
+    if n <= rows:
+        ordered = sorted(r.v for r in values.collect())
+        return {k: ordered[k] for k in ranks}
+    shares = F.array(*(F.lit(i / PARTS) for i in range(PARTS + 1)))
+    bounds = sorted(set(values.agg(F.percentile_approx("v", shares, 10_000).alias("b")).first().b))
+    held = F.array(*map(F.lit, bounds))
+    place = F.size(F.filter(held, lambda x: x < F.col("v"))) + F.size(F.filter(held, lambda x: x <= F.col("v")))  # odd: at a bound
+    counts = {r.place: r["count"] for r in values.groupBy(place.alias("place")).count().collect()}
+    out, before = {}, 0
+    for at in sorted(counts):
+        inside = {k for k in ranks if before <= k < before + counts[at]}
+        if inside and at % 2:
+            out |= dict.fromkeys(inside, bounds[at // 2])
+        elif inside:
+            low = values.where(F.col("v") > bounds[at // 2 - 1]) if at else values
+            part = low.where(F.col("v") < bounds[at // 2]) if at // 2 < len(bounds) else low
+            out |= {k + before: v for k, v in values_at(part, {k - before for k in inside}, rows).items()}
+        before += counts[at]
+    return out
+
+
+def call_metrics(calls: DataFrame, sort_rows: int = SORT_ROWS) -> DataFrame:
     """One row over model calls (ok, retries, tokens_in, tokens_out, latency_ms): totals, cost, median and nearest-rank p95 of the
-    latency of calls that succeeded. The two percentiles are exact: Spark's percentile aggregates counts by value."""
+    latency of calls that succeeded. The two percentiles are exact, by values_at()."""
     good = F.col("ok")
-    latency = F.when(good, F.col("latency_ms").cast("double"))
-    n = F.count_if(good)
-    a = calls.agg(
-        F.count("*").alias("total"), n.alias("succeeded"), F.count_if(~good).alias("failed"), F.sum("retries").alias("retries"), F.sum(F.when(good, F.col("tokens_in"))).alias("tokens_in"), F.sum(F.when(good, F.col("tokens_out"))).alias("tokens_out"),
-        F.percentile(latency, 0.5).alias("p50"),
-    )
-    w = Window.orderBy("latency_ms")
-    by_value = calls.where(good).groupBy(F.col("latency_ms").cast("double").alias("latency_ms")).count()
-    upto = by_value.withColumn("upto", F.sum("count").over(w))
-    p95 = upto.crossJoin(a.select("succeeded")).where(F.col("upto") > F.rint(0.95 * (F.col("succeeded") - 1))).agg(F.coalesce(F.min("latency_ms"), F.lit(0.0)).alias("p95"))
-    return a.crossJoin(p95).withColumn("cost", X.token_cost(F.coalesce("tokens_in", F.lit(0)), F.coalesce("tokens_out", F.lit(0))))
+    a = calls.agg(F.count("*").alias("total"), F.count_if(good).alias("succeeded"), F.count_if(~good).alias("failed"), F.sum("retries").alias("retries"), F.sum(F.when(good, F.col("tokens_in"))).alias("tokens_in"), F.sum(F.when(good, F.col("tokens_out"))).alias("tokens_out"))
+    latency = calls.where(good).select(F.col("latency_ms").cast("double").alias("v"))
+    count = latency.agg(F.count("*").alias("all"), F.count("v").alias("n")).first()
+    n, p50, p95 = count["n"], None, 0.0
+    if n:
+        middle, high = 0.5 * (n - 1), max(0, round(0.95 * (count["all"] - 1)) - (count["all"] - n))  # calls without a latency rank first
+        lo, hi = math.floor(middle), math.ceil(middle)
+        v = values_at(latency.where("v is not null"), {lo, hi, high}, sort_rows)
+        p50, p95 = v[lo] if lo == hi else (hi - middle) * v[lo] + (middle - lo) * v[hi], v[high]
+    out = a.withColumns({"p50": F.lit(p50).cast("double"), "p95": F.lit(p95)})
+    return out.withColumn("cost", X.token_cost(F.coalesce("tokens_in", F.lit(0)), F.coalesce("tokens_out", F.lit(0))))
 
 
 def report(events: DataFrame, incidents: DataFrame, scores: DataFrame | None = None, features: DataFrame | None = None) -> dict[str, DataFrame]:
