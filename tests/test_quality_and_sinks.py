@@ -215,6 +215,14 @@ def test_scores(spark, sf):
     assert anomaly.score_sources(D.events(spark, sf), "autoencoder").count() == 15
 
 
+def test_autoencoder_trains_on_all_sources(spark):
+    rng = np.random.default_rng(2)
+    rows = [(f"n{i}", *map(float, rng.gamma(2, 1, 8))) for i in range(300)]
+    df = spark.createDataFrame(rows, "source_ip string, " + ", ".join(f"{c} double" for c in features.FEATURES)).repartition(3)
+    whole, spread = ({r.source_ip: r.anomaly_score for r in anomaly.autoencoder(df, train_rows=n).collect()} for n in (300, 40))
+    assert set(whole) == set(spread) and max(abs(whole[k] - spread[k]) for k in whole) <= 0.0002
+
+
 def test_percentiles_of_many_latencies(spark):
     rng = np.random.default_rng(3)
     x = np.round(np.concatenate([rng.lognormal(3, 2, 3000), np.full(900, 7.5), rng.uniform(7.5, 7.6, 300)]), 6)

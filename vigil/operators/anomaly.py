@@ -8,9 +8,13 @@ from __future__ import annotations
 
 import json
 import math
+import tempfile
+import uuid
+from collections.abc import Callable, Iterable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,7 +23,7 @@ from vigil.operators.features import FEATURES, MIN_SOURCES, behaviour
 TREES = 200
 SAMPLE = 256
 SEED = 42
-#: Sources that train the autoencoder at most.
+#: Sources up to which the autoencoder is trained in one task.
 TRAIN_ROWS = 20_000
 
 
@@ -106,43 +110,85 @@ def isolation_forest(features: DataFrame, trees: int = TREES, sample: int = SAMP
     return _scaled(features.select("source_ip", strangeness(*FEATURES).alias("raw")))
 
 
-def train_autoencoder(x: np.ndarray, hidden: int = 4, epochs: int = 200, rate: float = 1e-3, seed: int = SEED) -> list[np.ndarray]:
-    """Weights of a hidden layer of rectified units and a linear one, fitted to give back x (standardised) by Adam on all rows."""
+def _start(d: int, hidden: int, seed: int) -> list[np.ndarray]:
     rng = np.random.default_rng(seed)
-    d = x.shape[1]
     bound = lambda n: 1 / np.sqrt(n)
-    w = [rng.uniform(-bound(d), bound(d), (d, hidden)), rng.uniform(-bound(d), bound(d), hidden), rng.uniform(-bound(hidden), bound(hidden), (hidden, d)), rng.uniform(-bound(hidden), bound(hidden), d)]
+    return [rng.uniform(-bound(d), bound(d), (d, hidden)), rng.uniform(-bound(d), bound(d), hidden), rng.uniform(-bound(hidden), bound(hidden), (hidden, d)), rng.uniform(-bound(hidden), bound(hidden), d)]
+
+
+def _gradients(x: np.ndarray, w: list[np.ndarray], size: int) -> tuple[np.ndarray, ...]:
+    """Of the squared error over size values, the share of the rows x."""
+    z = x @ w[0] + w[1]
+    h = np.maximum(z, 0)
+    error = 2 * (h @ w[2] + w[3] - x) / size
+    back = (error @ w[2].T) * (z > 0)
+    return x.T @ back, back.sum(0), h.T @ error, error.sum(0)
+
+
+def _adam(w: list[np.ndarray], gradients: Callable[[list[np.ndarray]], Iterable[np.ndarray]], epochs: int, rate: float) -> list[np.ndarray]:
     m, v = [np.zeros_like(p) for p in w], [np.zeros_like(p) for p in w]
     for step in range(1, epochs + 1):
-        z = x @ w[0] + w[1]
-        h = np.maximum(z, 0)
-        error = 2 * (h @ w[2] + w[3] - x) / x.size
-        back = (error @ w[2].T) * (z > 0)
-        for k, g in enumerate((x.T @ back, back.sum(0), h.T @ error, error.sum(0))):
+        for k, g in enumerate(gradients(w)):
             m[k], v[k] = 0.9 * m[k] + 0.1 * g, 0.999 * v[k] + 0.001 * g * g
             w[k] = w[k] - rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)
     return w
 
 
+def train_autoencoder(x: np.ndarray, hidden: int = 4, epochs: int = 200, rate: float = 1e-3, seed: int = SEED) -> list[np.ndarray]:
+    """Weights of a hidden layer of rectified units and a linear one, fitted to give back x (standardised) by Adam on all rows."""
+    return _adam(_start(x.shape[1], hidden, seed), lambda w: _gradients(x, w, x.size), epochs, rate)
+
+
+def _written(features: DataFrame) -> DataFrame:
+    """features, written once to the folder all executors share, so that each epoch reads them and doesn't make them again."""
+    spark = features.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-shared-")
+    path = f"{folder.rstrip('/')}/cut-{uuid.uuid4().hex}"
+    features.select(*FEATURES).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def train_spread(rows: DataFrame, n: int, mean: np.ndarray, spread: np.ndarray, hidden: int = 4, epochs: int = 200, rate: float = 1e-3, seed: int = SEED) -> list[np.ndarray]:
+    """train_autoencoder() on all n rows of features wherever they are: in each epoch every partition sums its rows' gradients, and
+    the driver adds up one row of 76 numbers a partition."""
+    d = len(FEATURES)
+    edges = np.cumsum([d * hidden, hidden, hidden * d])
+
+    def gradients(w: list[np.ndarray]) -> list[np.ndarray]:
+        def part(batches):
+            total = np.zeros(2 * d * hidden + hidden + d)
+            for b in batches:
+                if b.num_rows:
+                    x = (np.stack([c.to_numpy(zero_copy_only=False).astype(float) for c in b.columns], 1) - mean) / spread
+                    total += np.concatenate([g.ravel() for g in _gradients(x, w, n * d)])
+            yield pa.record_batch([pa.array([total.tolist()], pa.list_(pa.float64()))], names=["g"])
+
+        sums = rows.mapInArrow(part, "g array<double>").collect()
+        flat = np.sort(np.array([r.g for r in sums]), axis=0).sum(0)  # in one order, whichever task ends first
+        return [g.reshape(p.shape) for g, p in zip(np.split(flat, edges), w, strict=True)]
+
+    return _adam(_start(d, hidden, seed), gradients, epochs, rate)
+
+
 def autoencoder(features: DataFrame, train_rows: int = TRAIN_ROWS, seed: int = SEED) -> DataFrame:
-    """source_ip and anomaly_score, the scaled mean squared error of each source's rebuilt features. The network is trained in one task
-    on at most train_rows sources (those with the smallest hashes). Fewer than three sources give no rows."""
+    """source_ip and anomaly_score, the scaled mean squared error of each source's rebuilt features. The network is trained on all
+    sources: in one task up to train_rows of them, else in all tasks. Fewer than three sources give no rows."""
     n = _enough(features)
     if n < MIN_SOURCES:
         return _nothing(features)
     stats = features.agg(*(F.avg(c).alias(f"m_{c}") for c in FEATURES), *(F.stddev_pop(c).alias(f"s_{c}") for c in FEATURES)).first()
     mean = np.array([stats[f"m_{c}"] for c in FEATURES])
     spread = np.array([stats[f"s_{c}"] or 1.0 for c in FEATURES])
-    share = 2 * train_rows / n
-    order = F.xxhash64("source_ip")
-    some = features if share >= 1 else features.where(F.shiftrightunsigned(order, 33) < int(share * 2**31))
 
     def train(rows: pd.DataFrame) -> pd.DataFrame:
-        part = rows.sort_values(["h", "source_ip"]).head(train_rows)
+        part = rows.sort_values(["h", "source_ip"])
         w = train_autoencoder((part[list(FEATURES)].to_numpy(float) - mean) / spread, seed=seed)
         return pd.DataFrame({"w": [np.concatenate([p.ravel() for p in w]).tolist()]})
 
-    flat = np.array(some.withColumn("h", order).withColumn("one", F.lit(1)).groupBy("one").applyInPandas(train, "w array<double>").first().w)
+    if n <= train_rows:
+        flat = np.array(features.withColumn("h", F.xxhash64("source_ip")).withColumn("one", F.lit(1)).groupBy("one").applyInPandas(train, "w array<double>").first().w)
+    else:
+        flat = np.concatenate([p.ravel() for p in train_spread(_written(features), n, mean, spread, seed=seed)])
     d = len(FEATURES)
     w1, b1, w2, b2 = np.split(flat, [4 * d, 4 * d + 4, 8 * d + 4])
 
