@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import zlib
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -80,6 +81,18 @@ def test_rewritten_texts_and_empty_table(spark):
     assert substrings.dedup_substrings(docs.where(F.lit(False))).count() == 0 and substrings.remove_substrings(docs.where(F.lit(False))).count() == 0
 
 
+def test_texts_of_one_id_and_checksum(spark):
+    passage = " ".join(f"p{i}" for i in range(30))
+    heads = [passage + " and then k", "some other words first " + passage + " k"]
+    end = lambda i: hashlib.md5(str(i).encode()).hexdigest()[:12]
+    seen = {zlib.crc32((heads[0] + end(i)).encode()): i for i in range(300_000)}
+    b, a = next((i, seen[k]) for i in range(300_000, 900_000) if (k := zlib.crc32((heads[1] + end(i)).encode())) in seen)
+    texts = [f"{heads[0]}{end(a)}", f"{heads[1]}{end(b)}"]
+    assert zlib.crc32(texts[0].encode()) == zlib.crc32(texts[1].encode())
+    rows = [(1, "x " + passage), *((7, t) for t in texts)]
+    assert run(spark, rows) == brute(rows)
+
+
 def test_index_parts():
     rng = np.random.default_rng(6)
     text = rng.integers(0, 9, 700)

@@ -9,11 +9,11 @@ with very many places are routed by whole windows instead, so that no shard grow
 from __future__ import annotations
 
 import hashlib
-import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -65,6 +65,11 @@ def _normal(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[byt
     return flat[keep].tobytes(), place[starts], place[ends]
 
 
+def text_keys(texts: Iterable[bytes]) -> np.ndarray:
+    """64-bit hashes, which tell apart texts of one id."""
+    return np.array([xxhash.xxh3_64_intdigest(t) for t in texts], np.uint64).view(np.int64)
+
+
 def anchors(docs: DataFrame) -> DataFrame:
     """rid, tkey, h, a, n: the minimizer runs of each text (docs: rid, text)."""
 
@@ -77,7 +82,7 @@ def anchors(docs: DataFrame) -> DataFrame:
                     continue
                 row = np.searchsorted(heads, a, "right") - 1
                 raw = data.tobytes()
-                tkey = np.array([zlib.crc32(raw[x:y]) for x, y in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)], np.int64)
+                tkey = text_keys(raw[x:y] for x, y in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True))
                 rid = b.column(0).slice(first, end - first).to_numpy(zero_copy_only=False)
                 yield pa.record_batch([pa.array(rid[row]), pa.array(tkey[row]), pa.array(h.view(np.int64)), pa.array((a - heads[row]).astype(np.int32)), pa.array(n.astype(np.int32))], names=["rid", "tkey", "h", "a", "n"])
 
@@ -85,7 +90,7 @@ def anchors(docs: DataFrame) -> DataFrame:
 
 
 def _packed(docs: DataFrame) -> DataFrame:
-    """docs with tkey (a checksum of the text) and z (the compressed text) instead of text."""
+    """docs with tkey (a 64-bit hash of the text) and z (the compressed text) instead of text."""
     others = [c for c in docs.columns if c != "text"]
     rows = docs.select(*others, "text")
     at = len(others)
@@ -94,7 +99,7 @@ def _packed(docs: DataFrame) -> DataFrame:
         pack = zstandard.ZstdCompressor(level=3)
         for b in batches:
             raw = [t.encode() for t in b.column(at).fill_null("").to_pylist()]
-            yield pa.record_batch([*b.columns[:at], pa.array([zlib.crc32(t) for t in raw], pa.int64()), pa.array([pack.compress(t) for t in raw], pa.binary())], names=[*others, "tkey", "z"])
+            yield pa.record_batch([*b.columns[:at], pa.array(text_keys(raw)), pa.array([pack.compress(t) for t in raw], pa.binary())], names=[*others, "tkey", "z"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:at])
     return rows.mapInArrow(run, f"{fields}, tkey long, z binary")
