@@ -115,3 +115,10 @@ def test_near_copies_against_all_pairs(spark, sf):
     linked = {r.u: r.v for r in simhash.components(simhash.copy_links(docs, nodes, "text", 5, 0.8, block_rows=2)).collect()}
     name_of = {r.doc_id: linked.get(r["__node"], r["__node"]) for r in simhash._noted(docs, "text", ["doc_id"], 5).collect()}
     assert len({(want[i], n) for i, n in name_of.items()}) == len(set(want.values())) == len(set(name_of.values()))
+
+
+def test_keep_one_where_an_id_has_several_texts(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(50)) for x in "abc")
+    rows = [(1, a), (1, b), (2, a + " end"), (3, b), (3, c), (1, a), (4, c), (None, c)]
+    got = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in got) == sorted([(1, a), (1, b), (3, c), (0, c)])

@@ -332,21 +332,24 @@ def copy_links(docs: DataFrame, nodes: DataFrame, text_col: str, k: int, similar
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = COPY_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """id_col, __node and component_id (the smallest id reachable over pairs of the similarity or more) for each row; ids as in
-    near_duplicates(). Texts without words are copies of each other."""
+    """id_col, __node, root (a component's least node) and component_id (the smallest id reachable over pairs of the similarity or
+    more) for each row; ids as in near_duplicates(). Texts without words are copies of each other."""
     marked = cut(_noted(docs, text_col, [id_col], k, bands=True))
     nodes = cut(marked.groupBy("__node").agg(F.min(id_col).alias("least"), F.first("__bands").alias("__bands")))
     linked = components(copy_links(docs, nodes, text_col, k, similarity))
     rooted = cut(nodes.join(linked, nodes["__node"] == linked.u, "left").select("__node", "least", F.coalesce("v", "__node").alias("root")))
     names = cut(rooted.groupBy("root").agg(F.min("least").alias("component_id")))
-    by_node = cut(rooted.join(names, "root").select("__node", "component_id"))
-    return marked.join(by_node, "__node").select(id_col, "__node", "component_id")
+    by_node = cut(rooted.join(names, "root").select("__node", "root", "component_id"))
+    return marked.join(by_node, "__node").select(id_col, "__node", "root", "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one document of each component of near copies, the one of the smallest id, whole and with all its columns. Of repeated rows of
-    that id one stays. Rows with a null id can't stand for a component and all stay."""
+    """docs with one document of each component of near copies, the one of the smallest id, whole and with all its columns. Where rows
+    of that id have several texts in the component, that of the least hash stays; of repeated rows of both one stays. Rows with a
+    null id can't stand for a component and all stay."""
     groups = near_copies(docs, id_col, text_col)
-    chosen = cut(groups.where(F.col(id_col) == F.col("component_id")).select(id_col).distinct())
-    kept = docs.join(chosen, id_col, "left_semi").dropDuplicates([id_col])
-    return kept.unionByName(docs.where(F.col(id_col).isNull())).select(*docs.columns)
+    mine = groups.where(F.col(id_col) == F.col("component_id"))
+    chosen = cut(mine.groupBy("root").agg(F.first(id_col).alias(id_col), F.min("__node").alias("__node")).drop("root"))
+    known = _noted(docs.where(F.col(id_col).isNotNull()), text_col, docs.columns, COPY_SHINGLE)
+    kept = known.join(chosen, [id_col, "__node"], "left_semi").dropDuplicates([id_col, "__node"])
+    return kept.select(*docs.columns).unionByName(docs.where(F.col(id_col).isNull())).select(*docs.columns)
