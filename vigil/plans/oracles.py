@@ -120,3 +120,5 @@ ORACLES: dict[str, str] = {
 
 #: Whole sets, where the SQL above takes a part.
 ORACLES["cosine_topk_all"] = ORACLES["cosine_topk"].replace("vec_id < 5", "vec_id % 100 = 0")
+ORACLES["eval_rows_all"] = ORACLES["eval_rows"].replace(" WHERE event_id % 97 = 0", "")
+ORACLES["siem_queries_all"] = ORACLES["siem_queries"].replace("SELECT incident_type, incident_type || '.kql' AS file,", "SELECT incident_type, 'sentinel' AS target, incident_type || '.kql' AS file,") + r""" UNION ALL SELECT incident_type, 'splunk', incident_type || '.spl', 'event_type="' || event_type || '"' || chr(10) || chr(10) || '| bin _time span=' || span || 'm' || chr(10) || '| stats ' || (CASE WHEN field IS NOT NULL THEN 'dc(dest_port)' ELSE 'count' END) || ' as ' || counts || ' by _time src_ip' || chr(10) || chr(10) || '| search ' || counts || ' >= ' || least FROM spec WHERE incident_type IN (SELECT incident_type FROM inc) UNION ALL SELECT incident_type, 'esql', incident_type || '.esql', 'from * metadata _id, _index, _version | where event_type=="' || event_type || '"' || chr(10) || '| eval timebucket=date_trunc(' || span || 'minutes, @timestamp) | stats ' || counts || '=' || (CASE WHEN field IS NOT NULL THEN 'count_distinct(destination.port)' ELSE 'count()' END) || ' by timebucket, source.ip' || chr(10) || '| where ' || counts || ' >= ' || least FROM spec WHERE incident_type IN (SELECT incident_type FROM inc)"""

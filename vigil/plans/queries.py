@@ -170,13 +170,22 @@ def suppress_repeats(s, d):
     return enrich.suppress_repeats(found, stored, F.lit(now), 28800).select("incident_type", "source_ip")
 
 
-@query
-def eval_rows(s, d):
-    truth = D.events(s, d).where("event_id % 97 = 0").select(F.col("event_time").alias("timestamp"), "source_ip", F.when(F.col("event_type") == "failed_login", "malicious").otherwise("benign").alias("label"))
+def _eval_rows(s, d, events):
+    truth = events.select(F.col("event_time").alias("timestamp"), "source_ip", F.when(F.col("event_type") == "failed_login", "malicious").otherwise("benign").alias("label"))
     names = ["true_positives", "false_positives", "false_negatives", "true_negatives", "precision", "recall", "f1"]
     return evaluate.evaluate_rows(incidents(s, d), truth, 600).select(*names, F.array_join("fp_source_ips", ",").alias("fp_source_ips"))
 
 
+@query
+def eval_rows(s, d):
+    return _eval_rows(s, d, D.events(s, d).where("event_id % 97 = 0"))
+
+
+@query
+def eval_rows_all(s, d):
+    return _eval_rows(s, d, D.events(s, d))
+
+
 def _labels(s, d):
     ips = D.events(s, d).select("source_ip").distinct()
     return ips.where("source_ip like '45.33.%' or source_ip like '185.220.%'").select("source_ip", F.lit(True).alias("malicious"))
@@ -259,6 +268,11 @@ def siem_queries(s, d):
     return documents.threshold_queries(incidents(s, d)).where("target = 'sentinel'").select("incident_type", "file", "query")
 
 
+@query
+def siem_queries_all(s, d):
+    return documents.threshold_queries(incidents(s, d)).select("incident_type", "target", "file", "query")
+
+
 @query
 def top_threat_sources(s, d):
     return report.top_sources(incidents(s, d), "five")
