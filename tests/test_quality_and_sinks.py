@@ -55,6 +55,16 @@ def labelled(spark):
     return df, spark.createDataFrame([(ip, True) for ip in bad], "source_ip string, malicious boolean")
 
 
+def test_sources_are_counted_without_lists(spark, sf):
+    from vigil.plans.queries import QUERIES
+
+    assert "collect_list" not in QUERIES["eval_ips"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    truth = spark.createDataFrame([("a", True), ("b", True), ("c", False), ("d", False), ("e", False)], "source_ip string, malicious boolean")
+    flagged = truth.where("source_ip in ('a', 'c')")
+    assert {(r.source_ip, r.cell) for r in evaluate.source_cells(truth, flagged).collect()} == {("a", "tp"), ("b", "fn"), ("c", "fp"), ("d", "tn"), ("e", "tn")}
+    assert tuple(evaluate.count_sources(truth, flagged).first())[:5] == (1, 1, 2, 1, 0.5)
+
+
 def test_three_levels_of_quality(spark):
     events, labels = labelled(spark)
     scores = anomaly.score_sources(events)

@@ -196,8 +196,8 @@ _KNOWN_GOOD = ["10.0.0.8", "45.33.0.1"]
 
 @query
 def eval_ips(s, d):
-    out = evaluate.quality(D.events(s, d), _labels(s, d), _KNOWN_GOOD, True, D.RULES)
-    return out.select("config", *(F.size(c).alias(c) for c in ("tp", "fp", "fn", "tn")), "precision", "recall", "f1", "accuracy")
+    out = evaluate.quality(D.events(s, d), _labels(s, d), _KNOWN_GOOD, True, D.RULES, measure=evaluate.count_sources)
+    return out.select("config", *(F.col(c).cast("int").alias(c) for c in ("tp", "fp", "fn", "tn")), "precision", "recall", "f1", "accuracy")
 
 
 @query
