@@ -61,7 +61,7 @@ def test_planted_passages(spark, monkeypatch):
     rows += rows[:4] + [(rows[6][0], rows[6][1])]
     want = brute(rows)
     assert run(spark, rows) == want
-    monkeypatch.setattr(substrings, "HOT_PLACES", 3)
+    monkeypatch.setattr(substrings, "ROUTE_ROWS", 1)
     monkeypatch.setattr(substrings, "SHARD_ROWS", 50)
     assert run(spark, rows) == want
 
@@ -96,12 +96,27 @@ def test_texts_of_one_id_and_checksum(spark):
 def test_index_parts():
     rng = np.random.default_rng(6)
     text = rng.integers(0, 9, 700)
+    got = suffix_array(text, 20).tolist()
+    assert sorted(got) == list(range(700)) and [text[k : k + 20].tolist() for k in got] == sorted(text[k : k + 20].tolist() for k in range(700))
     assert suffix_array(text).tolist() == sorted(range(len(text)), key=lambda k: text[k:].tolist())
-    wavelet = WaveletMatrix(text)
+    wavelet = WaveletMatrix(text, np.bincount(text))
     c, at = rng.integers(0, 9, 300), rng.integers(0, 701, 300)
     assert wavelet.rank(c, at).tolist() == [int((text[:p] == s).sum()) for s, p in zip(c, at)]
     text = np.concatenate([rng.integers(1, 4, 300), [0]])
-    who, lo, hi = FMIndex(text, np.arange(301)).earlier_matches(np.array([0]), np.array([300]), 6)
+    order = np.arange(301)
+    index = FMIndex(text, order, 300)
+    who, lo, hi = index.matches(text, order, np.array([0]), np.array([300]), 6)
     covered = {s for a, b in zip(lo, hi) for s in range(a, b - 5)}
     tuples = [tuple(text[s : s + 6]) for s in range(295)]
     assert covered == {s for s in range(295) if tuples.index(tuples[s]) < s} and not who.any()
+    found = index.occur(text, order, np.arange(295), np.arange(6, 301))
+    assert found.tolist() == [tuples.index(tuples[s]) < s for s in range(295)]
+
+
+def test_index_is_compressed():
+    rng = np.random.default_rng(7)
+    text = np.concatenate([rng.zipf(1.5, 20_000) % 3000 + 1, [0]])
+    counts = np.bincount(text)
+    share = counts[counts > 0] / len(text)
+    entropy = -(share * np.log2(share)).sum()
+    assert WaveletMatrix(text, counts).bits() < len(text) * (entropy + 1) + 64 * 20 < len(text) * int(text.max()).bit_length()

@@ -113,9 +113,23 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte spans, equal for equal bytes wherever they stand."""
+    """64-bit hashes of byte spans, equal for equal bytes wherever they stand. Long data is hashed block by block."""
     if not len(starts):
         return np.zeros(0, np.uint64)
+    if len(data) > 2 * SLICE_BYTES:
+        order = np.argsort(starts, kind="stable")
+        out, i = np.empty(len(starts), np.uint64), 0
+        while i < len(order):
+            first = starts[order[i]]
+            j = max(i + 1, int(np.searchsorted(starts, first + SLICE_BYTES, "left", sorter=order)))
+            own = order[i:j]
+            out[own] = _span_hashes(data[first : ends[own].max()], starts[own] - first, ends[own] - first)
+            i = j
+        return out
+    return _span_hashes(data, starts, ends)
+
+
+def _span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_BYTE[data] * powers("up", len(data))[: len(data)], out=sums[1:])
     return mix((sums[ends] - sums[starts]) * powers("down", len(data) + 1)[starts])

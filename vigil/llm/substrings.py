@@ -1,9 +1,11 @@
 """Substring deduplication: words covered by a window of 20 words that also starts earlier are removed.
 
-Equal windows have the same least five-word hash (minimizer), so only windows whose minimizer occurs twice can repeat. The stretches
-of words around those, each once with its first place, are routed by minimizer to shards, and each shard is a compressed FM-index:
-backward search over its wavelet matrix gives the matching statistics of every stretch against all earlier ones. Minimizers
-with very many places are routed by whole windows instead, so that no shard grows with them.
+Equal windows have the same least eight-word hash (minimizer), so only windows whose minimizer occurs twice can repeat. The stretches
+of words around those are routed by minimizer to shards. A shard indexes the distinct stretches at their first places in a compressed
+FM-index and streams them against it: backward search over the wavelet matrix gives matching statistics, and intervals of at least
+20 words with an earlier place are what to remove. Copies of a stretch are put together before they are sent; those after its first
+place share the answer for its last one. Minimizers around which too many distinct stretches stand are split by longer
+minimizers inside those stretches, which go to shards of their own in the same way.
 """
 
 from __future__ import annotations
@@ -15,23 +17,24 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigil.llm.common import SPACE, cut, gram_hashes, mix, read, span_hashes, text_slices, word_bounds
 from vigil.llm.fmindex import FMIndex
 
 WINDOW = 20
-GRAM = 5
-#: Places of a minimizer from which its windows are routed one by one.
-HOT_PLACES = 2000
+#: Words of minimizers, and of those that split a minimizer with more than ROUTE_ROWS distinct stretches. The last is the window: its
+#: stretches are single windows, one for each minimizer.
+GRAMS = (8, 14, WINDOW)
 #: Stretches in a shard, about.
-SHARD_ROWS = 4000
+SHARD_ROWS = 20_000
+ROUTE_ROWS = 20_000
 _LAST_ID = 2**63 - 1
 _LOW = np.uint64(0xFFFFFF)
 
 
-def minimizers(words: np.ndarray, first: np.ndarray, window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def minimizers(words: np.ndarray, first: np.ndarray, window: int = WINDOW, gram: int = GRAMS[0]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For word hashes of texts (text k has words first[k] to first[k + 1]): runs of windows with one minimizer, as its hash, the
     run's first window, and the number of windows. Of equal hashes the leftmost place counts."""
     grams = gram_hashes(words, gram)
@@ -61,7 +64,8 @@ def _normal(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[byt
     keep[1:] |= solid[:-1]
     flat = data.copy()
     flat[~solid] = 0x20
-    place = np.concatenate([[0], np.cumsum(keep)])
+    place = np.zeros(len(data) + 1, np.int32 if len(data) < 2**31 else np.int64)
+    np.cumsum(keep, out=place[1:])
     return flat[keep].tobytes(), place[starts], place[ends]
 
 
@@ -118,30 +122,25 @@ def _flat(column: pa.Array, fields: tuple[str, ...]) -> tuple[np.ndarray, list[n
 
 
 def stretches(held: DataFrame, with_words: bool) -> DataFrame:
-    """The stretches of words around repeated minimizers: route, k (a hash of the words), rid, tkey, a (first window), n (windows),
-    and words, if asked for. held: rid, tkey, z, places (h, a, n, hot). A hot minimizer's windows are stretches of their own."""
+    """The stretches of words around repeated minimizers: route (the minimizer), k (a hash of the words), rid, tkey, a (first window),
+    n (windows), and words, if asked for. held: rid, tkey, z, places (h, a, n)."""
 
     names = ["route", "k", "rid", "tkey", "a", "n", "words"][: 6 + with_words]
 
     def run(batches):
         for b in batches:
             rid, tkey = (b.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
-            counts, (h, a, n, hot) = _flat(b.column(3), ("h", "a", "n", "hot"))
+            counts, (h, a, n) = _flat(b.column(3), ("h", "a", "n"))
             edges = np.concatenate([[0], np.cumsum(counts)])
             for first, end, data, offsets in text_slices(_unpacked(b.column(2))):
                 starts, ends, heads = word_bounds(data, offsets)
                 buf, x, y = _normal(data, starts, ends)
                 own = slice(edges[first], edges[end])
-                times = np.where(hot[own], n[own], 1)  # a hot run's windows come one by one
-                at = np.repeat(np.arange(edges[first], edges[end]), times)
-                row = np.repeat(np.arange(first, end), counts[first:end])[at - edges[first]]
-                start = a[at] + np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times)
-                size = np.where(hot[at], 1, n[at])
-                word = heads[row - first] + start
-                lo, hi = x[word], y[word + size + WINDOW - 2]
+                row = np.repeat(np.arange(first, end), counts[first:end])
+                word = heads[row - first] + a[own]
+                lo, hi = x[word], y[word + n[own] + WINDOW - 2]
                 k = span_hashes(np.frombuffer(buf, np.uint8), lo, hi)
-                route = np.where(hot[at], mix(k + np.uint64(1)).view(np.int64), h[at])
-                out = [pa.array(route), pa.array(k.view(np.int64)), pa.array(rid[row]), pa.array(tkey[row]), pa.array(start.astype(np.int32)), pa.array(size.astype(np.int32))]
+                out = [pa.array(h[own]), pa.array(k.view(np.int64)), pa.array(rid[row]), pa.array(tkey[row]), pa.array(a[own]), pa.array(n[own])]
                 if with_words:
                     out.append(pa.array([buf[i:j] for i, j in zip(lo.tolist(), hi.tolist(), strict=True)], pa.binary()))
                 yield pa.record_batch(out, names=names)
@@ -149,48 +148,101 @@ def stretches(held: DataFrame, with_words: bool) -> DataFrame:
     return held.select("rid", "tkey", "z", "places").mapInArrow(run, "route long, k long, rid long, tkey long, a int, n int" + ", words binary" * with_words)
 
 
-def search_shard(words: list[bytes], rid: np.ndarray, a: np.ndarray, n: np.ndarray, window: int = WINDOW) -> np.ndarray:
-    """For each stretch a mask of its windows (bit i: window a + i) that also start earlier in the shard. Stretch k stands at word
-    a[k] of text rid[k] and has n[k] windows."""
-    known: dict[bytes, int] = {}
-    symbols, start = [], np.zeros(len(words), np.int64)
-    for k, stretch in enumerate(words):
-        start[k] = len(symbols)
-        symbols += [known.setdefault(w, len(known) + 1) for w in stretch.split(b" ")]
-        symbols.append(0)
-    text = np.array(symbols, np.int64)
+def search_shard(words: list[bytes], n: np.ndarray, rid: np.ndarray, a: np.ndarray, last_rid: np.ndarray, last_a: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct stretches of n[k] windows, of which the first one in the corpus starts at word a[k] of text rid[k], the last one at
+    word last_a[k] of text last_rid[k], are indexed at their first places. Then the stretches are streamed against the index at
+    their first and, if that is another one, at their last place. Returns for both a mask of those windows (bit i: the i-th) that
+    also start earlier; what holds at the last place holds at all between."""
     sizes = n + window - 1
+    flat = b" ".join(words).split(b" ")
+    known = {w: k + 1 for k, w in enumerate(dict.fromkeys(flat))}
+    start = np.cumsum(sizes + 1) - sizes - 1
+    text = np.zeros(int(sizes.sum()) + len(n), np.int64)
     within = np.arange(len(text)) - np.repeat(start, sizes + 1)
-    place = np.repeat(a, sizes + 1) + within
-    order = np.lexsort((place, np.repeat(rid, sizes + 1)))
-    own_rid = np.repeat(rid, sizes + 1)[order]
-    fresh = np.concatenate([[False], (own_rid[1:] != own_rid[:-1]) | (np.diff(place[order]) != 0)])
-    rank = np.empty(len(text), np.int64)
-    rank[order] = np.cumsum(fresh)
-    stretch, lo, hi = FMIndex(text, rank).earlier_matches(start, start + sizes, window)
-    mask = np.zeros(len(words), np.int64)
-    first, count = lo - start[stretch], hi - lo - window + 1
-    np.bitwise_or.at(mask, stretch, ((np.int64(1) << count) - 1) << first)
-    return mask
+    text[within < np.repeat(sizes, sizes + 1)] = np.fromiter(map(known.__getitem__, flat), np.int64, len(flat))
+
+    rids = np.unique(np.concatenate([rid, last_rid]))
+    width = int(max(a.max(initial=0), last_a.max(initial=0))) + int(sizes.max(initial=0)) + 2
+    first, last = (np.searchsorted(rids, r) * width + at for r, at in ((rid, a), (last_rid, last_a)))  # places, in their order
+    place = np.repeat(first, sizes + 1) + within
+    known_places = np.sort(place)
+    order = np.searchsorted(known_places, place)
+    index = FMIndex(text, order, int(sizes.max(initial=0)) + 1)
+
+    stream = np.concatenate([text, text])
+    own = np.concatenate([order, np.searchsorted(known_places, np.repeat(last, sizes + 1) + within)])
+    # The words that all windows of a stretch share: if they aren't there earlier, no window is.
+    alive = np.flatnonzero(index.occur(stream, own, start + n - 1, start + window))
+    later = np.flatnonzero(first != last)
+    who, begin = np.concatenate([alive, later]), np.concatenate([start[alive], start[later] + len(text)])
+    k, lo, hi = index.matches(stream, own, begin, begin + sizes[who], window)
+    masks = np.zeros((2, len(n)), np.int64)
+    np.bitwise_or.at(masks, ((k >= len(alive)).astype(int), who[k]), ((np.int64(1) << (hi - lo - window + 1)) - 1) << (lo - begin[k]))
+    return masks[0], masks[1]
+
+
+def _distinct(seen: DataFrame) -> DataFrame:
+    """Distinct stretches (route, k, n, words) with their first and last places. seen: those, first and last."""
+    return cut(seen.groupBy("route", "k", "n").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.first("words").alias("words")))
+
+
+def _shorter(heavy: DataFrame, gram: int) -> DataFrame:
+    """Each stretch by its minimizers of gram words: route, k, n, words, first, last of the parts, off (the first of a part's windows)
+    and up (route, k, n of the whole)."""
+    rows = heavy.select("words", F.struct("route", "k", "n").alias("up"), "first", "last")
 
+    def run(batches):
+        for b in batches:
+            for at, end, data, offsets in text_slices(b.column(0).cast(pa.string())):
+                starts, ends, heads = word_bounds(data, offsets)
+                h, a, n = minimizers(span_hashes(data, starts, ends), heads, gram=gram)
+                row = np.searchsorted(heads, a, "right") - 1
+                lo, hi, raw = starts[a], ends[a + n + WINDOW - 2], data.tobytes()
+                words = pa.array([raw[i:j] for i, j in zip(lo.tolist(), hi.tolist(), strict=True)], pa.binary())
+                up = [c.slice(at, end - at).take(pa.array(row)) for c in b.columns[1:]]
+                made = [h.view(np.int64), span_hashes(data, lo, hi).view(np.int64), n.astype(np.int32), (a - heads[row]).astype(np.int32)]
+                yield pa.record_batch([*map(pa.array, made), words, *up], names=["route", "k", "n", "off", "words", "up", "first", "last"])
+
+    place = "struct<rid: bigint, a: int>"
+    parts = rows.mapInArrow(run, f"route long, k long, n int, off int, words binary, up struct<route: bigint, k: bigint, n: int>, first {place}, last {place}")
+    moved = lambda c: F.struct(F.col(c).rid.alias("rid"), (F.col(c).a + F.col("off")).alias("a")).alias(c)
+    return parts.select("route", "k", "n", "words", "off", "up", moved("first"), moved("last"))
 
-def covers(held: DataFrame) -> DataFrame:
-    """rid, tkey, windows: which windows (a: first of a run, mask: of those that follow) of each text start earlier elsewhere."""
-    seen = stretches(held, True)
-    reps = cut(seen.groupBy("route", "k", "n").agg(F.min(F.struct("rid", "a")).alias("at"), F.first("words").alias("words")))
-    shards = reps.count() // SHARD_ROWS + 1
+
+def _mask_at(place: Column) -> Column:
+    return F.when(place == F.col("at"), F.col("mask")).otherwise(F.col("later"))
+
+
+def judged(known: DataFrame, level: int = 0) -> DataFrame:
+    """route, k, n of distinct stretches, at (the first place), and masks of the windows that start earlier: mask for the first place,
+    later for the others. known: what _distinct() gives."""
+    crowd = cut(known.groupBy("route").count().where(F.col("count") > ROUTE_ROWS).select("route"))
+    split = level + 1 < len(GRAMS) and not crowd.isEmpty()
+    light = known.join(crowd, "route", "left_anti") if split else known
+    shards = light.count() // SHARD_ROWS + 1
 
     def run(t: pa.Table) -> pa.Table:
-        at = t.column("at").combine_chunks()
-        rid, a = (at.field(f).to_numpy(zero_copy_only=False) for f in ("rid", "a"))
-        mask = search_shard(t.column("words").to_pylist(), rid, a.astype(np.int64), t.column("n").to_numpy().astype(np.int64))
-        return pa.table([t.column("route"), t.column("k"), t.column("n"), pa.array(rid), pa.array(a), pa.array(mask)], names=["route", "k", "n", "rid1", "a1", "mask"])
+        first, last = (t.column(c).combine_chunks() for c in ("first", "last"))
+        rid, a, last_rid, last_a = (c.field(f).to_numpy(zero_copy_only=False).astype(np.int64) for c in (first, last) for f in ("rid", "a"))
+        mask, later = search_shard(t.column("words").to_pylist(), t.column("n").to_numpy().astype(np.int64), rid, a, last_rid, last_a)
+        return pa.table([t.column("route"), t.column("k"), t.column("n"), first, pa.array(mask), pa.array(later)], names=["route", "k", "n", "at", "mask", "later"])
 
     shard = F.pmod(F.xxhash64("route"), F.lit(shards))
-    found = reps.withColumn("shard", shard).groupBy("shard").applyInArrow(run, "route long, k long, n int, rid1 long, a1 int, mask long")
-    here = (F.col("rid") == F.col("rid1")) & (F.col("a") == F.col("a1"))
-    every = F.expr("shiftleft(1L, n) - 1")  # a later place of the same words: all its windows start earlier
-    hits = stretches(held, False).join(found, ["route", "k", "n"]).select("rid", "tkey", "a", F.when(here, F.col("mask")).otherwise(every).alias("mask"))
+    found = light.withColumn("shard", shard).groupBy("shard").applyInArrow(run, "route long, k long, n int, at struct<rid: bigint, a: int>, mask long, later long")
+    if not split:
+        return found
+    parts = cut(_shorter(known.join(crowd, "route", "left_semi"), GRAMS[level + 1]))
+    answers = parts.join(judged(_distinct(parts), level + 1), ["route", "k", "n"])
+    whole = answers.select("up", "first", F.expr("shiftleft(later, off)").alias("later"), _mask_at(F.col("first")).alias("mask"), "off")
+    whole = whole.groupBy("up").agg(F.min("first").alias("at"), F.bit_or(F.expr("shiftleft(mask, off)")).alias("mask"), F.bit_or("later").alias("later"))
+    return found.unionByName(whole.select("up.route", "up.k", "up.n", "at", "mask", "later"))
+
+
+def covers(held: DataFrame) -> DataFrame:
+    """rid, tkey, windows: which windows (a: first of a run, mask: of those that follow) of each text start earlier elsewhere."""
+    place = F.struct("rid", "a")
+    found = judged(_distinct(stretches(held, True).withColumn("first", place).withColumn("last", place)))
+    hits = stretches(held, False).join(found, ["route", "k", "n"]).select("rid", "tkey", "a", _mask_at(place).alias("mask"))
     return hits.where("mask <> 0").groupBy("rid", "tkey").agg(F.collect_set(F.struct("a", "mask")).alias("windows"))
 
 
@@ -242,8 +294,8 @@ def _finish(rows: DataFrame, text_out: bool) -> DataFrame:
 def _dedup(docs: DataFrame, text_out: bool) -> DataFrame:
     """docs: rid, text and columns to keep."""
     runs = anchors(docs)
-    repeated = cut(runs.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h", (F.col("c") > HOT_PLACES).alias("hot")))
-    places = runs.join(repeated, "h").groupBy("rid", "tkey").agg(F.collect_set(F.struct("h", "a", "n", "hot")).alias("places"))
+    repeated = cut(runs.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h"))
+    places = runs.join(repeated, "h").groupBy("rid", "tkey").agg(F.collect_set(F.struct("h", "a", "n")).alias("places"))
     kept = cut(_packed(docs).join(places, ["rid", "tkey"], "left"))
     none = F.lit(None).cast("array<struct<a:int,mask:bigint>>")
     plain = kept.where("places is null").drop("places").withColumn("windows", none)
@@ -274,4 +326,5 @@ def remove_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
 
 def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """dedup_substrings() of all documents; odd rows as there."""
     return dedup_substrings(read(spark, sf_dir, "documents"))
