@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 
 from vigil.llm import pii
 from vigil.llm.common import read
@@ -66,3 +67,23 @@ def test_redaction_and_empty_table(spark):
     got = {r.doc_id: r for r in pii.redact(docs).collect()}
     assert got[1].text == "é mail <email> or <phone>." and got[2].text is None and got[3].text == "" and got[4].text == "none" and got[1].lang == "en"
     assert pii.find_pii(docs.limit(0)).count() == 0 and pii.redact(docs.limit(0)).count() == 0
+
+
+def test_text_of_many_spans(spark):
+    lines = [f"write to user{i}@host{i % 7}.example.org or +49 151 {1000000 + i} from 10.0.{i % 256}.7, née (555) 123-4567" for i in range(5400)]
+    text = "\n".join(lines)
+    docs = spark.createDataFrame([(1, text, "kept"), (2, "a@b.de", None)], "doc_id long, text string, __base string")
+    began = time.time()
+    rows = {r.doc_id: r for r in pii.find_pii(docs).collect()}
+    clean = {r.doc_id: r for r in pii.redact(docs).collect()}
+    assert time.time() - began < 40, "work that doesn't grow with the square of the spans takes a few seconds"
+    assert rows[1].n_email == rows[1].n_ip == rows[1].n_phone == 5400
+    spans = rows[1].spans.split(",")
+    assert set(brute(text)) <= set(spans)
+    assert clean[1]["__base"] == "kept" and clean[2].text == "<email>"
+    at, out = 0, []
+    for a, b, kind in sorted((int(a), -int(b), kind) for kind, a, b in (s.split(":") for s in spans)):
+        if a >= at:
+            out += [text[at:a], f"<{kind}>"]
+        at = max(at, -b)
+    assert clean[1].text == "".join(out) + text[at:]

@@ -33,13 +33,13 @@ LOOSE = {
     "card": r"(?<![0-9])(?<![0-9][ -])[0-9]{4}[ -]?[0-9]{4,6}[ -]?[0-9]{4,5}(?![0-9]|[ -][0-9])",
     "phone": r"(?<![0-9+.-])(?<![0-9] )\(?[0-9]{3}\)?[ .-]{1,2}[0-9]{3}[ .-][0-9]{4}(?![0-9]|[.-][0-9])",
 }
-#: Gazetteers: what the text of a span of the kind tends to have.
-GAZETTEER = {
-    "email": r"(?i)(?:\.|dot[)\]] ?)(?:com|org|net|edu|gov|io|de|fr|es|uk|info)$",
-    "ip": r"(?i)^(?:2[0-9a-f]{3}|f[cde][0-9a-f]{2}|[0-9]{1,3}\.)",
-    "card": r"^(?:4|5[1-5]|2[2-7]|3[47]|6011|65)",
-    "phone": r"^(?:\+(?:1|33|34|44|49)[ (.-]|\(?[2-9][0-9]{2}\)?[ .-])",
-}
+# Generic top-level domains, calling codes, issuer prefixes of cards, blocks of version 6 addresses.
+GENERIC_DOMAINS = "com org net edu gov mil int info biz name pro aero coop museum mobi jobs travel tel cat asia post app dev xyz online site"
+CALLING_CODES = "1 7 20 27 3[0-469] 4[013-9] 5[1-8] 6[0-6] 8[1246] 9[0-58] 21[0-9] 22[0-9] 23[0-9] 24[0-9] 25[0-8] 26[0-9] 29[0-9] 35[0-9] 37[0-9] 38[0-9] 42[0-9] 50[0-9] 59[0-9] 67[0-9] 68[0-9] 69[0-2] 85[0-9] 88[0-9] 96[0-8] 97[0-9] 99[2-8]"
+CARD_ISSUERS = "4 5[0-8] 222[1-9] 22[3-9] 2[3-6] 27[01] 2720 3[47] 30[0-5] 3095 3[689] 35[2-8] 6011 6[2357] 64[4-9]"
+V6_BLOCKS = "[23][0-9a-f]{3} f[cd][0-9a-f]{2} fe[89ab][0-9a-f]"
+
+
 #: Words that tend to stand before a span of the kind.
 CONTEXT = {
     "email": r"(?i)mail|contact|write|reach|send|address",
@@ -48,9 +48,45 @@ CONTEXT = {
     "phone": r"(?i)phone|call|tel\b|mobile|cell|fax|dial|reach|contact",
 }
 CONTEXT_CHARS = 32
+#: Elements that one fold takes up, and characters of a piece of text: what is done for each span doesn't grow with the text.
+BLOCK = 128
+CHUNK = 1024
 LABELERS = ("pattern", "gazetteer", "form", "context")
 
 
+def gazetteers(spark: SparkSession) -> dict[str, str]:
+    """Patterns of what the text of a span of each kind tends to have; the country codes are those the JVM knows."""
+    one_of = lambda words: "(?:" + "|".join(words.split()) + ")"
+    countries = " ".join(sorted(c.lower() for c in spark._jvm.java.util.Locale.getISOCountries()))
+    return {
+        "email": rf"(?i)(?:\.|dot[)\]] ?){one_of(f'{GENERIC_DOMAINS} eu uk {countries}')}$",
+        "ip": rf"(?i)^(?:{one_of(V6_BLOCKS)}:|[0-9]{{1,3}}\.)",
+        "card": rf"^{one_of(CARD_ISSUERS)}",
+        "phone": rf"^(?:\+{one_of(CALLING_CODES)}|\(?[2-9][0-9]{{2}}\)?[ .-])",
+    }
+
+
+def _let(value: Column, body) -> Column:
+    """body(value), with value computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _blocks(items: Column) -> Column:
+    """The array in arrays of BLOCK elements. A fold that appends copies what it has, so it is kept to a block."""
+    last = F.floor((F.size(items) - 1) / BLOCK).cast("int")
+    return F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda b: F.slice(items, b * BLOCK + 1, BLOCK))
+
+
+def _chunks(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))
+
+
+def _piece(chunks: Column, start: Column, end: Column) -> Column:
+    """Characters start to end (exclusive) of a text in chunks."""
+    first, last = F.floor(start / CHUNK).cast("int"), F.floor(F.greatest(end - 1, start) / CHUNK).cast("int")
+    return F.substring(F.array_join(F.slice(chunks, first + 1, last - first + 1), ""), start - first * CHUNK + 1, end - start)
+
+
 def _luhn(digits: Column) -> Column:
     n = F.length(digits)
     value = lambda i: F.substring(digits, n - i + 1, F.lit(1)).cast("int")
@@ -73,20 +109,26 @@ def _valid(kind: str, s: Column) -> Column:
 
 
 _SPAN = "array<struct<kind:int,start:int,end:int,hit:string>>"
+_JUDGED = "array<struct<kind:int,start:int,end:int,pattern:int,gazetteer:int,form:int,context:int,edge:int,size:int>>"
 
 
 def _spans(text: Column, kind: str, pattern: str) -> Column:
     """All leftmost non-overlapping matches with code point positions: the texts between matches tell where each begins."""
     between, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    pairs = F.filter(F.arrays_zip(between.alias("gap"), hits.alias("hit")), lambda p: p["hit"].isNotNull())
+    span = lambda start, hit: F.struct(F.lit(KINDS.index(kind)).alias("kind"), start.alias("start"), (start + F.length(hit)).alias("end"), hit.alias("hit"))
 
-    def add(acc, pair):
+    def add(acc, pair):  # positions from the block's first character on
         start = acc["at"] + F.length(pair["gap"])
-        end = start + F.length(pair["hit"])
-        one = F.array(F.struct(F.lit(KINDS.index(kind)).alias("kind"), start.alias("start"), end.alias("end"), pair["hit"].alias("hit")))
-        return F.struct(end.alias("at"), F.concat(acc["out"], one).alias("out"))
+        return F.struct((start + F.length(pair["hit"])).alias("at"), F.concat(acc["out"], F.array(span(start, pair["hit"]))).alias("out"))
 
-    pairs = F.filter(F.arrays_zip(between.alias("gap"), hits.alias("hit")), lambda p: p["hit"].isNotNull())
-    return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("out")), add, lambda acc: acc["out"])
+    def follow(acc, block):
+        moved = F.transform(block["out"], lambda s: span(s["start"] + acc["at"], s["hit"]))
+        return F.struct((acc["at"] + block["at"]).alias("at"), F.concat(acc["out"], F.array(moved)).alias("out"))
+
+    start = lambda kind: F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out"))
+    folded = lambda p: F.transform(_blocks(p), lambda block: F.aggregate(block, start(_SPAN), add))
+    return _let(pairs, lambda p: F.aggregate(folded(p), start(f"array<{_SPAN}>"), follow, lambda acc: F.flatten(acc["out"])))
 
 
 def _possible(text: Column, kind: str, loose: bool) -> Column:
@@ -106,16 +148,37 @@ def _found(text: Column, kind: str, loose: bool) -> Column:
     return F.when(test, _spans(text, kind, (LOOSE if loose else BASE)[kind])).otherwise(F.array().cast(_SPAN))
 
 
+def _touches(spans: Column, c: Column) -> Column:
+    """Whether c overlaps one of the spans, which are sorted and apart: the last one that starts before c ends is found by halving."""
+    size = F.size(spans)
+
+    def halve(acc, _):
+        mid = F.floor((acc["lo"] + acc["hi"]) / 2).cast("int")
+        ahead = F.get(spans, mid)["start"] < c["end"]
+        done = acc["lo"] >= acc["hi"]
+        return F.struct(F.when(~done & ahead, mid + 1).otherwise(acc["lo"]).alias("lo"), F.when(~done & ~ahead, mid).otherwise(acc["hi"]).alias("hi"))
+
+    rounds = F.sequence(F.lit(1), F.ceil(F.log2(size + F.lit(2))).cast("int"))
+    last = F.aggregate(rounds, F.struct(F.lit(0).alias("lo"), size.alias("hi")), halve, lambda acc: acc["lo"] - 1)
+    return F.coalesce(F.get(spans, last)["end"] > c["start"], F.lit(False))
+
+
 def with_candidates(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with __base (valid base spans, by kind and start) and __loose (candidates that touch no base span, with votes)."""
     text = F.coalesce(F.col(text_col), F.lit(""))
+    lists = gazetteers(docs.sparkSession)
     valid = lambda k: F.filter(_found(text, k, False), lambda s: _valid(k, s["hit"]))
-    base = F.concat(*map(valid, KINDS))
-    loose = F.concat(*(_found(text, k, True) for k in KINDS))
-    out = docs.withColumn("__base", base).withColumn("__loose", loose)
-    apart = F.filter(F.col("__loose"), lambda c: ~F.exists(F.col("__base"), lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
-    judged = lambda spans, strict: F.transform(spans, lambda s: _votes(text, s, strict))
-    return out.withColumn("__loose", judged(apart, 0)).withColumn("__base", judged(F.col("__base"), 1))
+    out = docs.withColumn("__base", F.array(*map(valid, KINDS))).withColumn("__loose", F.concat(*(_found(text, k, True) for k in KINDS)))
+    apart = F.filter("__loose", lambda c: ~_by_any(lambda k: _touches(F.get("__base", F.lit(k)), c)))
+    judged = lambda spans, strict: F.when(F.size(spans) > 0, _let(_chunks(text), lambda ch: F.transform(spans, lambda s: _votes(ch, s, strict, lists)))).otherwise(F.array().cast(_JUDGED))
+    return out.withColumn("__loose", apart).withColumn("__base", F.flatten("__base")).withColumn("__loose", judged(F.col("__loose"), 0)).withColumn("__base", judged(F.col("__base"), 1))
+
+
+def _by_any(test) -> Column:
+    out = test(0)
+    for k in range(1, len(KINDS)):
+        out = out | test(k)
+    return out
 
 
 def _by_kind(kind: Column, test) -> Column:
@@ -125,11 +188,11 @@ def _by_kind(kind: Column, test) -> Column:
     return out
 
 
-def _votes(text: Column, s: Column, strict: int) -> Column:
+def _votes(chunks: Column, s: Column, strict: int, lists: dict[str, str]) -> Column:
     """The span with a vote of each labeler (1 yes, 0 no; of the context, 0 is an abstention) and two features."""
     hit = s["hit"]
     ahead = F.greatest(s["start"] - CONTEXT_CHARS, F.lit(0))
-    before = F.substring(text, ahead + 1, s["start"] - ahead)
+    before = _piece(chunks, ahead, s["start"])
     form = {
         "email": F.length(hit).between(6, 100),
         "ip": ~F.rlike(hit, F.lit(r"^0|\.0\d")),
@@ -140,7 +203,7 @@ def _votes(text: Column, s: Column, strict: int) -> Column:
     return F.struct(
         s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"),
         F.lit(strict).alias("pattern"),
-        vote(_by_kind(s["kind"], lambda k: F.rlike(hit, F.lit(GAZETTEER[k])))).alias("gazetteer"),
+        vote(_by_kind(s["kind"], lambda k: F.rlike(hit, F.lit(lists[k])))).alias("gazetteer"),
         vote(_by_kind(s["kind"], lambda k: form[k])).alias("form"),
         vote(_by_kind(s["kind"], lambda k: F.rlike(before, F.lit(CONTEXT[k])))).alias("context"),
         vote(F.rlike(before, F.lit(r"(?:^|[\s(\[<:,;])$"))).alias("edge"),
@@ -215,7 +278,8 @@ def vote_table(found: DataFrame) -> list[tuple[dict[str, int], int]]:
 
 
 def _all_spans(model: SpanModel) -> Column:
-    return F.array_sort(F.concat("__base", F.filter("__loose", model.accepts)), lambda a, b: F.when(a["kind"] != b["kind"], a["kind"] - b["kind"]).when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(a["end"] - b["end"]))
+    place = lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))
+    return F.array_sort(F.transform(F.concat("__base", F.filter("__loose", model.accepts)), place))
 
 
 def _written(spans: Column) -> Column:
@@ -229,33 +293,41 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     A row for each input row. Null and empty texts have no spans; repeated rows are judged alike; candidates that overlap a base
     span are dropped; an empty table gives no rows. Texts are read once: spans without texts are kept in the shared folder.
     """
-    found = cut(with_candidates(docs.select(F.col(id_col), F.col(text_col)), text_col).drop(text_col))
+    found = cut(with_candidates(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))).drop("text"))
     model = fit_spans(vote_table(found))
     count = lambda k: F.size(F.filter("__base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{KINDS[k]}")
-    return found.select(id_col, *map(count, range(len(KINDS))), F.sha2(_written(F.col("__base")), 256).alias("base_sha256"), _written(_all_spans(model)).alias("spans"))
+    return found.select(F.col("id").alias(id_col), *map(count, range(len(KINDS))), F.sha2(_written(F.col("__base")), 256).alias("base_sha256"), _written(_all_spans(model)).alias("spans"))
 
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with each span of personal data in text_col replaced by its kind in angle brackets, such as <email>; of overlapping
     spans the first stays, the longer of two with one start. Null texts stay null, other columns stay as they are."""
-    found = with_candidates(docs, text_col)
-    model = fit_spans(vote_table(with_candidates(docs.select(text_col), text_col)))
-    order = lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(b["end"] - a["end"])
-    spans = F.array_sort(_all_spans(model), order)
-    text = F.col(text_col)
+    found = with_candidates(docs.select(F.struct(*docs.columns).alias("row"), F.col(text_col).alias("text")))
+    model = fit_spans(vote_table(with_candidates(docs.select(F.col(text_col).alias("text")))))
+    by_start = lambda spans: F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("less"), s["kind"].alias("kind"))))
+    kept = "array<struct<start:int,end:int,kind:int>>"  # text before a span that stays, and its kind
 
     def add(acc, s):
-        name = F.concat(F.lit("<"), F.element_at(F.array(*map(F.lit, KINDS)), s["kind"] + 1), F.lit(">"))
-        kept = F.substring(text, acc["at"] + 1, s["start"] - acc["at"])
-        return F.when(s["start"] < acc["at"], F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out"))).otherwise(
-            F.struct(s["end"].alias("at"), F.concat(acc["out"], F.array(kept, name)).alias("out"))
-        )
+        one = F.struct(acc["at"].alias("start"), s["start"].alias("end"), s["kind"].alias("kind"))
+        out = F.when(s["start"] < acc["at"], acc["out"]).otherwise(F.concat(acc["out"], F.array(one)))
+        return F.struct(F.greatest(acc["at"], -s["less"]).alias("at"), out.alias("out"))
+
+    def reach(acc, block):  # how far the spans before each block go
+        return F.struct(F.greatest(acc["at"], -F.array_min(F.transform(block, lambda s: s["less"]))).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+
+    def clean(text: Column, spans: Column) -> Column:
+        start = lambda at, kind: F.struct(at.alias("at"), F.array().cast(kind).alias("out"))
+        whole = lambda blocks: F.aggregate(blocks, start(F.lit(0), "array<int>"), reach)
+        parts = lambda blocks, seen: F.flatten(F.transform(blocks, lambda b, i: F.aggregate(b, start(F.get(seen["out"], i), kept), add, lambda acc: acc["out"])))
+        name = lambda p: F.concat(F.lit("<"), F.element_at(F.array(*map(F.lit, KINDS)), p["kind"] + 1), F.lit(">"))
+        joined = lambda ch, blocks, seen: F.concat(F.array_join(F.transform(parts(blocks, seen), lambda p: F.concat(_piece(ch, p["start"], p["end"]), name(p))), ""), _piece(ch, seen["at"], F.greatest(F.length(text), seen["at"])))
+        return _let(_chunks(text), lambda ch: _let(_blocks(by_start(spans)), lambda blocks: _let(whole(blocks), lambda seen: joined(ch, blocks, seen))))
 
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    rest = lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text)))
-    clean = F.when(F.size(spans) > 0, F.aggregate(spans, start, add, rest)).otherwise(text)
-    return found.withColumn(text_col, clean).select(*docs.columns)
+    spans = found.select("row", "text", _all_spans(model).alias("spans"))
+    done = spans.select("row", F.when(F.size("spans") > 0, clean(F.col("text"), F.col("spans"))).otherwise(F.col("text")).alias("text"))
+    return done.select(*(F.col("text").alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns))
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """find_pii() of all documents; odd rows as there."""
     return find_pii(read(spark, sf_dir, "documents"))
