@@ -4,6 +4,9 @@ import base64
 import hashlib
 import random
 import re
+import time
+
+import pyarrow as pa
 
 from vigil.llm import secrets
 from vigil.llm.common import read
@@ -53,3 +56,18 @@ def test_markov_models_on_held_out_strings(spark, sf):
 
 def test_empty_table(spark):
     assert secrets.find_secrets(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_text_of_many_spans():
+    rng = random.Random(3)
+    parts = [f"é token={rng.randbytes(9).hex()} {rng.randbytes(14).hex()} Zz{rng.randbytes(14).hex()}X9_{i}" for i in range(16_000)]
+    text = "\n".join(parts)
+    began = time.process_time()
+    spans, tokens, counts = secrets.scan(pa.array([text, "x"]))
+    assert time.process_time() - began < 15, "work that doesn't grow with the square of the spans takes a second or two"
+    assert [f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in spans[0]] == brute(text) and len(spans[0]) > 48_000 - 200
+    few = "\n".join(parts[:300])
+    own, maybe, _ = secrets.scan(pa.array([few]))
+    plain = [(m.start(), m.end(), m[0]) for m in secrets._TOKEN.finditer(few)]
+    assert maybe[0] == [t for t in plain if not any(a < t[1] and t[0] < b for a, _, b in own[0])]
+    assert secrets._apart([(0, 0, 9), (2, 1, 4)], [(5, 7, "in"), (9, 12, "out")]) == [(9, 12, "out")]

@@ -8,7 +8,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -71,6 +73,15 @@ def _pairs(data: np.ndarray, inside: np.ndarray) -> np.ndarray:
     return np.bincount((code[:-1] * SYMBOLS + code[1:])[use], minlength=SYMBOLS * SYMBOLS)
 
 
+def _apart(spans: list[tuple[int, int, int]], others: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """Those of others (start, end, token) that overlap none of the spans (start, kind, end), which are sorted by start."""
+    if not spans:
+        return others
+    starts = [a for a, _, _ in spans]
+    reach = list(accumulate((b for _, _, b in spans), max))  # how far the spans up to each one go
+    return [o for o in others if not (n := bisect_left(starts, o[1])) or reach[n - 1] <= o[0]]
+
+
 def scan(texts: pa.Array) -> tuple[list[list], list[list], np.ndarray]:
     """Of each text its base spans and its candidates (start, end, token); and pair counts, random strings first, then ordinary."""
     spans, tokens = [], []
@@ -90,12 +101,13 @@ def scan(texts: pa.Array) -> tuple[list[list], list[list], np.ndarray]:
             low = text.lower()
             cued = "AKIA" in text or any(c in low for c in _CUES)
             own = base_spans(text) if cued or has_hex[k] else []
-            maybe = [(m.start(), m.end(), m[0]) for m in _TOKEN.finditer(text) if not any(a < m.end() and m.start() < b for a, _, b in own)] if has_token[k] else []
+            maybe = _apart(own, [(m.start(), m.end(), m[0]) for m in _TOKEN.finditer(text)]) if has_token[k] else []
             spans.append(own)
             tokens.append(maybe)
+            row = data[offsets[k] : offsets[k + 1]]
+            at = None if text.isascii() or not (own or maybe) else np.append(np.flatnonzero((row & 0xC0) != 0x80), len(row))  # bytes before each character
             for a, b, value in [(a, b, kind) for a, kind, b in own] + maybe:
-                x = offsets[k] + len(text[:a].encode())
-                y = x + len(text[a:b].encode())
+                x, y = (offsets[k] + (c if at is None else at[c]) for c in (a, b))
                 ordinary[x:y] = False
                 if value == 1 or value == 2:
                     random[x:y] = True
@@ -173,4 +185,5 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """find_secrets() of all documents; odd rows as there."""
     return find_secrets(read(spark, sf_dir, "documents"))
