@@ -54,6 +54,15 @@ def test_clusters_ties_and_odd_vectors(spark):
     assert mine == ties
 
 
+def test_queries_that_lack_neighbours_see_all(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    x = np.concatenate([rng.normal(size=(2000, 8)), 100 + rng.normal(size=(5, 8)), -100 + rng.normal(size=(5, 8))])
+    monkeypatch.setattr(ann.Index, "limits", lambda index, q, k: (np.full(len(q), 1e3), np.full(len(q), 1e3)))
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = ann.nearest(rows, F.col("id") % 20 == 0).collect()
+    assert recall(got, brute(np.arange(len(x)), x)) >= 0.9
+
+
 def test_few_and_no_rows(spark):
     few = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.5]), (2, [-1.0, 0.0])], "vec_id long, embedding array<float>")
     assert [(r.query_id, r.rank, r.vec_id, r.score) for r in ann.nearest(few, F.col("id") % 20 == 0).orderBy("rank").collect()] == [(0, 1, 1, 0.5), (0, 2, 2, -1.0)]

@@ -1,8 +1,8 @@
 """Approximate nearest neighbours by inner product: an inverted file with product-quantised residuals.
 
 Coarse centroids and residual codebooks are fitted on a bounded sample. Every vector is filed under its centroid with the code of
-its residual. A query visits the lists of its best centroids, ranks their vectors by asymmetric distance tables, and the best of
-each cell are scored again exactly. How many lists to visit is set from the sample's own neighbours.
+its residual. A query visits the lists of its best centroids and ranks their vectors by asymmetric distance tables; those that the
+sample's scores say may be among the best are scored again exactly. How many lists to visit is set from the sample's own neighbours.
 """
 
 from __future__ import annotations
@@ -23,10 +23,17 @@ CODES = 256
 PART_DIMS = 8
 #: Share of the sample's neighbours whose lists must be visited.
 TARGET = 0.96
-#: Vectors in a cell (some short lists or a block of a long one), candidates scored exactly per query and cell, queries per block.
-CELL_ROWS = 8192
+#: Vectors in a cell (some short lists or a block of a long one) as long as there are at most MAX_CELLS cells, candidates scored
+#: exactly per query and cell at most, and queries per block.
+CELL_ROWS = 1024
+MAX_CELLS = 4096
 RERANK = 256
 QUERY_ROWS = 200_000
+#: Sample rows whose scores tell a query what is worth scoring exactly or returning, how many candidates each query expects to score
+#: exactly in all, and by how much more of the sample than its share is taken for safety.
+JUDGES = 4096
+EXPECTED = 1024
+SPARE = 1.5
 
 
 def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 10) -> np.ndarray:
@@ -52,6 +59,8 @@ class Index:
     books: list[np.ndarray]  # for each part of the dims: codes x width
     parts: list[tuple[int, int]]
     probes: int
+    judges: np.ndarray  # vectors of the sample
+    rows: int  # vectors in all
 
     def code(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """List and residual codes of each vector."""
@@ -59,6 +68,21 @@ class Index:
         rest = x - self.centroids[lists]
         return lists, np.stack([_nearest(rest[:, a:b], book) for (a, b), book in zip(self.parts, self.books, strict=True)], 1).astype(np.uint8)
 
+    def restored(self, x: np.ndarray) -> np.ndarray:
+        """What the codes of vectors say they are."""
+        lists, codes = self.code(x)
+        return self.centroids[lists] + np.concatenate([book[c] for book, c in zip(self.books, codes.T, strict=True)], 1)
+
+    def limits(self, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """For each query the guessed score that about EXPECTED vectors reach and the exact one that more than k reach, as far as the
+        sample can tell; half a millionth below, so that rounding decides nothing."""
+        out = []
+        for x, wanted in ((self.restored(self.judges), EXPECTED), (self.judges, k)):
+            n = min(len(x), int(np.ceil(SPARE * wanted * len(x) / max(self.rows, 1))) + 8)
+            edge = np.concatenate([np.partition(q[i : i + 256] @ x.T, len(x) - n, axis=1)[:, len(x) - n] for i in range(0, len(q), 256)] or [np.zeros(0)])
+            out.append(edge - 5e-7 * np.abs(edge))
+        return out[0], out[1]
+
     def visits(self, q: np.ndarray) -> np.ndarray:
         """The lists that each query visits, best first."""
         return np.argsort(-(q @ self.centroids.T), axis=1, kind="stable")[:, : self.probes]
@@ -74,18 +98,24 @@ def fit_index(sample: np.ndarray, rows: int, k: int = 20, seed: int = 11) -> Ind
     rest = sample - centroids[own]
     parts = [(a, min(a + PART_DIMS, dims)) for a in range(0, dims, PART_DIMS)]
     books = [_kmeans(rest[:, a:b], CODES, rng, 6) for a, b in parts]
-    ask = sample[rng.choice(len(sample), min(400, len(sample)), replace=False)]
-    top = np.argsort(-(ask @ sample.T), axis=1)[:, 1 : k + 1]
+    who = rng.choice(len(sample), min(400, len(sample)), replace=False)
+    ask = sample[who]
+    score = ask @ sample.T
+    score[np.arange(len(who)), who] = -np.inf  # none is its own neighbour
+    top = np.argsort(-score, axis=1)[:, : min(k, len(sample) - 1)]
     rank = np.argsort(np.argsort(-(ask @ centroids.T), axis=1), axis=1)
     need = np.take_along_axis(rank, own[top], 1).ravel()
     probes = int(np.quantile(need, TARGET)) + 1 if len(need) else len(centroids)
-    return Index(centroids, books, parts, min(probes, len(centroids)))
+    judges = sample[rng.choice(len(sample), min(JUDGES, len(sample)), replace=False)]
+    return Index(centroids, books, parts, min(probes, len(centroids)), judges, rows)
 
 
-def search_cell(index: Index, q: np.ndarray, q_ids: np.ndarray, visits: list[np.ndarray], v: np.ndarray, ids: np.ndarray, lists: np.ndarray, codes: np.ndarray, k: int) -> list[np.ndarray]:
-    """The k best vectors of a cell for each query: query, vector and score arrays. Vectors stand in order of their ids."""
+def search_cell(index: Index, q: np.ndarray, q_ids: np.ndarray, visits: list[np.ndarray], limits: tuple[np.ndarray, np.ndarray], v: np.ndarray, ids: np.ndarray, lists: np.ndarray, codes: np.ndarray, k: int) -> list[np.ndarray]:
+    """The k best vectors of a cell at most for each query, as far as they reach its limits: query, vector and score arrays. Vectors
+    stand in order of their ids."""
     out = [[], [], []]
     rows_of = {int(m): np.flatnonzero(lists == m) for m in np.unique(lists)}
+    few = min(RERANK, len(v))
     for first in range(0, len(q), 64):
         part = q[first : first + 64]
         guess = np.full((len(part), len(v)), -np.inf)
@@ -102,19 +132,20 @@ def search_cell(index: Index, q: np.ndarray, q_ids: np.ndarray, visits: list[np.
             for table, code in zip(tables, codes[rows].T, strict=True):
                 score += table[who][:, code]
             guess[np.ix_(who, rows)] = score
-        few = min(RERANK, len(v))
-        edge = -np.partition(-guess, few - 1, axis=1)[:, few - 1]
-        for i in range(len(part)):
-            sure = np.flatnonzero(guess[i] > edge[i])
-            pick = sure
-            if len(sure) < few and edge[i] > -np.inf:  # of equal guesses those with the smallest ids
-                pick = np.concatenate([sure, np.flatnonzero(guess[i] == edge[i])[: few - len(sure)]])
-            pick = pick[ids[pick] != q_ids[first + i]]
-            exact = (v[pick] * part[i]).sum(axis=1)
-            best = np.lexsort((ids[pick], -exact))[:k]
-            out[0].append(np.full(len(best), q_ids[first + i]))
-            out[1].append(ids[pick][best])
-            out[2].append(exact[best])
+        least, lowest = (x[first : first + 64] for x in limits)
+        near = (guess >= least[:, None]) & np.isfinite(guess) & (ids != q_ids[first : first + 64, None])
+        for i in np.flatnonzero(near.sum(1) > few):  # of equal guesses those with the smallest ids
+            pick = np.flatnonzero(near[i])
+            near[i, pick[np.argsort(-guess[i, pick], kind="stable")[few:]]] = False
+        i, at = np.nonzero(near)
+        exact = (v[at] * part[i]).sum(axis=1)
+        reach = exact >= lowest[i]
+        i, at, exact = i[reach], at[reach], exact[reach]
+        order = np.lexsort((ids[at], -exact, i))
+        i, at, exact = i[order], at[order], exact[order]
+        best = np.arange(len(i)) - np.searchsorted(i, i) < k
+        for x, y in zip(out, (q_ids[first : first + 64][i], ids[at], exact), strict=True):
+            x.append(y[best])
     return [np.concatenate(x) if x else np.zeros(0) for x in out]
 
 
@@ -156,17 +187,19 @@ def nearest(vectors: DataFrame, queries: Column, id_col: str = "vec_id", vector_
     filed = cut(rows.mapInArrow(file, "id long, v array<double>, list int, code binary"))
     sizes = {r.list: r.n for r in filed.groupBy("list").agg(F.count("*").alias("n")).collect()}  # a row for each list
     first, blocks, cell, load = {}, {}, 0, 0
+    cell_rows = max(CELL_ROWS, -(-total // MAX_CELLS))
     for m in range(len(index.centroids)):
         n = sizes.get(m, 0)
-        if load and load + n > CELL_ROWS:
+        if load and load + n > cell_rows:
             cell, load = cell + 1, 0
-        first[m], blocks[m] = cell, max(1, -(-n // CELL_ROWS))
+        first[m], blocks[m] = cell, max(1, -(-n // cell_rows))
         cell, load = (cell + blocks[m], 0) if blocks[m] > 1 else (cell, load + n)
 
     def visit(batches):
         for b in batches:
+            q = matrix(b.column(1))
             who, cells, seen = [], [], []
-            for i, lists in enumerate(index.visits(matrix(b.column(1)))):
+            for i, lists in enumerate(index.visits(q)):
                 by_cell: dict[int, list[int]] = {}
                 for m in lists.tolist():
                     for c in range(first[m], first[m] + blocks[m]):
@@ -175,26 +208,47 @@ def nearest(vectors: DataFrame, queries: Column, id_col: str = "vec_id", vector_
                 cells += by_cell
                 seen += by_cell.values()
             at = pa.array(who, pa.int64())
-            yield pa.record_batch([b.column(0).take(at), b.column(1).take(at), pa.array(cells, pa.int32()), pa.array(seen, pa.list_(pa.int32()))], names=["query_id", "q", "cell", "lists"])
+            edges = [pa.array(x).take(at) for x in index.limits(q, k)]
+            yield pa.record_batch([b.column(0).take(at), b.column(1).take(at), pa.array(cells, pa.int32()), pa.array(seen, pa.list_(pa.int32())), *edges], names=["query_id", "q", "cell", "lists", "least", "lowest"])
 
-    asked = rows.where(queries).dropDuplicates(["id"])
-    turns = asked.count() // QUERY_ROWS + 1
-    sent = asked.mapInArrow(visit, "query_id long, q array<double>, cell int, lists array<int>").withColumn("turn", F.pmod(F.xxhash64("query_id"), F.lit(turns)).cast("int"))
+    names = "query_id long, q array<double>, cell int, lists array<int>, least double, lowest double"
     table = lambda d: F.create_map(*(F.lit(x) for m in d.items() for x in m))
     block = F.pmod(F.xxhash64("id"), F.element_at(table(blocks), F.col("list"))).cast("int")
-    kept = filed.withColumn("cell", F.element_at(table(first), F.col("list")) + block).withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(turns - 1))))
+    held = filed.withColumn("cell", F.element_at(table(first), F.col("list")) + block)
 
     def search(asked: pa.Table, held: pa.Table) -> pa.Table:
-        held = held.sort_by("id")
-        codes = np.frombuffer(b"".join(held.column("code").to_pylist()), np.uint8).reshape(len(held), len(index.parts))
-        visits = [np.array(x) for x in asked.column("lists").to_pylist()]
-        found = search_cell(index, matrix(asked.column("q")), asked.column("query_id").to_numpy(), visits, matrix(held.column("v")), held.column("id").to_numpy(), held.column("list").to_numpy(), codes, k) if len(asked) and len(held) else [[]] * 3
+        found = [[]] * 3
+        if len(asked) and len(held):
+            held = held.sort_by("id")
+            codes = np.frombuffer(b"".join(held.column("code").to_pylist()), np.uint8).reshape(len(held), len(index.parts))
+            visits = [np.array(x) for x in asked.column("lists").to_pylist()]
+            limits = tuple(asked.column(c).to_numpy() for c in ("least", "lowest"))
+            found = search_cell(index, matrix(asked.column("q")), asked.column("query_id").to_numpy(), visits, limits, matrix(held.column("v")), held.column("id").to_numpy(), held.column("list").to_numpy(), codes, k)
         return pa.table({"query_id": pa.array(found[0], pa.int64()), "vec_id": pa.array(found[1], pa.int64()), "score": pa.array(found[2], pa.float64())})
 
-    best = sent.groupBy("cell", "turn").cogroup(kept.groupBy("cell", "turn")).applyInArrow(search, "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    def best(sent: DataFrame, queries: int) -> DataFrame:
+        """The best of all cells for each query; queries meet a cell in blocks."""
+        turns = queries // QUERY_ROWS + 1
+        sent = sent.withColumn("turn", F.pmod(F.xxhash64("query_id"), F.lit(turns)).cast("int"))
+        kept = held.withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(turns - 1))))
+        found = sent.groupBy("cell", "turn").cogroup(kept.groupBy("cell", "turn")).applyInArrow(search, "query_id long, vec_id long, score double")
+        order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        return cut(found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k))
+
+    asked = cut(rows.where(queries).dropDuplicates(["id"]).select("id", "v"))
+    found = best(asked.mapInArrow(visit, names), asked.count())
+    full = found.where(F.col("rank") == k).select(F.col("query_id").alias("id"))
+    short = cut(asked.join(full, "id", "left_anti"))  # queries whose lists or limits held too few: these see all
+    if lacking := short.count():
+        every = sorted({c for m in first for c in range(first[m], first[m] + blocks[m])})
+        lists = {c: [m for m in first if first[m] <= c < first[m] + blocks[m]] for c in every}
+        seen = F.element_at(F.create_map(*(x for c, ms in lists.items() for x in (F.lit(c), F.array(*map(F.lit, ms))))), F.col("cell"))
+        sent = short.select(F.col("id").alias("query_id"), F.col("v").alias("q"), F.explode(F.array(*map(F.lit, every))).alias("cell"))
+        sent = sent.select("*", seen.alias("lists"), F.lit(float("-inf")).alias("least"), F.lit(float("-inf")).alias("lowest"))
+        found = found.join(short.select(F.col("id").alias("query_id")), "query_id", "left_anti").unionByName(best(sent, lacking))
+    return found.select("query_id", "rank", "vec_id", "score")
 
 
 def op8_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """nearest() for every twentieth row of embeddings, against all; odd rows as there."""
     return nearest(read(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
