@@ -242,7 +242,7 @@ def covers(held: DataFrame) -> DataFrame:
     """rid, tkey, windows: which windows (a: first of a run, mask: of those that follow) of each text start earlier elsewhere."""
     place = F.struct("rid", "a")
     found = judged(_distinct(stretches(held, True).withColumn("first", place).withColumn("last", place)))
-    hits = stretches(held, False).join(found, ["route", "k", "n"]).select("rid", "tkey", "a", _mask_at(place).alias("mask"))
+    hits = stretches(held, False).join(found.hint("shuffle_hash"), ["route", "k", "n"]).select("rid", "tkey", "a", _mask_at(place).alias("mask"))
     return hits.where("mask <> 0").groupBy("rid", "tkey").agg(F.collect_set(F.struct("a", "mask")).alias("windows"))
 
 
@@ -295,7 +295,7 @@ def _dedup(docs: DataFrame, text_out: bool) -> DataFrame:
     """docs: rid, text and columns to keep."""
     runs = anchors(docs)
     repeated = cut(runs.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h"))
-    places = runs.join(repeated, "h").groupBy("rid", "tkey").agg(F.collect_set(F.struct("h", "a", "n")).alias("places"))
+    places = runs.join(repeated.hint("shuffle_hash"), "h").groupBy("rid", "tkey").agg(F.collect_set(F.struct("h", "a", "n")).alias("places"))
     kept = cut(_packed(docs).join(places, ["rid", "tkey"], "left"))
     none = F.lit(None).cast("array<struct<a:int,mask:bigint>>")
     plain = kept.where("places is null").drop("places").withColumn("windows", none)
