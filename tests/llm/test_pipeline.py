@@ -5,7 +5,7 @@ import zlib
 
 import corpus_pipeline
 from test_pii import brute as pii_brute
-from test_simhash import closure, fingerprint
+from test_simhash import copy_names
 from test_substrings import brute as repeats_brute
 
 from vigil.llm import packing, pii
@@ -27,9 +27,8 @@ def test_stages(spark, sf):
 
     unique = cut(stage["near duplicates"](spark, good, sf))
     two = {r.doc_id: r for r in unique.collect()}
-    ids = sorted(one)
-    names = closure(ids, [fingerprint(one[i].text) for i in ids])
-    assert sorted(two) == sorted(set(names)) and all(two[i] == one[i] for i in two) and unique.columns == docs.columns
+    names, _ = copy_names([(i, r.text) for i, r in sorted(one.items())])
+    assert sorted(two) == sorted(set(names.values())) and all(two[i] == one[i] for i in two) and unique.columns == docs.columns
 
     fresh = cut(stage["repeated passages"](spark, unique, sf))
     three = {r.doc_id: r for r in fresh.collect()}

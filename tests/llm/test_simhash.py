@@ -83,16 +83,9 @@ def shingles(text, k=5):
     return {tuple(words[i : i + k]) for i in range(max(len(words) - k + 1, min(len(words), 1)))}
 
 
-def test_near_copies_against_all_pairs(spark, sf):
-    rng = random.Random(5)
-    rows = [(r.doc_id, r.text) for r in read(spark, sf, "documents").collect()]
-    for i in range(150):  # planted copies with edited words
-        words = [f"v{rng.randrange(5000)}" for _ in range(rng.randint(60, 400))]
-        rows.append((10_000 + 10 * i, " ".join(words)))
-        for c in range(1, 4):
-            edited = [f"new{rng.random()}" if rng.random() < 0.004 * c * c else w for w in words]
-            rows.append((10_000 + 10 * i + c, " ".join(edited)))
-    rows += [(20_000, None), (20_001, " "), (20_002, "one two"), (20_003, "ONE  two"), (20_004, "two one")]
+def copy_names(rows):
+    """Of rows (id, text): the least id of each one's component over all pairs of similarity 0.8 or more; and how many pairs link
+    different sets."""
     sets = [shingles(t) for _, t in rows]
     name = list(range(len(rows)))
     pairs = 0
@@ -106,7 +99,20 @@ def test_near_copies_against_all_pairs(spark, sf):
     least = {}
     for (i, _), n in zip(rows, name):
         least[n] = min(i, least.get(n, i))
-    want = {i: least[n] for (i, _), n in zip(rows, name)}
+    return {i: least[n] for (i, _), n in zip(rows, name)}, pairs
+
+
+def test_near_copies_against_all_pairs(spark, sf):
+    rng = random.Random(5)
+    rows = [(r.doc_id, r.text) for r in read(spark, sf, "documents").collect()]
+    for i in range(150):  # planted copies with edited words
+        words = [f"v{rng.randrange(5000)}" for _ in range(rng.randint(60, 400))]
+        rows.append((10_000 + 10 * i, " ".join(words)))
+        for c in range(1, 4):
+            edited = [f"new{rng.random()}" if rng.random() < 0.004 * c * c else w for w in words]
+            rows.append((10_000 + 10 * i + c, " ".join(edited)))
+    rows += [(20_000, None), (20_001, " "), (20_002, "one two"), (20_003, "ONE  two"), (20_004, "two one")]
+    want, pairs = copy_names(rows)
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
     got = {r.doc_id: r.component_id for r in simhash.near_copies(docs).collect()}
     assert pairs > 200 and got == want

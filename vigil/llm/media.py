@@ -205,4 +205,5 @@ def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """media_columns() of all documents; odd rows as there."""
     return media_columns(read(spark, sf_dir, "documents"))

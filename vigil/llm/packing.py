@@ -307,4 +307,5 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window
 
 
 def op9_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """pack() of all documents; odd rows as there."""
     return pack(read(spark, sf_dir, "documents"))

@@ -25,6 +25,8 @@ BIGRAMS = 1024
 STATS = 8
 #: Standardised features are scaled so that a row has about this length.
 SPREAD = 20
+#: Decay of weights: the least, and what is divided by the number of positives.
+LEAST_DECAY, DECAY = 1e-5, 0.1
 WIDTH = 256 + BIGRAMS + STATS
 
 _KIND = np.zeros(256, np.uint8)
@@ -73,9 +75,11 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit_risk(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 700, rate: float = 0.05, decay: float = 1e-5) -> np.ndarray:
+def fit_risk(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 700, rate: float = 0.05) -> np.ndarray:
     """Weights and bias that minimise prior * R_p(+1) + max(0, R_u(-1) - prior * R_p(-1)) with the logistic loss, by Adam.
-    Where the second term is negative its gradient is turned round, as the non-negative estimator asks."""
+    Where the second term is negative its gradient is turned round, as the non-negative estimator asks. The fewer positives, the
+    stronger weights decay: few can be told from the rest by chance."""
+    decay = max(LEAST_DECAY, DECAY / max(1, len(positive)))
     w = np.zeros(positive.shape[1] + 1, np.float32)
     m, v = np.zeros_like(w), np.zeros_like(w)
     grad = lambda x, g: np.append(g @ x, g.sum()) / len(x)
@@ -93,12 +97,12 @@ def fit_risk(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps:
 
 def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
     """The share of positives among the unlabelled: the least ratio of tail masses over score thresholds that keep at least
-    half of the positives, each ratio raised by a standard error."""
+    half of the positives, each ratio raised by two standard errors."""
     cuts = np.quantile(positive, np.linspace(0, 0.5, 51))
     p = np.array([(positive >= c).mean() for c in cuts])
     u = np.array([(unlabelled >= c).mean() for c in cuts])
     error = np.sqrt(u * (1 - u) / len(unlabelled)) + np.sqrt(p * (1 - p) / len(positive))
-    return float(np.clip(((u + error) / p).min(), 0.02, 0.98))
+    return float(np.clip(((u + 2 * error) / p).min(), 0.02, 0.98))
 
 
 @dataclass(frozen=True)
@@ -182,6 +186,7 @@ def score_quality(docs: DataFrame, model: QualityModel, text_col: str = "text",
 
 
 def op2_quality(spark: SparkSession, sf_dir: str, threshold: float = 0.3) -> DataFrame:
+    """score_quality() of all documents by a model of fit_quality(); odd rows as there."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     model = fit_quality(docs, read(spark, sf_dir, "labels"))
     scored = score_quality(docs, model)

@@ -231,6 +231,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """near_duplicates() of all documents; odd rows as there."""
     return near_duplicates(read(spark, sf_dir, "documents"))
 
 

@@ -99,4 +99,5 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """token_counts() of all documents; odd rows as there."""
     return token_counts(read(spark, sf_dir, "documents"))
