@@ -7,6 +7,7 @@ gives an empty result with the same columns.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -35,25 +36,36 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: the session's spark.checkpoint.dir. Only where that is unset, as in local tests, a temporary
-    folder is made, one for each application."""
+    """The folder all executors share: the session's spark.checkpoint.dir. Only in local mode, as in tests, may that be unset: then
+    a temporary folder is made, one for each application."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        app = spark.sparkContext.applicationId
-        if app not in _OWN_DIRS:
-            _OWN_DIRS[app] = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-        found = _OWN_DIRS[app]
+        context = spark.sparkContext
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        if context.applicationId not in _OWN_DIRS:
+            _OWN_DIRS[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
+        found = _OWN_DIRS[context.applicationId]
     return found.rstrip("/")
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Write df as a table in the shared folder and read it again: lineage ends there, and lost executors lose nothing."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/cut-{spark.sparkContext.applicationId}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_cuts(spark: SparkSession) -> int:
+    """Delete the tables that cut() wrote in this application, for callers whose results are all stored; returns how many. Results
+    are lazy and read those tables, so no operator can delete them itself."""
+    top = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    files = top.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = files.globStatus(spark._jvm.org.apache.hadoop.fs.Path(top, f"cut-{spark.sparkContext.applicationId}-*")) or []
+    return sum(files.delete(f.getPath(), True) for f in found)
+
+
 def text_slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Cut an Arrow string column into runs of rows of about limit bytes (SLICE_ROWS rows at most): first row, end row, UTF-8
     bytes, offsets."""

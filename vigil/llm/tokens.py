@@ -71,7 +71,7 @@ def count_batch(texts: list[str | None], path: str) -> list[int]:
         for part in safe_parts(text) if split else (text,):
             parts.append(part)
             owners.append(k)
-            load += len(part)
+            load += len(part) if part.isascii() else len(part.encode())
             if load >= BATCH_BYTES:
                 flush()
                 load = 0
