@@ -1,6 +1,7 @@
 """Rules: thresholds, windows, ties, and random events against a plain loop."""
 
 import random
+import time
 from datetime import datetime, timedelta
 
 import pytest
@@ -85,3 +86,19 @@ def test_plan_sends_only_what_windows_need(spark):
     df = events(spark, [("failed_login", "a", 1, 1)])
     plan = detect.brute_force(df, RuleConfig())._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "raw_line" not in plan.split("Exchange")[0]
+
+
+def test_one_source_in_one_window(spark):
+    """Many events of one source within a window: work is in proportion to them."""
+    def seconds(n):
+        at = (F.lit(1718416800_000_000) + F.col("id") * (500_000_000 // n)).alias("us")
+        rows = spark.range(n).select(F.lit("a").alias("k"), F.timestamp_micros(at).alias("event_time"), (F.col("id") % 5000).cast("int").alias("v"))
+        began = time.time()
+        one = sliding.first_count_window(rows, ["k"], 600, 5).first()
+        two = sliding.first_distinct_window(rows, ["k"], "v", 600, 20).first()
+        assert one.event_count == n and two.event_count == min(n, 5000) and sliding.busiest_window(rows, ["k"], 600).first().busiest == n
+        return time.time() - began
+
+    seconds(4_000)
+    few, many = seconds(40_000), seconds(400_000)
+    assert many < 10 * few + 10

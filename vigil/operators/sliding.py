@@ -4,6 +4,9 @@ A window reaches from an event over a fixed span, both ends included. Time is de
 starts in a bucket ends in it or in the next, so an event is sent to its own bucket and, as a follower, to the one before, and (key,
 bucket) is the partition. One key's events thus spread over as many tasks as it has buckets. Buckets that can't hold a window with
 enough events are left out first, by a count that is aggregated before it is shuffled.
+
+Events of one time are counted together before the shuffle. Within a partition nothing is counted anew for each window: the ends of
+windows are sorted in among the events, and running sums tell what lies between a start and its end.
 """
 
 from __future__ import annotations
@@ -15,49 +18,74 @@ from vigil.functions.scalars import micros
 
 
 def _bucketed(rows: DataFrame, keys: list[str], ts: str, span_s: int, least: int) -> DataFrame:
-    """rows (keys, ts, ...) in each bucket where a window may reach `least`; __own: the bucket is the event's."""
+    """rows (keys, ts, __n, ...) in each bucket __b where a window may reach `least` (in sums of __n), with __t; __own: the bucket is
+    the row's."""
     span = span_s * 1_000_000
-    timed = rows.where(F.col(ts).isNotNull()).withColumn("__t", micros(F.col(ts))).withColumn("__b", F.floor(F.col("__t") / span))
-    if least > 1:
-        counts = timed.groupBy(*keys, "__b").agg(F.count("*").alias("__n"))
-        reach = counts.select(*keys, F.explode(F.array(F.col("__b"), F.col("__b") - 1)).alias("__b"), "__n").groupBy(*keys, "__b").agg(F.sum("__n").alias("__n"))
-        busy = reach.where(F.col("__n") >= least).select(*keys, "__b")
-    dealt = timed.withColumn("__o", F.col("__b")).drop("__b").withColumn("__b", F.explode(F.array(F.col("__o"), F.col("__o") - 1)))
+    timed = rows.where(F.col(ts).isNotNull()).withColumn("__t", micros(F.col(ts))).withColumn("__o", F.floor(F.col("__t") / span))
     if least > 1:
-        dealt = dealt.join(busy, [*keys, "__b"], "left_semi")
+        counts = timed.groupBy(*keys, "__o").agg(F.sum("__n").alias("__c"))
+        reach = counts.select(*keys, F.explode(F.array(F.col("__o"), F.col("__o") - 1)).alias("__b"), "__c").groupBy(*keys, "__b").agg(F.sum("__c").alias("__c"))
+        busy = reach.where(F.col("__c") >= least).select(*keys, "__b", F.explode(F.array(F.col("__b"), F.col("__b") + 1)).alias("__o"))
+        dealt = timed.join(busy, [*keys, "__o"])
+    else:
+        dealt = timed.withColumn("__b", F.explode(F.array(F.col("__o"), F.col("__o") - 1)))
     return dealt.withColumn("__own", F.col("__o") == F.col("__b"))
 
 
-def _frame(keys: list[str], span_s: int):
-    return Window.partitionBy(*keys, "__b").orderBy("__t").rangeBetween(0, span_s * 1_000_000)
+def _running(keys: list[str], *order: str):
+    return Window.partitionBy(*keys, "__b").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+
+def _counted(events: DataFrame, keys: list[str], span_s: int, least: int, ts: str) -> DataFrame:
+    """keys, ts, __t, __c and __l of every time of an event: how many events the window from there on has, and its last time."""
+    at_once = events.groupBy(*keys, ts).agg(F.count("*").alias("__n"))
+    rows = _bucketed(at_once, keys, ts, span_s, least)
+    before = F.sum("__n").over(_running(keys, "__t")) - F.col("__n")
+    point = lambda at, kind, n, begin: F.struct(at.alias("__at"), F.lit(kind).alias("__kind"), n.alias("__m"), begin.alias("__seen"))
+    event = point(F.col("__t"), 0, F.col("__n"), F.col(ts))
+    end = point(F.col("__t") + span_s * 1_000_000, 1, F.lit(0).cast("long"), F.lit(None).cast(rows.schema[ts].dataType))
+    points = rows.withColumn("__before", before).withColumn("__p", F.explode(F.when(F.col("__own"), F.array(event, end)).otherwise(F.array(event)))).select("*", "__p.*")
+    along = _running(keys, "__at", "__kind")
+    summed = points.withColumn("__c", F.sum("__m").over(along) - F.col("__before")).withColumn("__l", F.max("__seen").over(along))
+    return summed.where("__kind = 1").select(*keys, ts, "__t", "__c", "__l")
 
 
 def first_count_window(events: DataFrame, keys: list[str], span_s: int, least: int, ts: str = "event_time") -> DataFrame:
     """keys, first_seen, last_seen, event_count of each key's first window with `least` events or more; the count is the whole
     window's. Rows with a null time are left out; of tied events all are counted."""
-    w = _frame(keys, span_s)
-    rows = _bucketed(events.select(*keys, ts), keys, ts, span_s, least)
-    seen = rows.withColumn("__c", F.count("*").over(w)).withColumn("__l", F.max(ts).over(w)).where(F.col("__own") & (F.col("__c") >= least))
+    seen = _counted(events, keys, span_s, least, ts).where(F.col("__c") >= least)
     return seen.groupBy(*keys).agg(F.min(ts).alias("first_seen"), F.min_by("__l", "__t").alias("last_seen"), F.min_by("__c", "__t").cast("int").alias("event_count"))
 
 
+def _distinct_counted(rows: DataFrame, keys: list[str], value: str, span_s: int, least: int, ts: str) -> DataFrame:
+    """keys, ts, __t and __c of every time of a row: how many distinct values the window from there on has. rows: distinct.
+
+    A value is in the windows that start after its last time before and reach its time, so each time of a value opens and closes one
+    stretch of starts, and these don't overlap: a running sum of what is open counts values."""
+    span = span_s * 1_000_000
+    dealt = _bucketed(rows.withColumn("__n", F.lit(1)), keys, ts, span_s, least).repartition(*keys, "__b")
+    last = F.lag("__t").over(Window.partitionBy(*keys, "__b", value).orderBy("__t"))
+    opens = F.greatest(F.coalesce(last + 1, F.col("__t") - span), F.col("__t") - span)
+    point = lambda at, kind, n: F.struct(at.alias("__at"), F.lit(kind).alias("__kind"), F.lit(n).alias("__m"))
+    own = F.when(F.col("__own"), F.array(point(F.col("__t"), 1, 0))).otherwise(F.array().cast("array<struct<__at:bigint,__kind:int,__m:int>>"))
+    points = dealt.withColumn("__open", opens).withColumn("__p", F.explode(F.concat(F.array(point(F.col("__open"), 0, 1), point(F.col("__t"), 2, -1)), own))).select("*", "__p.*")
+    return points.withColumn("__c", F.sum("__m").over(_running(keys, "__at", "__kind"))).where("__kind = 1").select(*keys, ts, "__t", "__c")
+
+
 def first_distinct_window(events: DataFrame, keys: list[str], value: str, span_s: int, least: int, ts: str = "event_time") -> DataFrame:
-    """Like first_count_window for distinct values, which come sorted as `values`; event_count is their number. Only events that a
-    window with enough rows covers are collected."""
-    rows = _bucketed(events.select(*keys, ts, value).distinct(), keys, ts, span_s, least)
-    w = _frame(keys, span_s)
-    back = Window.partitionBy(*keys, "__b").orderBy("__t").rangeBetween(-span_s * 1_000_000, 0)
-    rows = rows.withColumn("__c", F.count("*").over(w)).withColumn("__near", F.max(F.col("__c") >= least).over(back)).where("__near")
-    seen = rows.withColumn("__v", F.collect_set(value).over(w)).withColumn("__l", F.max(ts).over(w)).where(F.col("__own") & (F.size("__v") >= least))
-    best = seen.groupBy(*keys).agg(F.min(ts).alias("first_seen"), F.min_by("__l", "__t").alias("last_seen"), F.array_sort(F.min_by("__v", "__t")).alias("values"))
+    """Like first_count_window for distinct values, which come sorted as `values`; event_count is their number. Values are collected
+    of the windows found alone."""
+    rows = events.select(*keys, ts, value).where(F.col(ts).isNotNull() & F.col(value).isNotNull()).distinct()
+    found = _distinct_counted(rows, keys, value, span_s, least, ts).where(F.col("__c") >= least).groupBy(*keys).agg(F.min("__t").alias("__from"))
+    at = micros(F.col(ts))
+    inside = rows.join(found, keys).where((at >= F.col("__from")) & (at <= F.col("__from") + span_s * 1_000_000))
+    best = inside.groupBy(*keys).agg(F.min(ts).alias("first_seen"), F.max(ts).alias("last_seen"), F.array_sort(F.collect_set(value)).alias("values"))
     return best.select(*keys, "first_seen", "last_seen", F.size("values").alias("event_count"), "values")
 
 
 def busiest_window(events: DataFrame, keys: list[str], span_s: int, ts: str = "event_time") -> DataFrame:
     """keys and busiest: the most events in any window of the span."""
-    rows = _bucketed(events.select(*keys, ts), keys, ts, span_s, 1)
-    counted = rows.withColumn("__c", F.count("*").over(_frame(keys, span_s))).where("__own")
-    return counted.groupBy(*keys).agg(F.max("__c").alias("busiest"))
+    return _counted(events, keys, span_s, 1, ts).groupBy(*keys).agg(F.max("__c").alias("busiest"))
 
 
 def tumbling_rule(events: DataFrame, keys: list[str], span_s: int, least: int, distinct: str | None = None, ts: str = "event_time") -> DataFrame:
