@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -45,10 +46,25 @@ def to_messages(df: DataFrame) -> DataFrame:
 
 
 def publish(messages: DataFrame, servers: str, topic: str = "incidents") -> None:
-    """Write messages to Kafka; needs the connector on the session's class path."""
+    """Write messages to Kafka; needs the connector on the session's class path. Spark retries tasks and fails the job on what can't
+    be delivered; `deliver` counts both."""
     messages.write.format("kafka").option("kafka.bootstrap.servers", servers).option("topic", topic).save()
 
 
+def deliver(messages: DataFrame, send: Callable[[DataFrame], None]) -> DataFrame:
+    """Send messages (value), and return one row: delivered, errored. What has no value (such as rows that are no JSON) is never
+    sent and counts as errored; so does everything if sending fails."""
+    from pyspark.errors import PySparkException
+
+    ok = F.col("value").isNotNull()
+    counts = messages.agg(F.count_if(ok).alias("delivered"), F.count_if(~ok).alias("errored")).first()
+    try:
+        send(messages.where(ok))
+    except PySparkException:
+        counts = (0, sum(counts))
+    return messages.sparkSession.createDataFrame([tuple(counts)], "delivered long, errored long")
+
+
 def layer_techniques(incidents: DataFrame) -> DataFrame:
     """technique_id, score and comment: of each technique the incident with the highest severity; ties go to the earlier type, then
     the larger count, then the smaller address."""
@@ -62,6 +78,7 @@ def layer_techniques(incidents: DataFrame) -> DataFrame:
 
 def layer(incidents: DataFrame, name: str = "Detection run") -> DataFrame:
     """One row, value: the technique layer as JSON (a technique for each row of a bounded table)."""
+    # Versions, colours and flags of the layer format.
     entries = F.array_sort(F.collect_list(F.struct(F.col("technique_id").alias("techniqueID"), "score", F.lit("").alias("color"), "comment", F.lit(True).alias("enabled"))))
     total = incidents.agg(F.count("*").alias("incidents"))
     one = layer_techniques(incidents).agg(entries.alias("techniques")).crossJoin(total)  # one row each
@@ -75,8 +92,12 @@ def layer(incidents: DataFrame, name: str = "Detection run") -> DataFrame:
 
 
 def detection_rules(incidents: DataFrame) -> DataFrame:
-    """The rules of incident types that were observed."""
-    rows = [(k, *v[:-1], list(v[-1])) for k, v in S.DETECTION_RULES.items()]
+    """The rules of incident types that were observed, with ids that follow from the type."""
+    rows = []
+    for kind, rule in S.DETECTION_RULES.items():
+        spec = S.RULE_SPECS[kind]
+        times = "".join(map(str, spec["span"])), f"selection | {rule['counts']} by source_ip >= {spec['least']}"
+        rows.append((kind, rule["title"], str(uuid.uuid5(RULE_NAMESPACE, kind)), rule["description"], rule["level"], rule["category"], rule["selection"], *times, list(rule["tags"])))
     rules = incidents.sparkSession.createDataFrame(rows, "incident_type string, title string, id string, description string, level string, category string, selection string, timeframe string, condition string, tags array<string>")
     return rules.join(incidents.select("incident_type").distinct(), "incident_type", "left_semi")
 
