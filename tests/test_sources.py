@@ -98,3 +98,22 @@ def test_labels_truth_and_techniques(spark, tmp_path):
     ]
     (tmp_path / "s.json").write_text(json.dumps({"objects": objects}))
     assert [tuple(r) for r in feeds.load_techniques(spark, str(tmp_path / "s.json")).collect()] == [("T1", "A", "Initial Access", "d"), ("T2", "B", "Unknown", "")]
+
+
+def test_windows_files_with_different_headers(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("TimeCreated,EventID,IpAddress,TargetUserName,IpPort\n2024-06-15T02:00:00,4625,1.2.3.4,root,22\n")
+    (tmp_path / "b.csv").write_text("user,port,id,timestamp,source ip\nann,443,4624,2024-06-15 03:00:00,5.6.7.8\n")
+    (tmp_path / "c.csv").write_text("TimeCreated,EventID,IpAddress,TargetUserName,IpPort\n2024-06-15T04:00:00,4625,9.9.9.9,bob,1\n")
+    (tmp_path / "empty.csv").write_text("")
+    got = sorted((r.event_type, r.source_ip, r.username, r.port, r.source_file.rsplit("/", 1)[1]) for r in logs.read_windows(spark, str(tmp_path)).collect())
+    assert got == [("failed_login", "1.2.3.4", "root", 22, "a.csv"), ("failed_login", "9.9.9.9", "bob", 1, "c.csv"), ("successful_login", "5.6.7.8", "ann", 443, "b.csv")]
+
+
+def test_country_file(spark, tmp_path):
+    (tmp_path / "c.csv").write_text("network,country\n10.0.0.7/8,ZZ\n10.1.0.0/16,AA\nnone,BB\n1.2.3.4,CC\n1.2.3.4/33,DD\n")
+    from vigil.operators.cidr import longest_match
+    from vigil.sources.feeds import load_countries
+
+    ips = spark.createDataFrame([("10.1.2.3",), ("10.9.9.9",), ("1.2.3.4",), ("8.8.8.8",)], "source_ip string")
+    got = {r.source_ip: r.country for r in longest_match(ips, load_countries(spark, str(tmp_path / "c.csv")), "country", "Unknown").collect()}
+    assert got == {"10.1.2.3": "AA", "10.9.9.9": "ZZ", "1.2.3.4": "CC", "8.8.8.8": "Unknown"}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigil.functions.ip import networks
+from vigil.functions.ip import networks, v4_masked, v4_number
 
 
 def load_threat_intel(spark: SparkSession, path: str | None) -> DataFrame:
@@ -30,6 +30,16 @@ def country_table(spark: SparkSession, entries: dict[str, str]) -> DataFrame:
     return nets.join(names, "net").select("version", "prefix_len", "net_key", "country")
 
 
+def load_countries(spark: SparkSession, path: str) -> DataFrame:
+    """version, prefix_len, net_key, country of a CSV file with the columns network (a CIDR range of version 4) and country, parsed by
+    the executors; lines that are neither are left out."""
+    rows = spark.read.option("header", True).csv(path).select(F.trim("network").alias("net"), F.trim("country").alias("country"))
+    number = v4_number(F.split_part("net", F.lit("/"), F.lit(1)))
+    length = F.coalesce(F.nullif(F.split_part("net", F.lit("/"), F.lit(2)), F.lit("")).try_cast("int"), F.when(~F.contains(F.col("net"), F.lit("/")), 32))
+    known = rows.select(number.alias("n"), length.alias("prefix_len"), "country").where("n is not null and prefix_len between 0 and 32 and country <> ''")
+    return known.select(F.lit(4).alias("version"), "prefix_len", v4_masked(F.col("n"), F.col("prefix_len")).alias("net_key"), "country").distinct()
+
+
 def load_ground_truth(spark: SparkSession, path: str) -> DataFrame:
     """timestamp, source_ip, label (malicious or benign) of a CSV file; rows with a missing or unreadable part are left out."""
     rows = spark.read.option("header", True).csv(path)

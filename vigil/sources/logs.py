@@ -98,17 +98,26 @@ def parse_windows(rows: DataFrame) -> DataFrame:
     ).where("event_time is not null and event_type is not null")
 
 
+def file_heads(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """source_file and head (the first line) of each file that has one."""
+    lines = spark.read.text(paths).select("value", F.col("_metadata.file_path").alias("source_file"), F.col("_metadata.file_block_start").alias("at")).where("at = 0")
+    return lines.withColumn("k", F.monotonically_increasing_id()).groupBy("source_file").agg(F.min_by("value", "k").alias("head"))
+
+
 def read_windows(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    rows = spark.read.option("header", True).option("mode", "PERMISSIVE").option("multiLine", False).csv(paths)
-    return parse_windows(rows.withColumn("source_file", F.col("_metadata.file_path")))
+    """Events of Windows event tables. Each file's own header names its columns: files are read together by header, in any number."""
+    by_head: dict[str, list[str]] = {}
+    for r in file_heads(spark, paths).collect():  # a row for each file
+        by_head.setdefault(r.head, []).append(r.source_file)
+    reader = spark.read.option("header", True).option("mode", "PERMISSIVE").option("multiLine", False)
+    parts = [parse_windows(reader.csv(files).withColumn("source_file", F.col("_metadata.file_path"))) for _, files in sorted(by_head.items())]
+    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], S.EVENT)
 
 
 def detect_formats(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """source_file and format (windows, web, ssh) of each file, from its name and its first line."""
-    lines = spark.read.text(paths).select("value", F.col("_metadata.file_path").alias("source_file"), F.col("_metadata.file_block_start").alias("at")).where("at = 0")
-    first = lines.withColumn("k", F.monotonically_increasing_id()).groupBy("source_file").agg(F.min_by("value", "k").alias("head"))
     kind = F.when(F.endswith(F.lower("source_file"), F.lit(".csv")), "windows").when(F.rlike("head", F.lit(WEB_LINE)), "web").when(F.rlike("head", F.lit(SYSLOG_HEAD)), "ssh").otherwise("windows")
-    return first.select("source_file", kind.alias("format"))
+    return file_heads(spark, paths).select("source_file", kind.alias("format"))
 
 
 def line_counts(spark: SparkSession, paths: str | list[str]) -> DataFrame:
@@ -140,3 +149,9 @@ def open_envelope(messages: DataFrame) -> DataFrame:
     """value, source_file and ts of raw log messages; what is no such message is left out. Works on streams."""
     got = F.from_json(F.col("value").cast("string"), "line string, source string, ts timestamp").alias("m")
     return messages.select(got).where("m.line is not null").select(F.col("m.line").alias("value"), F.col("m.source").alias("source_file"), F.col("m.ts").alias("ts"))
+
+
+def read_topic(spark: SparkSession, servers: str, topic: str = "raw-logs", stream: bool = True) -> DataFrame:
+    """Lines (value, source_file, ts) of a raw log topic; needs the Kafka connector on the session's class path."""
+    reader = spark.readStream if stream else spark.read
+    return open_envelope(reader.format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", topic).option("startingOffsets", "earliest").load())
