@@ -279,3 +279,46 @@ def test_ids_and_text(spark):
     names = [f"rule {i} é" for i in range(50)]
     got = spark.createDataFrame([(n,) for n in names], "n string").select("n", X.uuid5(ns, F.col("n")).alias("u")).collect()
     assert all(r.u == str(uuid.uuid5(ns, r.n)) for r in got)
+
+
+def test_retention_that_broke_off_can_be_repeated(spark, tmp_path):
+    path = str(tmp_path / "kept")
+    rows = spark.range(96).select((F.lit("2024-06-10 00:30:00").cast("timestamp") + F.make_dt_interval(hours=F.col("id"))).alias("event_time"), "id").withColumn("event_date", F.to_date("event_time"))
+    tables.store(rows, path, "event_date")
+    assert tables.retention_job(spark, {path: ("event_time", "event_date", 2)}, "2024-06-13 12:00:00") == {path: 36}
+    assert tables.retention_job(spark, {path: ("event_time", "event_date", 2)}, "2024-06-13 12:00:00") == {path: 0}
+    assert sorted(r.id for r in spark.read.parquet(path).collect()) == list(range(36, 96))
+    assert tables.retention_job(spark, {path: ("event_time", "event_date", 1)}, "2024-06-13 00:00:00") == {path: 12}  # a cutoff at midnight
+
+
+def test_stored_rows_and_reports(spark, sf, tmp_path):
+    found = detect.detect(D.events(spark, sf), D.RULES)
+    tables.store(tables.stored_incidents(found), str(tmp_path / "inc"), "detected_date")
+    total = found.count()
+    assert tables.read_incidents(spark, str(tmp_path / "inc")).count() == tables.read_incidents(spark, str(tmp_path / "inc"), "2020-01-01").count() == total
+    assert tables.read_incidents(spark, str(tmp_path / "inc"), "2999-01-01").count() == 0
+    folders = tables.write_report({"kpis": report.kpis(D.events(spark, sf), found), "chart": report.chart_series(found)}, str(tmp_path / "report"))
+    assert [f.rsplit("/", 1)[1] for f in folders] == ["chart", "kpis"] and spark.read.json(folders[1]).first().incidents == total
+    for _ in range(2):
+        tables.write_evaluation(spark.createDataFrame([(0.5,)], "f1 double"), str(tmp_path / "eval"), "r1")
+    assert spark.read.json(str(tmp_path / "eval")).count() == 1
+    sent = []
+    messages = documents.to_messages(found).union(spark.createDataFrame([(None,)], "value string"))
+    assert tuple(documents.deliver(messages, lambda df: sent.append(df.count())).first()) == (total, 1) and sent == [total]
+
+
+def test_search_in_cells_finds_most_of_what_exact_search_finds(spark, sf):
+    from vigil.plans.queries import QUERIES
+
+    want = {(r.query_id, r.item_id) for r in QUERIES["cosine_topk_all"](spark, sf).collect()}
+    got = {(r.query_id, r.item_id) for r in QUERIES["ann_topk"](spark, sf).collect()}
+    assert len(want & got) >= 0.9 * len(want)
+
+
+def test_techniques_near_those_of_incidents(spark):
+    from vigil.operators.vectors import similar_techniques
+
+    techniques = spark.createDataFrame([("T1046", [1.0, 0.0]), ("T1", [0.9, 0.1]), ("T2", [0.0, 1.0])], "technique_id string, embedding array<double>")
+    incidents = spark.createDataFrame([("port_scan", ("T1046",)), ("port_scan", ("T1046",))], "incident_type string, mitre struct<id:string>")
+    got = similar_techniques(incidents, techniques, 2).orderBy("rank").collect()
+    assert [(r.incident_type, r.technique_id, r.rank) for r in got] == [("port_scan", "T1046", 1), ("port_scan", "T1", 2)]

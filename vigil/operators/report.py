@@ -93,6 +93,18 @@ def incident_rows(incidents: DataFrame) -> DataFrame:
     ).orderBy(F.desc("event_count"), "incident_type", "source_ip")
 
 
+def chart_series(incidents: DataFrame, n: int = 15) -> DataFrame:
+    """rank, label, value of the n largest incidents of a chart; equal ones by type and address."""
+    order = Window.orderBy(F.desc("event_count"), "incident_type", "source_ip")
+    top = incidents.select("incident_type", "source_ip", "event_count").orderBy(F.desc("event_count"), "incident_type", "source_ip").limit(n)
+    return top.select(F.row_number().over(order).alias("rank"), F.concat("source_ip", F.lit(" ("), "incident_type", F.lit(")")).alias("label"), F.col("event_count").alias("value"))  # n rows at most
+
+
+def split_types(incidents: DataFrame) -> dict[str, DataFrame]:
+    """The incidents of each known type."""
+    return {kind: incidents.where(F.col("incident_type") == kind) for kind in S.INCIDENT_TYPES}
+
+
 def by_severity(incidents: DataFrame, level: str) -> DataFrame:
     """Incidents of a severity, in any case, as four columns."""
     return incidents.where(F.upper("severity") == level.upper()).select("incident_type", "source_ip", "event_count", "severity")
@@ -170,7 +182,7 @@ def report(events: DataFrame, incidents: DataFrame, scores: DataFrame | None = N
     """All datasets of a report, by name."""
     out = {
         "kpis": kpis(events, incidents, scores), "event_types": event_type_counts(events), "top_failed_sources": top_failed_sources(events), "timeline": hourly_timeline(incidents),
-        "techniques": technique_coverage(incidents), "incidents": incident_rows(incidents), "top_sources": top_sources(incidents), "enrichment": enrichment_summary(incidents),
+        "chart": chart_series(incidents), "techniques": technique_coverage(incidents), "incidents": incident_rows(incidents), "top_sources": top_sources(incidents), "enrichment": enrichment_summary(incidents),
     }
     if scores is not None and features is not None:
         from vigil.operators.enrich import label_anomalies

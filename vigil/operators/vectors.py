@@ -104,3 +104,12 @@ def similar_in_cells(queries: DataFrame, corpus: DataFrame, k: int = 3, cells: i
     scored = c.join(q, "__cell").select("query_id", "item_id", cosine(F.col("__q"), F.col("__c")).alias("s"))
     w = Window.partitionBy("query_id").orderBy(F.desc("s"), "item_id")
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "item_id", F.round("s", 3).alias("similarity"), "rank")
+
+
+def similar_techniques(incidents: DataFrame, techniques: DataFrame, k: int = 3, vector: str = "embedding") -> DataFrame:
+    """incident_type, technique_id, similarity, rank: for each type of incident the k techniques (technique_id, name, description,
+    vector) nearest to the mean vector of those that its own incidents have (mitre.id). Types are few, techniques bounded."""
+    own = incidents.select("incident_type", F.col("mitre.id").alias("technique_id")).distinct()
+    asked = mean_vector(own.join(techniques.select("technique_id", vector), "technique_id"), vector, ("incident_type",))
+    found = similar(asked.withColumnRenamed("incident_type", "query_id"), techniques.select(F.col("technique_id").alias("item_id"), vector), k, vector=vector)
+    return found.select(F.col("query_id").alias("incident_type"), F.col("item_id").alias("technique_id"), "similarity", "rank")

@@ -49,6 +49,15 @@ def web_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(line.alias("value"), "source_file")
 
 
+def windows_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as rows of a Windows event table: all columns text, names and blanks as exports have them."""
+    e = events(spark, sf_dir)
+    code = F.when(F.col("event_type") == "failed_login", "4625").when(F.col("event_type") == "successful_login", " 4624 ").when(F.col("event_type") == "connection", "").otherwise("not a number")
+    user = F.when(F.col("event_id") % 7 == 0, "  ").otherwise(F.col("username"))
+    port = F.when(F.col("event_id") % 5 == 0, "-").otherwise(F.col("port").cast("string"))
+    return e.select(F.date_format("event_time", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("Time Created"), code.alias("EVENTID"), F.col("source_ip").alias("Source IP"), user.alias("User Name"), port.alias("Source Port"), "source_file")
+
+
 def intel(spark: SparkSession) -> DataFrame:
     return networks(spark, INTEL)
 

@@ -89,7 +89,7 @@ ORACLES: dict[str, str] = {
     "known_bad": f"{_ALL}, {_IPS}, {_INTEL}, {_BAD} SELECT incident_type, source_ip, bad.source_ip IS NOT NULL AS known_bad FROM inc LEFT JOIN bad USING (source_ip)",
     "geo_country": f"{_ALL}, {_IPS}, {_GEO}, {_LAND} SELECT incident_type, source_ip, coalesce(country, 'Unknown') AS country FROM inc LEFT JOIN land USING (source_ip)",
     "country_counts": f"{_ALL}, {_IPS}, {_GEO}, {_LAND} SELECT coalesce(country, 'Unknown') AS country, count(*) AS n FROM inc LEFT JOIN land USING (source_ip) GROUP BY 1",
-    "suppress_repeats": f"{_ALL}, stored AS (SELECT incident_type, source_ip, last_seen AS detected_at FROM inc WHERE event_count % 2 = 1) SELECT incident_type, source_ip FROM inc WHERE (incident_type, source_ip) NOT IN (SELECT (incident_type, source_ip) FROM stored WHERE detected_at >= (SELECT max(event_time) FROM ev) - INTERVAL 28800 MINUTE)",
+    "suppress_repeats": f"{_ALL}, stored AS (SELECT incident_type, source_ip, last_seen AS detected_at FROM inc WHERE event_count % 2 = 1), last_time AS (SELECT max(event_time) AS now FROM ev), recent AS (SELECT DISTINCT incident_type, source_ip FROM stored, last_time WHERE detected_at >= now - INTERVAL 28800 MINUTE) SELECT incident_type, source_ip FROM inc ANTI JOIN recent USING (incident_type, source_ip)",
     "eval_rows": f"{_ALL}, {_TRUTH}, n AS (SELECT count(*) FILTER (label = 'malicious' AND matched) AS tp, count(*) FILTER (label = 'benign' AND matched) AS fp, count(*) FILTER (label = 'malicious' AND NOT matched) AS fn, count(*) FILTER (label = 'benign' AND NOT matched) AS tn, coalesce(array_to_string(list_sort(list(DISTINCT source_ip) FILTER (label = 'benign' AND matched)), ','), '') AS fps FROM hit), r AS (SELECT *, CASE WHEN tp + fp > 0 THEN round(tp / CAST(tp + fp AS DOUBLE), 4) ELSE 0.0 END AS p, CASE WHEN tp + fn > 0 THEN round(tp / CAST(tp + fn AS DOUBLE), 4) ELSE 0.0 END AS q FROM n) SELECT tp AS true_positives, fp AS false_positives, fn AS false_negatives, tn AS true_negatives, CAST(p AS DOUBLE) AS precision, CAST(q AS DOUBLE) AS recall, CAST(CASE WHEN p + q > 0 THEN round(2 * p * q / (p + q), 4) ELSE 0 END AS DOUBLE) AS f1, fps AS fp_source_ips FROM r",
     "eval_ips": f"{_FLAGGED}, marks AS (SELECT source_ip, source_ip LIKE '45.33.%' OR source_ip LIKE '185.220.%' AS bad FROM (SELECT DISTINCT source_ip FROM ev)), c AS (SELECT 'rules' AS config, count(*) FILTER (bad AND f) AS tp, count(*) FILTER (NOT bad AND f) AS fp, count(*) FILTER (bad AND NOT f) AS fn, count(*) FILTER (NOT bad AND NOT f) AS tn FROM (SELECT bad, source_ip IN (SELECT source_ip FROM ruled) AS f FROM marks) UNION ALL SELECT 'rules+fp_reduction', count(*) FILTER (bad AND f), count(*) FILTER (NOT bad AND f), count(*) FILTER (bad AND NOT f), count(*) FILTER (NOT bad AND NOT f) FROM (SELECT bad, source_ip IN (SELECT source_ip FROM kept) AS f FROM marks)), r AS (SELECT *, CASE WHEN tp + fp > 0 THEN tp / CAST(tp + fp AS DOUBLE) ELSE 1.0 END AS p, CASE WHEN tp + fn > 0 THEN tp / CAST(tp + fn AS DOUBLE) ELSE 1.0 END AS q FROM c) SELECT config, CAST(tp AS INTEGER) AS tp, CAST(fp AS INTEGER) AS fp, CAST(fn AS INTEGER) AS fn, CAST(tn AS INTEGER) AS tn, round(p, 4) AS precision, round(q, 4) AS recall, round(CASE WHEN p + q > 0 THEN 2 * p * q / (p + q) ELSE 0 END, 4) AS f1, round((tp + tn) / CAST(tp + fp + fn + tn AS DOUBLE), 4) AS accuracy FROM r",
     "replay_compare": f"WITH {_EV},\n {_rules()},\n {_incidents()},\n {_rules('b', 4)},\n {_incidents('b')} SELECT coalesce(a.incident_type, b.incident_type) AS incident_type, coalesce(a.source_ip, b.source_ip) AS source_ip, CASE WHEN b.source_ip IS NULL THEN 'only_a' WHEN a.source_ip IS NULL THEN 'only_b' ELSE 'both' END AS category FROM inc a FULL JOIN incb b ON a.incident_type = b.incident_type AND a.source_ip = b.source_ip",
@@ -122,3 +122,15 @@ ORACLES: dict[str, str] = {
 ORACLES["cosine_topk_all"] = ORACLES["cosine_topk"].replace("vec_id < 5", "vec_id % 100 = 0")
 ORACLES["eval_rows_all"] = ORACLES["eval_rows"].replace(" WHERE event_id % 97 = 0", "")
 ORACLES["siem_queries_all"] = ORACLES["siem_queries"].replace("SELECT incident_type, incident_type || '.kql' AS file,", "SELECT incident_type, 'sentinel' AS target, incident_type || '.kql' AS file,") + r""" UNION ALL SELECT incident_type, 'splunk', incident_type || '.spl', 'event_type="' || event_type || '"' || chr(10) || chr(10) || '| bin _time span=' || span || 'm' || chr(10) || '| stats ' || (CASE WHEN field IS NOT NULL THEN 'dc(dest_port)' ELSE 'count' END) || ' as ' || counts || ' by _time src_ip' || chr(10) || chr(10) || '| search ' || counts || ' >= ' || least FROM spec WHERE incident_type IN (SELECT incident_type FROM inc) UNION ALL SELECT incident_type, 'esql', incident_type || '.esql', 'from * metadata _id, _index, _version | where event_type=="' || event_type || '"' || chr(10) || '| eval timebucket=date_trunc(' || span || 'minutes, @timestamp) | stats ' || counts || '=' || (CASE WHEN field IS NOT NULL THEN 'count_distinct(destination.port)' ELSE 'count()' END) || ' by timebucket, source.ip' || chr(10) || '| where ' || counts || ' >= ' || least FROM spec WHERE incident_type IN (SELECT incident_type FROM inc)"""
+
+_BURSTS = "bw AS (SELECT source_ip, count(*) OVER (PARTITION BY source_ip ORDER BY event_time RANGE BETWEEN CURRENT ROW AND INTERVAL 60 SECOND FOLLOWING) AS c, count(*) OVER (PARTITION BY source_ip) AS total FROM ev), burst AS (SELECT source_ip, CASE WHEN max(total) <= 1 THEN 1.0 ELSE max(c) / CAST(max(total) AS DOUBLE) END AS score FROM bw GROUP BY 1)"
+ORACLES |= {
+    "windows_parse": f"WITH {_EV} SELECT CASE event_type WHEN 'failed_login' THEN 'failed_login' WHEN 'successful_login' THEN 'successful_login' ELSE 'event_0' END AS event_type, event_time, source_ip, CASE WHEN event_id % 7 <> 0 THEN username END AS username, CASE WHEN event_id % 5 <> 0 THEN port ELSE -1 END AS port FROM ev WHERE event_type IN ('failed_login', 'successful_login', 'connection')",
+    "enriched_scores": f"{_ALL}, {_BURSTS} SELECT incident_type, source_ip, round(coalesce(score, 0.0), 6) AS anomaly_score FROM inc LEFT JOIN burst USING (source_ip)",
+    "anomaly_labels": f"{_ALL}, {_BURSTS} SELECT source_ip, round(score, 6) AS anomaly_score, CASE WHEN source_ip IN (SELECT source_ip FROM inc) THEN 'Rule + ML' ELSE 'ML Only' END AS detection FROM burst WHERE score >= 0.2",
+    "chart_series": f"{_ALL}, k AS (SELECT CAST(row_number() OVER (ORDER BY event_count DESC, incident_type, source_ip) AS INTEGER) AS rank, * FROM inc) SELECT rank, source_ip || ' (' || incident_type || ')' AS label, event_count AS value FROM k WHERE rank <= 15",
+    "split_types": f"{_ALL} SELECT t.incident_type, count(i.source_ip) AS n FROM (VALUES ('brute_force'), ('port_scan'), ('flood_404')) t(incident_type) LEFT JOIN inc i ON i.incident_type = t.incident_type GROUP BY 1",
+    "detection_rules": f"{_ALL}, spec(incident_type, level, selection, timeframe, condition, tags) AS (VALUES ('brute_force', 'high', 'event_type=failed_login', '10m', 'selection | count() by source_ip >= 5', 'attack.credential_access,attack.t1110.001'), ('port_scan', 'medium', 'source_ip=*', '5m', 'selection | count(port) by source_ip >= 20', 'attack.discovery,attack.t1046'), ('flood_404', 'medium', 'event_type=http_404', '5m', 'selection | count() by source_ip >= 30', 'attack.reconnaissance,attack.t1595.002')) SELECT * FROM spec WHERE incident_type IN (SELECT incident_type FROM inc)",
+    "compare_summary": f"WITH compared AS ({ORACLES['replay_compare']}) SELECT count(*) FILTER (category = 'only_a') AS only_a, count(*) FILTER (category = 'only_b') AS only_b, count(*) FILTER (category = 'both') AS both, count(*) FILTER (category = 'only_b') - count(*) FILTER (category = 'only_a') AS net_change FROM compared",
+    "eval_ips_full": f"{_FLAGGED}, {_BURSTS}, full_set AS (SELECT source_ip FROM kept UNION SELECT source_ip FROM burst WHERE score >= 0.2), marks AS (SELECT DISTINCT source_ip, source_ip LIKE '45.33.%' OR source_ip LIKE '185.220.%' AS bad FROM ev), c AS (SELECT 'full' AS config, count(*) FILTER (bad AND f) AS tp, count(*) FILTER (NOT bad AND f) AS fp, count(*) FILTER (bad AND NOT f) AS fn, count(*) FILTER (NOT bad AND NOT f) AS tn FROM (SELECT bad, source_ip IN (SELECT source_ip FROM full_set) AS f FROM marks))" + ORACLES["eval_ips"][ORACLES["eval_ips"].index(", r AS (SELECT *, CASE WHEN tp + fp"):],
+}

@@ -166,8 +166,45 @@ def country_counts(s, d):
 def suppress_repeats(s, d):
     found = incidents(s, d)
     stored = found.where("event_count % 2 = 1").select("incident_type", "source_ip", F.col("last_seen").alias("detected_at"))
-    now = D.events(s, d).agg(F.max("event_time").alias("now")).first().now
-    return enrich.suppress_repeats(found, stored, F.lit(now), 28800).select("incident_type", "source_ip")
+    now = D.events(s, d).agg(F.max("event_time")).scalar()
+    return enrich.suppress_repeats(found, stored, now, 28800).select("incident_type", "source_ip")
+
+
+@query
+def windows_parse(s, d):
+    return logs.parse_windows(D.windows_rows(s, d)).select("event_type", "event_time", "source_ip", "username", F.coalesce("port", F.lit(-1)).alias("port"))
+
+
+def _burst_scores(s, d):
+    """The burst score as a stand-in for an anomaly score that SQL can say too."""
+    return features.behaviour(D.events(s, d)).select("source_ip", F.col("burst_score").alias("anomaly_score"))
+
+
+@query
+def enriched_scores(s, d):
+    return enrich.enrich(incidents(s, d), scores=_burst_scores(s, d), score_default=0.0).select("incident_type", "source_ip", F.round("anomaly_score", 6).alias("anomaly_score"))
+
+
+@query
+def anomaly_labels(s, d):
+    found = enrich.label_anomalies(_burst_scores(s, d), features.behaviour(D.events(s, d)), incidents(s, d), 0.2)
+    return found.select("source_ip", F.round("anomaly_score", 6).alias("anomaly_score"), "detection")
+
+
+@query
+def chart_series(s, d):
+    return report.chart_series(incidents(s, d))
+
+
+@query
+def split_types(s, d):
+    parts = [df.agg(F.lit(kind).alias("incident_type"), F.count("*").alias("n")) for kind, df in report.split_types(incidents(s, d)).items()]
+    return parts[0].union(parts[1]).union(parts[2])
+
+
+@query
+def detection_rules(s, d):
+    return documents.detection_rules(incidents(s, d)).select("incident_type", "level", "selection", "timeframe", "condition", F.array_join("tags", ",").alias("tags"))
 
 
 def _eval_rows(s, d, events):
@@ -200,6 +237,17 @@ def eval_ips(s, d):
     return out.select("config", *(F.col(c).cast("int").alias(c) for c in ("tp", "fp", "fn", "tn")), "precision", "recall", "f1", "accuracy")
 
 
+@query
+def eval_ips_full(s, d):
+    out = evaluate.quality(D.events(s, d), _labels(s, d), _KNOWN_GOOD, True, D.RULES, _burst_scores(s, d), evaluate.count_sources, 0.2).where("config = 'full'")
+    return out.select("config", *(F.col(c).cast("int").alias(c) for c in ("tp", "fp", "fn", "tn")), "precision", "recall", "f1", "accuracy")
+
+
+@query
+def compare_summary(s, d):
+    return evaluate.compare_summary(evaluate.compare_settings(D.events(s, d), D.RULES, RuleConfig.uniform(4, 1440)))
+
+
 @query
 def replay_compare(s, d):
     return evaluate.compare_settings(D.events(s, d), D.RULES, RuleConfig.uniform(4, 1440))
@@ -346,8 +394,7 @@ def call_metrics(s, d):
 @query
 def retention_keep(s, d):
     events = D.events(s, d)
-    now = events.agg(F.max("event_time").alias("now")).first().now
-    return tables.retained(events, "event_time", F.lit(now), 10).select("event_id", "event_time")
+    return tables.retained(events, "event_time", events.agg(F.max("event_time")).scalar(), 10).select("event_id", "event_time")
 
 
 @query

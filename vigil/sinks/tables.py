@@ -44,8 +44,8 @@ def retained(rows: DataFrame, ts: str, now: Column, days: int) -> DataFrame:
 
 
 def purge(spark: SparkSession, path: str, ts: str, partition: str, now: str, days: int) -> int:
-    """Delete rows older than so many days from a folder partitioned by date; returns how many. Whole days are dropped, and only the
-    day of the cutoff is rewritten."""
+    """Delete rows older than so many days from a folder partitioned by date; returns how many. The day of the cutoff is replaced
+    first, by one commit, then whole days are dropped; a run that breaks off loses nothing and can be repeated."""
     if days <= 0:
         return 0
     rows = spark.read.parquet(path)
@@ -59,13 +59,51 @@ def purge(spark: SparkSession, path: str, ts: str, partition: str, now: str, day
     edge = rows.where(F.col(partition) == F.to_date(cutoff)).where(F.col(ts) >= cutoff)
     moved = f"{path.rstrip('/')}.__edge"
     edge.write.mode("overwrite").parquet(moved)
-    for r in rows.select(partition).where(F.col(partition) <= F.to_date(cutoff)).distinct().collect():  # a row for each day
-        files.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{partition}={r[0]}"), True)
-    spark.read.schema(edge.schema).parquet(moved).write.mode("append").partitionBy(partition).parquet(path)
+    kept = spark.read.schema(edge.schema).parquet(moved)
+    days = [r[0] for r in rows.select(partition).where(F.col(partition) < F.to_date(cutoff)).distinct().collect()]  # a row for each day
+    if kept.isEmpty():
+        days.append(spark.range(1).select(F.to_date(cutoff)).first()[0])
+    kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
+    for day in days:
+        files.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{partition}={day}"), True)
     files.delete(spark._jvm.org.apache.hadoop.fs.Path(moved), True)
     return deleted
 
 
+def retention_job(spark: SparkSession, tables: dict[str, tuple[str, str, int]], now: str) -> dict[str, int]:
+    """purge() for each path: (time column, partition column, days to keep); returns how many rows each lost. Meant to be run on a
+    schedule; what was purged once is not touched again."""
+    return {path: purge(spark, path, ts, partition, now, days) for path, (ts, partition, days) in tables.items()}
+
+
+def read_incidents(spark: SparkSession, path: str, since: str | None = None) -> DataFrame:
+    """Stored incidents that were detected from a time on; days before it are not read."""
+    rows = spark.read.parquet(path)
+    if since is None:
+        return rows
+    at = F.lit(since).cast("timestamp")
+    return rows.where((F.col("detected_date") >= F.to_date(at)) & (F.col("detected_at") >= at))
+
+
+def write_jdbc(df: DataFrame, url: str, table: str, batch: int = 500, **options: str) -> None:
+    """Append rows to a database table in batches; needs the driver on the session's class path."""
+    df.write.format("jdbc").options(**options).option("url", url).option("dbtable", table).option("batchsize", batch).mode("append").save()
+
+
+def write_evaluation(metrics: DataFrame, path: str, run_id: str) -> None:
+    """The row of an evaluation as JSON, in a folder of its run; a repeated write replaces it."""
+    metrics.withColumn("run_id", F.lit(run_id)).coalesce(1).write.mode("overwrite").json(f"{path.rstrip('/')}/run={run_id}")
+
+
+def write_report(datasets: dict[str, DataFrame], path: str, fmt: str = "json") -> list[str]:
+    """Each dataset of a report in a folder of its name, to any path the cluster can write (a bucket too). Returns the folders."""
+    done = []
+    for name, df in sorted(datasets.items()):
+        df.write.mode("overwrite").format(fmt).save(f"{path.rstrip('/')}/{name}")
+        done.append(f"{path.rstrip('/')}/{name}")
+    return done
+
+
 def upsert(stored: DataFrame, new: DataFrame, key: str, version: str) -> DataFrame:
     """One row for each key: of stored and new rows the one of the highest version, new ones first."""
     both = stored.withColumn("__new", F.lit(0)).unionByName(new.withColumn("__new", F.lit(1)), allowMissingColumns=True)

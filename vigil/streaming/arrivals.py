@@ -17,14 +17,14 @@ def arriving_lines(spark: SparkSession, folder: str, glob: str = "*.log") -> Dat
 
 
 def analyse_arrivals(spark: SparkSession, folder: str, out: str, checkpoint: str, cfg: RuleConfig = RuleConfig(), year: int | None = None, glob: str = "*.log"):
-    """Analyse files that have not been analysed yet and end; results (source_file, events, incidents and counts by type) are
-    appended to out as Parquet."""
+    """Analyse files that have not been analysed yet and end; results (source_file, events, incidents and counts by type) go to out
+    as Parquet, partitioned by batch. A batch that is tried again replaces what it wrote."""
 
-    def each(batch: DataFrame, _: int) -> None:
+    def each(batch: DataFrame, number: int) -> None:
         batch.persist()
         try:
             events = parse_ssh(batch, year).unionByName(parse_web(batch))
-            source_counts(events, detect(events, cfg, ("source_file",))).write.mode("append").parquet(out)
+            source_counts(events, detect(events, cfg, ("source_file",))).write.mode("overwrite").parquet(f"{out.rstrip('/')}/batch={number}")
         finally:
             batch.unpersist()
 

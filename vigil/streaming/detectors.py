@@ -17,45 +17,73 @@ from vigil.operators.sliding import tumbling_rule
 
 class FirstWindow(StatefulProcessor):
     """Emits, for each source once, the earliest window with enough events (or distinct values), with its whole count: a window is
-    judged when the watermark has passed its end, so the result equals the batch operator's for events that are not late."""
+    judged when the watermark has passed its end, so the result equals the batch operator's for events that are not late.
 
-    def __init__(self, span_us: int, least: int, distinct: bool):
-        self.span, self.least, self.distinct = span_us, least, distinct
+    State holds how often each time and value came, and one timer is pending, for the first window that may end. With `forget` a
+    source that was reported is forgotten so long after its window and may be reported again; without, a mark of it stays."""
+
+    def __init__(self, span_us: int, least: int, distinct: bool, forget_us: int | None = None):
+        self.span, self.least, self.distinct, self.forget = span_us, least, distinct, forget_us
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.seen = handle.getListState("seen", "t long, v long")
-        self.done = handle.getValueState("done", "d boolean")
+        self.seen = handle.getMapState("seen", "t long, v long", "n long")
+        self.due = handle.getValueState("due", "t long")
+        self.done = handle.getValueState("done", "t long")
+
+    def _wait(self, t: int) -> None:
+        self.handle.registerTimer(t // 1000 + 1)
+        self.due.update((t,))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        if not self.done.exists():
-            for part in rows:
-                for t, v in zip(part["t"].tolist(), part["v"].tolist()):
-                    self.seen.appendValue((int(t), int(v)))
-                for t in part["t"].unique().tolist():
-                    self.handle.registerTimer(int(t + self.span) // 1000 + 1)
+        if self.done.exists():
+            return iter([])
+        first = None
+        for part in rows:
+            for (t, v), n in part.groupby(["t", "v"]).size().items():
+                at = (int(t), int(v))
+                self.seen.updateValue(at, ((self.seen.getValue(at)[0] if self.seen.containsKey(at) else 0) + int(n),))
+            low = int(part["t"].min())
+            first = low if first is None else min(first, low)
+        if first is not None and (not self.due.exists() or first + self.span < self.due.get()[0]):
+            self._wait(first + self.span)
         return iter([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.done.exists() or not self.seen.exists():
+        now = int(timerValues.getCurrentWatermarkInMs()) * 1000
+        if self.done.exists():
+            if self.forget is not None and self.done.get()[0] + self.forget < now:
+                self.done.clear()
             return
-        events = sorted((int(r[0]), int(r[1])) for r in self.seen.get())
-        now = int(expiredTimerInfo.getExpiryTimeInMs()) * 1000
-        first = 0
+        events = sorted((int(t), int(v), int(n[0])) for (t, v), n in self.seen.iterator())
+        inside: dict[int, int] = {}
+        first = last = total = 0
         while first < len(events) and events[first][0] + self.span < now:
             start = events[first][0]
-            inside = [e for e in events[first:] if e[0] <= start + self.span]
-            values = sorted({v for _, v in inside}) if self.distinct else []
-            count = len(values) if self.distinct else len(inside)
+            while last < len(events) and events[last][0] <= start + self.span:
+                inside[events[last][1]] = inside.get(events[last][1], 0) + events[last][2]
+                total += events[last][2]
+                last += 1
+            count = len(inside) if self.distinct else total
             if count >= self.least:
-                self.done.update((True,))
                 self.seen.clear()
-                yield pd.DataFrame({"source_ip": [key[0]], "first": [start], "last": [inside[-1][0]], "event_count": [count], "ports": [values]})
+                self.due.clear()
+                self.done.update((start + self.span,))
+                if self.forget is not None:
+                    self.handle.registerTimer((start + self.span + self.forget) // 1000 + 1)
+                yield pd.DataFrame({"source_ip": [key[0]], "first": [start], "last": [events[last - 1][0]], "event_count": [count], "ports": [sorted(inside) if self.distinct else []]})
                 return
-            first += 1
-        if first:
-            rest = events[first:]
-            self.seen.put(rest) if rest else self.seen.clear()
+            while first < len(events) and events[first][0] == start:  # the window moves on to the next time
+                t, v, n = events[first]
+                inside[v] -= n
+                total -= n
+                if not inside[v]:
+                    del inside[v]
+                self.seen.removeKey((t, v))
+                first += 1
+        self.due.clear()
+        if first < len(events):
+            self._wait(events[first][0] + self.span)
 
     def close(self) -> None:
         pass
