@@ -31,7 +31,16 @@ _POWERS: dict[str, np.ndarray] = {}
 _OWN_DIRS: dict[str, str] = {}
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Batches of texts that go to Python hold 16 MB at most, where the session has Spark's own limit of 64 MB: both sides hold some
+    at once, twice as large while they grow. Another setting is left as it is."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, "") in ("67108864b", "67108864", "64m", "64MB"):
+        spark.conf.set(key, "16m")
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
@@ -52,6 +61,7 @@ def shared_dir(spark: SparkSession) -> str:
 def cut(df: DataFrame) -> DataFrame:
     """Write df as a table in the shared folder and read it again: lineage ends there, and lost executors lose nothing."""
     spark = df.sparkSession
+    bound_batches(spark)
     path = f"{shared_dir(spark)}/cut-{spark.sparkContext.applicationId}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -28,7 +28,7 @@ WINDOW = 20
 #: stretches are single windows, one for each minimizer.
 GRAMS = (8, 14, WINDOW)
 #: Stretches in a shard, about.
-SHARD_ROWS = 20_000
+SHARD_ROWS = 8_000
 ROUTE_ROWS = 20_000
 _LAST_ID = 2**63 - 1
 _LOW = np.uint64(0xFFFFFF)
