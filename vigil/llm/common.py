@@ -35,7 +35,7 @@ def bound_batches(spark: SparkSession) -> None:
     """Batches of texts that go to Python hold 16 MB at most, where the session has Spark's own limit of 64 MB: both sides hold some
     at once, twice as large while they grow. Another setting is left as it is."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if spark.conf.get(key, "") in ("67108864b", "67108864", "64m", "64MB"):
+    if spark.conf.get(key, "64m") in ("64m", "67108864b"):
         spark.conf.set(key, "16m")
 
 
