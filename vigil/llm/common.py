@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a vectorised step works on at once; a longer text is a slice of its own.
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 1_000_000
 SLICE_ROWS = 2_000
 
 SPACE = np.zeros(256, bool)

@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigil.llm.common import SPACE, cut, gram_hashes, mix, read, span_hashes, text_slices, word_bounds
@@ -37,8 +37,11 @@ COPY_SHINGLE = 5
 SIMILARITY = 0.8
 #: Bands of BAND least hashes each: a pair of similarity 0.8 meets in none with probability (1 - 0.8 ** 4) ** 20, 3 in 100,000.
 BANDS, BAND = 20, 4
-#: Different texts of a band that are compared in one group; larger ones are compared by pairs of blocks.
+#: Different texts of a band, and shingles of theirs, that are compared in one group; larger ones are compared by blocks.
 BLOCK_ROWS = 1_000
+BLOCK_SHINGLES = 500_000
+#: Bands whose links are found first; of all bands only texts that these don't connect are compared then.
+FIRST_BANDS = 4
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
@@ -269,7 +272,7 @@ def _bands(sets: np.ndarray, heads: np.ndarray) -> np.ndarray:
 
 
 def _noted(docs: DataFrame, text_col: str, columns: list[str], k: int, bands: bool = False) -> DataFrame:
-    """columns of docs with __node (a hash of the text's set of shingles) and, if asked for, __bands."""
+    """columns of docs with __node (a hash of the text's set of shingles) and, if asked for, __bands and __size (of that set)."""
     rows = docs.select(*columns, F.col(text_col).alias("__text"))
     at = len(columns)
 
@@ -284,21 +287,22 @@ def _noted(docs: DataFrame, text_col: str, columns: list[str], k: int, bands: bo
                     full = heads[:-1] < heads[1:]
                     keys = _bands(sets, heads[:-1][full]) if full.any() else np.zeros(0, np.uint64)
                     out.append(pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(full * BANDS)]).astype(np.int32), keys.ravel().view(np.int64)))
-                yield pa.record_batch(out, names=[*columns, "__node", "__bands"][: at + 1 + bands])
+                    out.append(pa.array(np.diff(heads)))
+                yield pa.record_batch(out, names=[*columns, "__node", "__bands", "__size"][: len(out)])
 
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema.fields[:at])
-    return rows.mapInArrow(run, f"{fields}__node long" + ", __bands array<long>" * bands)
+    return rows.mapInArrow(run, f"{fields}__node long" + ", __bands array<long>, __size long" * bands)
 
 
-def similar_pairs(sets: list[np.ndarray], side: np.ndarray, similarity: float = SIMILARITY) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of positions that connect all sets of the similarity or more, up to connectivity; where there are two sides, pairs
-    across them only."""
+def similar_pairs(sets: list[np.ndarray], side: np.ndarray, root: np.ndarray, similarity: float = SIMILARITY) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of positions that connect all sets of the similarity or more, up to connectivity. Sets of one root are connected already;
+    where there are several sides, only pairs across them count."""
     size = np.array([len(s) for s in sets])
-    order, both = np.argsort(size, kind="stable"), len(set(side.tolist())) > 1
-    label, found = np.arange(len(sets)), []
+    order, both, label = np.argsort(size, kind="stable"), len(set(side.tolist())) > 1, np.unique(root, return_inverse=True)[1]
+    sizes, found = size[order], []
     for x, i in enumerate(order):
-        rest = order[x + 1 : np.searchsorted(size[order], size[i] / similarity + 1e-9, "right")]
-        for j in rest[(side[rest] != side[i]) | (not both)]:
+        rest = order[x + 1 : np.searchsorted(sizes, size[i] / similarity + 1e-9, "right")]
+        for j in rest[(label[rest] != label[i]) & ((side[rest] != side[i]) | (not both))]:
             if label[i] == label[j]:
                 continue
             common = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
@@ -309,34 +313,65 @@ def similar_pairs(sets: list[np.ndarray], side: np.ndarray, similarity: float =
     return u, v
 
 
-def copy_links(docs: DataFrame, nodes: DataFrame, text_col: str, k: int, similarity: float, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Links (u, v) that connect the nodes (__node, __bands) of the similarity or more: those that share a band and whose sets of
-    shingles, made from the texts of docs, are so similar."""
-    rows = nodes.select(F.col("__node").alias("node"), F.explode("__bands").alias("key"))
-    size = rows.groupBy("key").agg(F.count("*").alias("n"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("s"), F.min("node").alias("m")).where("n > 1")
-    size = cut(size.groupBy("n", "s", "m").agg(F.min("key").alias("key")).select("key", "n"))  # bands of the same nodes once
-    blocks = F.ceil(F.col("n") / block_rows).cast("int")
-    met = rows.join(size, "key").withColumn("side", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    met = cut(met.select("node", "key", F.least("side", "other").alias("lo"), F.greatest("side", "other").alias("hi"), "side"))
-    texts = _noted(docs, text_col, [text_col], k).select(F.col("__node").alias("node"), F.col(text_col).alias("text"))
-    texts = texts.join(met.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("text").alias("text"))
+def _compared(met: DataFrame, texts: DataFrame, k: int, similarity: float) -> DataFrame:
+    """Links (u, v) of similar_pairs() in each group (key, kind, lo, hi) of met, which also has node, side and root."""
 
     def run(table: pa.Table) -> pa.Table:
-        node, side, sets = table.column("node").to_numpy(), table.column("side").to_numpy(), []
+        node, side, root = (table.column(c).to_numpy() for c in ("node", "side", "root"))
+        sets = []
         for _, _, data, offsets in text_slices(table.column("text")):
             flat, heads = shingle_sets(data, offsets, k)
             sets += np.split(flat, heads[1:-1])
-        u, v = similar_pairs(sets, side, similarity)
+        u, v = similar_pairs(sets, side, root, similarity)
         return pa.table({"u": node[u], "v": node[v]})
 
-    return met.join(texts, "node").groupBy("key", "lo", "hi").applyInArrow(run, "u long, v long")
+    return met.join(texts, "node").groupBy("key", "kind", "lo", "hi").applyInArrow(run, "u long, v long")
+
+
+def copy_links(docs: DataFrame, nodes: DataFrame, text_col: str, k: int, similarity: float, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Links (u, v) that connect the nodes (__node, __bands, __size) of the similarity or more: those that share a band and whose sets
+    of shingles, made from the texts of docs, are so similar.
+
+    First the texts of FIRST_BANDS are compared; a band's many texts are dealt into blocks, twice, and only compared inside those.
+    As the blocks of both deals and of several bands overlap, that connects a large group of copies in time in proportion to its size.
+    Then each band's texts are compared that are not in one component yet: all others with the band's largest component and with
+    each other, by blocks. So every pair of a band is compared or connected.
+    """
+    rows = nodes.select(F.col("__node").alias("node"), F.col("__size").alias("size"), F.posexplode("__bands").alias("pos", "key"))
+    bands = rows.groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("w"), F.min("pos").alias("pos"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("s"), F.min("node").alias("m"))
+    bands = bands.where("n > 1").groupBy("n", "w", "s", "m").agg(F.min(F.struct("pos", "key")).alias("at"))  # bands of the same nodes once
+    bands = cut(bands.select("at.pos", "at.key", "n", "w"))
+    met = cut(rows.drop("pos").join(bands, "key"))
+    texts = _noted(docs, text_col, [text_col], k).select(F.col("__node").alias("node"), F.col(text_col).alias("text"))
+    texts = cut(texts.join(met.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("text").alias("text")))
+
+    def blocks(n: str, w: str) -> Column:
+        return F.expr(f"cast(ceil(greatest(({n}) / {block_rows}, ({w}) / {BLOCK_SHINGLES})) as int)")
+
+    dealt = met.where(F.col("pos") < FIRST_BANDS).withColumn("b", blocks("n", "w")).withColumn("lo", F.expr("explode(if(b > 1, array(0, 1), array(0)))"))
+    dealt = dealt.select("key", F.lit(0).alias("kind"), "lo", F.expr("cast(pmod(xxhash64(node, key, lo), b) as int)").alias("hi"), "node", F.lit(0).alias("side"), F.col("node").alias("root"))
+    linked = components(_compared(dealt, texts, k, similarity))
+
+    named = cut(met.join(linked, met.node == linked.u, "left").select("key", "node", "size", "n", "w", F.coalesce("v", "node").alias("root")))
+    parts = named.groupBy("key", "root").agg(F.count("*").alias("top_n"), F.sum("size").alias("top_w"))
+    tops = parts.groupBy("key").agg(F.count("*").alias("roots"), F.max(F.struct("top_n", "root", "top_w")).alias("t")).where("roots > 1")
+    apart = named.join(tops.select("key", "t.top_n", "t.top_w", F.col("t.root").alias("top")), "key")
+    apart = apart.withColumns({"b": blocks("n", "w"), "tb": blocks("top_n", "top_w"), "ob": blocks("n - top_n", "w - top_w")})
+    apart = apart.withColumn("own", F.expr("cast(pmod(xxhash64(node), if(root = top, tb, ob)) as int)"))
+    one = "array(named_struct('kind', 0, 'lo', 0, 'hi', 0, 'side', 0))"
+    of_top = "transform(sequence(0, ob - 1), x -> named_struct('kind', 1, 'lo', own, 'hi', x, 'side', 0))"
+    to_top = "transform(sequence(0, tb - 1), x -> named_struct('kind', 1, 'lo', x, 'hi', own, 'side', 1))"
+    others = "transform(sequence(0, ob - 1), x -> named_struct('kind', 2, 'lo', least(own, x), 'hi', greatest(own, x), 'side', own))"
+    apart = apart.withColumn("g", F.explode(F.expr(f"case when b = 1 then {one} when root = top then {of_top} else concat({to_top}, {others}) end")))
+    rest = _compared(apart.select("key", "g.*", "node", "root"), texts, k, similarity)
+    return linked.select("u", "v").unionByName(rest)
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = COPY_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """id_col, __node, root (a component's least node) and component_id (the smallest id reachable over pairs of the similarity or
     more) for each row; ids as in near_duplicates(). Texts without words are copies of each other."""
     marked = cut(_noted(docs, text_col, [id_col], k, bands=True))
-    nodes = cut(marked.groupBy("__node").agg(F.min(id_col).alias("least"), F.first("__bands").alias("__bands")))
+    nodes = cut(marked.groupBy("__node").agg(F.min(id_col).alias("least"), F.first("__bands").alias("__bands"), F.first("__size").alias("__size")))
     linked = components(copy_links(docs, nodes, text_col, k, similarity))
     rooted = cut(nodes.join(linked, nodes["__node"] == linked.u, "left").select("__node", "least", F.coalesce("v", "__node").alias("root")))
     names = cut(rooted.groupBy("root").agg(F.min("least").alias("component_id")))
