@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from vigil.llm import ann, media, packing, pieces, pii, quality, secrets, simhash, substrings, tokens
+from vigil.llm import ann, maintext, media, packing, pieces, pii, quality, secrets, simhash, substrings, tokens
 
 QUERIES = {
     "op1_sentencepiece": pieces.op1_sentencepiece,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_neighbours": ann.op8_neighbours,
     "op9_pack": packing.op9_pack,
     "op10_secrets": secrets.op10_secrets,
+    "op11_main_text": maintext.op11_main_text,
 }
 
 #: SQL for those that SQL can express on whole tables.
