@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from vigil.llm import ann, maintext, media, packing, pieces, pii, quality, secrets, simhash, substrings, tokens
+from vigil.llm import ann, maintext, media, packing, pieces, pii, quality, secrets, simhash, substrings, tokens, trie
 
 QUERIES = {
     "op1_sentencepiece": pieces.op1_sentencepiece,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_pack": packing.op9_pack,
     "op10_secrets": secrets.op10_secrets,
     "op11_main_text": maintext.op11_main_text,
+    "op13_trie": trie.op13_trie,
 }
 
 #: SQL for those that SQL can express on whole tables.
@@ -27,4 +28,18 @@ ORACLES: dict[str, str] = {
  m AS (SELECT t.doc_id, t.i, t.word, max(CASE WHEN r.k > 1 THEN 1 ELSE 0 END) OVER (PARTITION BY t.doc_id ORDER BY t.i ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS gone FROM t LEFT JOIN r ON r.doc_id = t.doc_id AND r.i = t.i),
  s AS (SELECT doc_id, count(*) FILTER (gone = 1) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (gone = 0) AS kept FROM m GROUP BY doc_id)
 SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN s USING (doc_id)""",
+    "op13_trie": r"""WITH t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM conversations WHERE conv_id IS NOT NULL),
+ c AS (SELECT conv_id, max(i) AS own, conv_id - conv_id % 5 AS base, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda s: CAST(ascii(s) AS BIGINT))),
+   lambda x, y: list_reduce([xor(x, y), 1, 2, 3, 4, 5, 6, 7, 8], lambda v, b: xor(v >> 1, (v & 1) * 3988292384)))) % 9 AS h FROM t GROUP BY conv_id),
+ m AS (SELECT c.*, least(h, coalesce(b.own, 0)) AS shared FROM c LEFT JOIN (SELECT conv_id AS base, own FROM c) b USING (base)),
+ r AS (SELECT m.conv_id, t.i AS d, role, text FROM m JOIN t ON t.conv_id = m.base AND t.i <= m.shared UNION ALL SELECT m.conv_id, t.i - h + shared, role, text FROM m JOIN t ON t.conv_id = m.conv_id AND t.i > m.h),
+ k AS (SELECT conv_id, d, octet_length(encode(text)) AS bytes, string_agg(length(role) || ':' || role || length(text) || ':' || text, '' ORDER BY d) OVER (PARTITION BY conv_id ORDER BY d) AS key FROM r UNION ALL SELECT conv_id, 0, 0, '' FROM m),
+ l AS (SELECT *, d = max(d) OVER (PARTITION BY conv_id) AS ends FROM k),
+ g AS (SELECT d, key, min(conv_id) AS conv_id, count(*) AS n_convs, max(bytes) AS bytes, coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ends), '') AS ids FROM l GROUP BY d, key),
+ u AS (SELECT g.*, p.d AS top_d, p.key AS top_key FROM g JOIN k p ON p.conv_id = g.conv_id AND p.d <= g.d),
+ e AS (SELECT top_d + 1 AS d, conv_id AS parent, key, top_key FROM u WHERE top_d = d - 1),
+ n AS (SELECT top_key AS key, count(*) AS n_children FROM e GROUP BY top_key),
+ s AS (SELECT top_d AS d, top_key AS key, count(*) FILTER (n.key IS NULL) AS n_leaves, sum((n_convs - 1) * bytes) AS saved FROM u LEFT JOIN n ON n.key = u.key GROUP BY top_d, top_key)
+SELECT g.conv_id, CAST(g.d AS BIGINT) AS depth, p.conv_id AS parent_conv_id, g.n_convs, coalesce(n.n_children, 0) AS n_children, s.n_leaves, CAST(s.saved AS BIGINT) AS saved_tokens, sha256(g.ids) AS ends_sha256
+ FROM g JOIN s USING (key) LEFT JOIN n USING (key) LEFT JOIN e USING (key) LEFT JOIN g p ON p.key = e.top_key""",
 }
