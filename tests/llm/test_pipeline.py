@@ -2,6 +2,7 @@
 
 import re
 import zlib
+from pathlib import Path
 
 import corpus_pipeline
 from test_pii import brute as pii_brute
@@ -9,7 +10,7 @@ from test_simhash import copy_names
 from test_substrings import brute as repeats_brute
 
 from vigil.llm import packing, pii
-from vigil.llm.common import cut, read
+from vigil.llm.common import cut, cuts_made, read, shared_dir
 
 
 def test_stages(spark, sf):
@@ -80,10 +81,63 @@ def test_packing_of_odd_documents(spark):
     texts = ["", None, "a", "  two  spaces ", "a<|endoftext|>b", "line\n\nbreak \n x", "é 漢字 😀", "word " * 30_000, "x" * 5000] + [f"short text {k}" for k in range(200)]
     docs = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "doc_id long, text string, length int").repartition(6)
     check_packing(packing.pack(docs).collect(), dict(enumerate(texts)))
-    twice = packing.pack(docs.limit(5).union(docs.limit(5))).collect()
-    assert len({p.sequence_id for p in twice}) == len({(p.sequence_id) for p in twice}) and sum(p.length for p in twice) % 2 == 0
+    some = docs.where("doc_id < 5")
+    once, twice = packing.pack(some).collect(), packing.pack(some.union(some)).collect()
+    assert sum(p.length for p in twice) == 2 * sum(p.length for p in once)
+    assert {i: sum(p.length for p in twice if p.doc_id == i) for i in range(5)} == {i: 2 * sum(p.length for p in once if p.doc_id == i) for i in range(5)}
     assert packing.pack(docs.limit(0)).count() == 0
 
 
+LONG = " ".join(f"long{i % 977}x{i}" for i in range(30_000))
+ODD = [(1, None), (2, ""), (None, "no id at all but some words"), (None, None), (3, "mail me at someone@example.org now"), (3, "mail me at someone@example.org now"), (3, "another text under the same number"), (4, LONG), (5, " \t\n "), (6, "é 漢字 😀 +49 30 1234567 890"), (2**40, "far away number")]
+EXTRA = ("__node", "__text", "__score", "__bands", "__size", "score", "held", "id", "a.b", "others", "row", "spans", "length")
+
+
+def odd_documents(spark):
+    rows = [(i, t, None if t is None else len(t), *(f"{name}{k}" for name in EXTRA)) for k, (i, t) in enumerate(ODD)]
+    return spark.createDataFrame(rows, "doc_id long, text string, n_chars int, " + ", ".join(f"`{c}` string" for c in EXTRA)).repartition(3)
+
+
+def by_place(df):
+    return {r["__node"]: r for r in df.collect()}
+
+
+def test_stages_on_odd_rows(spark, sf):
+    docs, stage = odd_documents(spark), dict(corpus_pipeline.STAGES)
+    all_rows = by_place(docs)
+    for name in ("quality", "near duplicates", "repeated passages", "personal data"):
+        got = stage[name](spark, docs, sf)
+        assert got.schema == docs.schema, name
+        for place, r in by_place(got).items():  # no column but text and n_chars changes
+            assert [r[c] for c in ("doc_id", *EXTRA)] == [all_rows[place][c] for c in ("doc_id", *EXTRA)], name
+    ids = lambda df: sorted(str(r.doc_id) for r in df.collect())
+    unique = stage["near duplicates"](spark, docs, sf).collect()
+    assert sorted(str(r.doc_id) for r in unique) == sorted(map(str, [1, None, None, 3, 3, 4, 6, 2**40]))  # the texts without words are one group
+    assert len({(r.doc_id, r.text) for r in unique}) == len(unique)
+    for name in ("repeated passages", "personal data"):
+        assert ids(stage[name](spark, docs, sf)) == ids(docs), name
+    fresh = by_place(stage["repeated passages"](spark, docs, sf))
+    assert all(r.text == (all_rows[p].text or "") and r.n_chars == len(r.text) for p, r in fresh.items())
+    clean = by_place(stage["personal data"](spark, docs, sf))
+    assert clean["__node0"].text is None and clean["__node4"].text == clean["__node5"].text == "mail me at <email> now" and clean["__node7"].text == LONG
+    assert sum(p.length for p in stage["packing"](spark, docs, sf).collect() if p.doc_id == 1) == 1
+
+
+def test_stages_on_empty_tables(spark, sf):
+    docs = odd_documents(spark).limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, docs, sf)
+        assert got.count() == 0 and (name == "packing" or got.schema == docs.schema), name
+
+
 def test_run(spark, sf):
-    assert corpus_pipeline.run(spark, sf).count() > 0
+    """The whole pipeline equals its stages one after the other, and what they wrote on their way is gone."""
+    docs = read(spark, sf, "documents")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = cut(stage(spark, docs, sf))
+    folder = Path(shared_dir(spark).removeprefix("file://"))
+    there = set(folder.iterdir())
+    with cuts_made() as made:  # of the last stage: the others note their own
+        pieces = corpus_pipeline.run(spark, sf).collect()
+    check_packing(pieces, {r.doc_id: r.text for r in docs.collect()})
+    assert len(set(folder.iterdir()) - there) == len(made) + 1  # the last stage's tables and its input, which its rows are read from

@@ -117,9 +117,9 @@ def test_near_copies_against_all_pairs(spark, sf):
     got = {r.doc_id: r.component_id for r in simhash.near_copies(docs).collect()}
     assert pairs > 200 and got == want
     assert sorted(r.doc_id for r in simhash.keep_one(docs).collect()) == sorted(set(want.values()))
-    nodes = simhash._noted(docs, "text", ["doc_id"], 5, bands=True).dropDuplicates(["__node"])
-    linked = {r.u: r.v for r in simhash.components(simhash.copy_links(docs, nodes, "text", 5, 0.8, block_rows=2)).collect()}
-    name_of = {r.doc_id: linked.get(r["__node"], r["__node"]) for r in simhash._noted(docs, "text", ["doc_id"], 5).collect()}
+    nodes = simhash._noted(docs, ["doc_id"], 5, bands=True).dropDuplicates(["__node"])
+    linked = {r.u: r.v for r in simhash.components(simhash.copy_links(docs, nodes, 5, 0.8, block_rows=2)).collect()}
+    name_of = {r.doc_id: linked.get(r["__node"], r["__node"]) for r in simhash._noted(docs, ["doc_id"], 5).collect()}
     assert len({(want[i], n) for i, n in name_of.items()}) == len(set(want.values())) == len(set(name_of.values()))
 
 

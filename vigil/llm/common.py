@@ -11,11 +11,14 @@ import re
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Bytes of text that a vectorised step works on at once; a longer text is a slice of its own.
 SLICE_BYTES = 1_000_000
@@ -29,6 +32,7 @@ _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64
 _R = 0x9E3779B97F4A7C15
 _POWERS: dict[str, np.ndarray] = {}
 _OWN_DIRS: dict[str, str] = {}
+_MADE: ContextVar[list[str] | None] = ContextVar("_MADE", default=None)
 
 
 def bound_batches(spark: SparkSession) -> None:
@@ -64,9 +68,29 @@ def cut(df: DataFrame) -> DataFrame:
     bound_batches(spark)
     path = f"{shared_dir(spark)}/cut-{spark.sparkContext.applicationId}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    if (made := _MADE.get()) is not None:
+        made.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def cuts_made() -> Iterator[list[str]]:
+    """The paths that cut() writes to inside this context, and in this thread, in their order."""
+    made: list[str] = []
+    before = _MADE.set(made)
+    try:
+        yield made
+    finally:
+        _MADE.reset(before)
+
+
+def drop_paths(spark: SparkSession, paths: list[str]) -> None:
+    """Delete tables of cut() that nothing reads any more."""
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def drop_cuts(spark: SparkSession) -> int:
     """Delete the tables that cut() wrote in this application, for callers whose results are all stored; returns how many. Results
     are lazy and read those tables, so no operator can delete them itself."""
@@ -76,6 +100,24 @@ def drop_cuts(spark: SparkSession) -> int:
     return sum(files.delete(f.getPath(), True) for f in found)
 
 
+def with_fields(fields: list[T.StructField], more: str) -> T.StructType:
+    """A schema of fields, whatever names there are inside them, and of more columns in text form."""
+    return T.StructType([*fields, *T.StructType.fromDDL(more).fields])
+
+
+def held(docs: DataFrame, **names: str) -> DataFrame:
+    """docs with columns of fixed names, for operators whose own columns must not clash with any of docs: names maps a fixed name to a
+    column of docs, and all other columns go into one struct, `held`."""
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in names.values()]
+    return docs.select(*(F.col(f"`{c}`").alias(n) for n, c in names.items()), F.struct(*(rest or [F.lit(0)])).alias("held"))
+
+
+def released(rows: DataFrame, columns: list[str], **names: str) -> DataFrame:
+    """The columns that held() took, by their own names and in their order."""
+    own = {c: n for n, c in names.items()}
+    return rows.select(*((F.col(own[c]) if c in own else F.col("held").getField(c)).alias(c) for c in columns))
+
+
 def text_slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Cut an Arrow string column into runs of rows of about limit bytes (SLICE_ROWS rows at most): first row, end row, UTF-8
     bytes, offsets."""

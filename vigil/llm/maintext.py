@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigil.llm.common import read
+from vigil.llm.common import read, with_fields
 
 #: About how many pages are read to fit the weights, labelled ones among them; chosen by hash.
 FIT_PAGES = 20_000
@@ -330,8 +330,7 @@ def extract_main_text(pages: DataFrame, html_col: str = "html", text_col: str =
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=[*rest, "text", "n_chars"])
 
     rows = pages.select(*(F.col(f"`{c}`").alias(r) for c, r in zip(keep, rest, strict=True)), F.col(f"`{html_col}`").alias("html"))
-    types = "".join(f"{r} {rows.schema[r].dataType.simpleString()}, " for r in rest)
-    out = rows.mapInArrow(run, f"{types}text string, n_chars long")
+    out = rows.mapInArrow(run, with_fields(rows.schema.fields[:-1], "text string, n_chars long"))
     return out.select(*(F.col(r).alias(c) for c, r in zip(keep, rest, strict=True)), F.col("text").alias(text_col), "n_chars")
 
 

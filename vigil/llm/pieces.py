@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigil.llm.common import read
+from vigil.llm.common import read, with_fields
 from vigil.llm.tokens import piece_model, splits_at_spaces, tokenizer_path
 
 SPACE_MARK = "▁"
@@ -162,8 +162,7 @@ def encode_pieces(docs: DataFrame, text_col: str = "text", model: str | None = N
                 yield pa.record_batch([*part.columns[:at], pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=[*others, "ids"])
 
     rows = docs.select(*others, text_col)
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:at])
-    return rows.mapInArrow(run, f"{fields}, ids array<int>" if fields else "ids array<int>")
+    return rows.mapInArrow(run, with_fields(rows.schema.fields[:at], "ids array<int>"))
 
 
 def decode_pieces(rows: DataFrame, ids_col: str = "ids", text_col: str = "text", model: str | None = None) -> DataFrame:
@@ -178,8 +177,7 @@ def decode_pieces(rows: DataFrame, ids_col: str = "ids", text_col: str = "text",
             texts = [dec.decode(ids.values.to_numpy(zero_copy_only=False).tolist()) if ids.is_valid else None for ids in b.column(at)]
             yield pa.record_batch([*b.columns, pa.array(texts, pa.string())], names=[*b.schema.names, text_col])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-    return rows.mapInArrow(run, f"{fields}, `{text_col}` string")
+    return rows.mapInArrow(run, with_fields(rows.schema.fields, f"`{text_col}` string"))
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

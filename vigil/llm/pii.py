@@ -302,7 +302,7 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with each span of personal data in text_col replaced by its kind in angle brackets, such as <email>; of overlapping
     spans the first stays, the longer of two with one start. Null texts stay null, other columns stay as they are."""
-    found = with_candidates(docs.select(F.struct(*docs.columns).alias("row"), F.col(text_col).alias("text")))
+    found = with_candidates(docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(text_col).alias("text")))
     model = fit_spans(vote_table(with_candidates(docs.select(F.col(text_col).alias("text")))))
     by_start = lambda spans: F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("less"), s["kind"].alias("kind"))))
     kept = "array<struct<start:int,end:int,kind:int>>"  # text before a span that stays, and its kind

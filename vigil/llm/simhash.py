@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigil.llm.common import SPACE, cut, gram_hashes, mix, read, span_hashes, text_slices, word_bounds
+from vigil.llm.common import SPACE, cut, gram_hashes, held, mix, read, released, span_hashes, text_slices, with_fields, word_bounds
 
 SHINGLE = 3
 SEED = 42
@@ -271,10 +271,11 @@ def _bands(sets: np.ndarray, heads: np.ndarray) -> np.ndarray:
     return keys
 
 
-def _noted(docs: DataFrame, text_col: str, columns: list[str], k: int, bands: bool = False) -> DataFrame:
-    """columns of docs with __node (a hash of the text's set of shingles) and, if asked for, __bands and __size (of that set)."""
-    rows = docs.select(*columns, F.col(text_col).alias("__text"))
-    at = len(columns)
+def _noted(rows: DataFrame, columns: list[str], k: int, bands: bool = False) -> DataFrame:
+    """columns of rows (which has `text`) with __node (a hash of the text's set of shingles) and, if asked for, __bands and __size (of that set)."""
+    own = columns if "text" in columns else [*columns, "text"]
+    rows = rows.select(*own)
+    at, width = own.index("text"), len(columns)
 
     def run(batches):
         for batch in batches:
@@ -282,16 +283,15 @@ def _noted(docs: DataFrame, text_col: str, columns: list[str], k: int, bands: bo
                 sets, heads = shingle_sets(data, offsets, k)
                 raw, edges = sets.tobytes(), (heads * 8).tolist()
                 node = np.array([xxhash.xxh64_intdigest(raw[x:y], SEED) for x, y in zip(edges, edges[1:], strict=False)], np.uint64)
-                out = [*(c.slice(first, end - first) for c in batch.columns[:at]), pa.array(node.view(np.int64))]
+                out = [*(c.slice(first, end - first) for c in batch.columns[:width]), pa.array(node.view(np.int64))]
                 if bands:
                     full = heads[:-1] < heads[1:]
                     keys = _bands(sets, heads[:-1][full]) if full.any() else np.zeros(0, np.uint64)
                     out.append(pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(full * BANDS)]).astype(np.int32), keys.ravel().view(np.int64)))
                     out.append(pa.array(np.diff(heads)))
-                yield pa.record_batch(out, names=[*columns, "__node", "__bands", "__size"][: len(out)])
+                yield pa.RecordBatch.from_arrays(out, names=[*columns, "__node", "__bands", "__size"][: len(out)])
 
-    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema.fields[:at])
-    return rows.mapInArrow(run, f"{fields}__node long" + ", __bands array<long>, __size long" * bands)
+    return rows.mapInArrow(run, with_fields(rows.schema.fields[:width], "__node long" + ", __bands array<long>, __size long" * bands))
 
 
 def similar_pairs(sets: list[np.ndarray], side: np.ndarray, root: np.ndarray, similarity: float = SIMILARITY) -> tuple[np.ndarray, np.ndarray]:
@@ -328,9 +328,9 @@ def _compared(met: DataFrame, texts: DataFrame, k: int, similarity: float) -> Da
     return met.join(texts, "node").groupBy("key", "kind", "lo", "hi").applyInArrow(run, "u long, v long")
 
 
-def copy_links(docs: DataFrame, nodes: DataFrame, text_col: str, k: int, similarity: float, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def copy_links(docs: DataFrame, nodes: DataFrame, k: int, similarity: float, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Links (u, v) that connect the nodes (__node, __bands, __size) of the similarity or more: those that share a band and whose sets
-    of shingles, made from the texts of docs, are so similar.
+    of shingles, made from the `text` of docs, are so similar.
 
     First the texts of FIRST_BANDS are compared; a band's many texts are dealt into blocks, twice, and only compared inside those.
     As the blocks of both deals and of several bands overlap, that connects a large group of copies in time in proportion to its size.
@@ -342,7 +342,7 @@ def copy_links(docs: DataFrame, nodes: DataFrame, text_col: str, k: int, similar
     bands = bands.where("n > 1").groupBy("n", "w", "s", "m").agg(F.min(F.struct("pos", "key")).alias("at"))  # bands of the same nodes once
     bands = cut(bands.select("at.pos", "at.key", "n", "w"))
     met = cut(rows.drop("pos").join(bands, "key"))
-    texts = _noted(docs, text_col, [text_col], k).select(F.col("__node").alias("node"), F.col(text_col).alias("text"))
+    texts = _noted(docs, ["text"], k).select(F.col("__node").alias("node"), "text")
     texts = cut(texts.join(met.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("text").alias("text")))
 
     def blocks(n: str, w: str) -> Column:
@@ -370,22 +370,29 @@ def copy_links(docs: DataFrame, nodes: DataFrame, text_col: str, k: int, similar
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = COPY_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """id_col, __node, root (a component's least node) and component_id (the smallest id reachable over pairs of the similarity or
     more) for each row; ids as in near_duplicates(). Texts without words are copies of each other."""
-    marked = cut(_noted(docs, text_col, [id_col], k, bands=True))
-    nodes = cut(marked.groupBy("__node").agg(F.min(id_col).alias("least"), F.first("__bands").alias("__bands"), F.first("__size").alias("__size")))
-    linked = components(copy_links(docs, nodes, text_col, k, similarity))
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    marked = cut(_noted(rows, ["id"], k, bands=True))
+    nodes = cut(marked.groupBy("__node").agg(F.min("id").alias("least"), F.first("__bands").alias("__bands"), F.first("__size").alias("__size")))
+    linked = components(copy_links(rows, nodes, k, similarity))
     rooted = cut(nodes.join(linked, nodes["__node"] == linked.u, "left").select("__node", "least", F.coalesce("v", "__node").alias("root")))
     names = cut(rooted.groupBy("root").agg(F.min("least").alias("component_id")))
     by_node = cut(rooted.join(names, "root").select("__node", "root", "component_id"))
-    return marked.join(by_node, "__node").select(id_col, "__node", "root", "component_id")
+    return marked.join(by_node, "__node").select(F.col("id").alias(id_col), "__node", "root", "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one document of each component of near copies, the one of the smallest id, whole and with all its columns. Where rows
-    of that id have several texts in the component, that of the least hash stays; of repeated rows of both one stays. Rows with a
-    null id can't stand for a component and all stay."""
-    groups = near_copies(docs, id_col, text_col)
-    mine = groups.where(F.col(id_col) == F.col("component_id"))
-    chosen = cut(mine.groupBy("root").agg(F.first(id_col).alias(id_col), F.min("__node").alias("__node")).drop("root"))
-    known = _noted(docs.where(F.col(id_col).isNotNull()), text_col, docs.columns, COPY_SHINGLE)
-    kept = known.join(chosen, [id_col, "__node"], "left_semi").dropDuplicates([id_col, "__node"])
-    return kept.select(*docs.columns).unionByName(docs.where(F.col(id_col).isNull())).select(*docs.columns)
+    """docs with one document of each component of near copies, the one of the smallest id, whole and with all its columns, whatever
+    their names. Candidates meet in bands of least shingle hashes and links are checked exactly.
+
+    Where rows of that id have several texts in the component, that of the least hash stays; of repeated rows of both one stays. Rows
+    with a null id can't stand for a component and all stay. Null and empty texts and texts of white space alone are copies of each
+    other; a text of fewer than five words is one shingle; very long texts are one slice each. An empty table gives no rows.
+    """
+    names = {"id": id_col, "text": text_col}
+    rows = held(docs, **names)
+    groups = near_copies(rows, "id", "text")
+    mine = groups.where(F.col("id") == F.col("component_id"))
+    chosen = cut(mine.groupBy("root").agg(F.first("id").alias("id"), F.min("__node").alias("__node")).drop("root"))
+    known = _noted(rows.where("id is not null"), ["id", "text", "held"], COPY_SHINGLE)
+    kept = known.join(chosen, ["id", "__node"], "left_semi").dropDuplicates(["id", "__node"]).drop("__node")
+    return released(kept.unionByName(rows.where("id is null")), docs.columns, **names)

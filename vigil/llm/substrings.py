@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigil.llm.common import SPACE, cut, gram_hashes, mix, read, span_hashes, text_slices, word_bounds
+from vigil.llm.common import SPACE, cut, gram_hashes, mix, read, span_hashes, text_slices, with_fields, word_bounds
 from vigil.llm.fmindex import FMIndex
 
 WINDOW = 20
@@ -105,8 +105,7 @@ def _packed(docs: DataFrame) -> DataFrame:
             raw = [t.encode() for t in b.column(at).fill_null("").to_pylist()]
             yield pa.record_batch([*b.columns[:at], pa.array(text_keys(raw)), pa.array([pack.compress(t) for t in raw], pa.binary())], names=[*others, "tkey", "z"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:at])
-    return rows.mapInArrow(run, f"{fields}, tkey long, z binary")
+    return rows.mapInArrow(run, with_fields(rows.schema.fields[:at], "tkey long, z binary"))
 
 
 def _unpacked(z: pa.Array) -> pa.Array:
@@ -287,8 +286,8 @@ def _finish(rows: DataFrame, text_out: bool) -> DataFrame:
             made = [pa.array(kept_text, pa.string())] if text_out else [pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept_sha, pa.string())]
             yield pa.record_batch([*b.columns[:at], *made], names=[*others, *(["text"] if text_out else ["n_words", "n_removed", "kept_sha256"])])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name in others)
-    return rows.select(*others, "z", "windows").mapInArrow(run, fields + (", text string" if text_out else ", n_words long, n_removed long, kept_sha256 string"))
+    fields = [rows.schema[c] for c in others]
+    return rows.select(*others, "z", "windows").mapInArrow(run, with_fields(fields, "text string" if text_out else "n_words long, n_removed long, kept_sha256 string"))
 
 
 def _dedup(docs: DataFrame, text_out: bool) -> DataFrame:
@@ -319,7 +318,7 @@ def remove_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """docs with the words that dedup_substrings removes taken out of text_col (kept words joined by one space); texts that lose
     nothing stay as they are, null ones become empty. Other columns stay."""
     others = [c for c in docs.columns if c != text_col]
-    kept = F.struct(*others).alias("others") if others else F.struct(F.lit(0)).alias("others")
+    kept = F.struct(*(F.col(f"`{c}`") for c in others)).alias("others") if others else F.struct(F.lit(0)).alias("others")
     rows = docs.select(kept, F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST_ID)).alias("rid"), F.col(text_col).alias("text"))
     out = _dedup(rows, True)
     return out.select(*(F.col("text").alias(c) if c == text_col else F.col("others").getField(c).alias(c) for c in docs.columns))
