@@ -29,6 +29,8 @@ FILTER_BITS = 27
 #: Occurrences that a task counts together before it sends them on, and about how many phrases a range holds.
 BUFFER, RANGE_ROWS = 2_000_000, 500_000
 KEYS = ("k1", "k2", "k3", "k4")
+#: Rows of a scan: complete, lacking something that lies in another range, or the report of such a part.
+WHOLE, TORN, SEAM = 0, 1, 2
 
 #: Keys are positive, so 0, which stands behind a phrase's last word, sorts before all words.
 _KEY_BITS = 63
@@ -176,7 +178,8 @@ def lockstep(stream: DataFrame, name: str, ranges: int) -> DataFrame:
     and {name}_next, the largest count of a phrase with one word more (0: none).
 
     A part that lies before a range's first row is missing there. Each range reports its missing parts, three at most, and what
-    it has seen of their extensions; with their counts they are broadcast.
+    it has seen of their extensions; with their counts they are broadcast. Only rows that lack a part, and those that a range ends in
+    the midst of, are joined with them.
     """
     carried = [c for c in stream.columns if c not in (*KEYS, "size", "n")]
     parts = [f"{name}{j}" for j in range(1, LONGEST)]
@@ -189,7 +192,7 @@ def lockstep(stream: DataFrame, name: str, ranges: int) -> DataFrame:
         size, n = (table.column(c).to_numpy() for c in ("size", "n"))
         keys = [table.column(k).to_numpy() for k in KEYS]
         rows = np.arange(len(size))
-        above, next_most, seams = [], np.zeros(len(size), np.int64), []
+        above, next_most, seams, torn = [], np.zeros(len(size), np.int64), [], np.zeros(len(size), bool)
         for j in range(1, LONGEST):
             last = np.maximum.accumulate(np.where(size == j, rows, -1))  # the latest phrase of j words: the first part of all longer ones since
             above.append(np.where((size > j) & (last >= 0), n[last], -1))
@@ -197,28 +200,32 @@ def lockstep(stream: DataFrame, name: str, ranges: int) -> DataFrame:
             inside = child & (last >= 0)
             np.maximum.at(next_most, last[inside], n[inside])
             lost = np.flatnonzero((size > j) & (last < 0))
+            torn[lost] = True
+            if size[-1] >= j and last[-1] >= 0:
+                torn[last[-1]] = True
             if len(lost):
                 seams.append(([int(keys[i][lost[0]]) if i < j else 0 for i in range(LONGEST)], j, int(n[child & (last < 0)].max(initial=0))))
-        columns = [*(table.column(k) for k in KEYS), table.column("size"), table.column("n"), *(pa.array(a, pa.int64(), mask=a < 0) for a in above), pa.array(next_most), pa.array(np.zeros(len(size), bool)), *(table.column(c) for c in carried)]
-        names = [*KEYS, "size", "n", *parts, f"{name}_next", "seam", *carried]
+        columns = [*(table.column(k) for k in KEYS), table.column("size"), table.column("n"), *(pa.array(a, pa.int64(), mask=a < 0) for a in above), pa.array(next_most), pa.array(np.where(torn, TORN, WHOLE)), *(table.column(c) for c in carried)]
+        names = [*KEYS, "size", "n", *parts, f"{name}_next", "state", *carried]
         whole = pa.table(columns, names=names)
         yield from whole.to_batches(max_chunksize=50_000)
         if seams:
             m = len(seams)
-            fixed = [*(pa.array([s[0][i] for s in seams], pa.int64()) for i in range(LONGEST)), pa.array([s[1] for s in seams], whole.schema.field("size").type), pa.nulls(m, pa.int64()), *(pa.nulls(m, pa.int64()) for _ in parts), pa.array([s[2] for s in seams], pa.int64()), pa.array([True] * m)]
+            fixed = [*(pa.array([s[0][i] for s in seams], pa.int64()) for i in range(LONGEST)), pa.array([s[1] for s in seams], whole.schema.field("size").type), pa.nulls(m, pa.int64()), *(pa.nulls(m, pa.int64()) for _ in parts), pa.array([s[2] for s in seams], pa.int64()), pa.array([SEAM] * m, pa.int64())]
             yield pa.RecordBatch.from_arrays([*fixed, *(pa.nulls(m, whole.schema.field(c).type) for c in carried)], names=names)
 
     ordered = stream.select(*KEYS, "size", "n", *carried).repartitionByRange(ranges, *KEYS).sortWithinPartitions(*KEYS)
     types = {f.name: f.dataType.simpleString() for f in ordered.schema}
-    found = cut(ordered.mapInArrow(scan, ", ".join([*(f"{c} {types[c]}" for c in (*KEYS, "size", "n")), *(f"{p} long" for p in parts), f"{name}_next long, seam boolean", *(f"{c} {types[c]}" for c in carried)])))
-    rows = found.where("not seam").drop("seam")
-    lost = found.where("seam").groupBy(*KEYS).agg(F.max(f"{name}_next").alias("lost_next"))
-    lost = cut(rows.select(*KEYS, F.col("n").alias("lost_n")).join(F.broadcast(lost), [*KEYS]))  # three for each range at most
+    found = cut(ordered.mapInArrow(scan, ", ".join([*(f"{c} {types[c]}" for c in (*KEYS, "size", "n")), *(f"{p} long" for p in parts), f"{name}_next long, state long", *(f"{c} {types[c]}" for c in carried)])))
+    whole, torn, seams = (found.where(F.col("state") == state).drop("state") for state in (WHOLE, TORN, SEAM))
+    lost = seams.groupBy(*KEYS).agg(F.max(f"{name}_next").alias("lost_next"))
+    lost = cut(torn.select(*KEYS, F.col("n").alias("lost_n")).join(F.broadcast(lost), [*KEYS]))  # three for each range at most
     for j in range(1, LONGEST):
         own = lost.where(F.col(KEYS[j]) == 0).where(F.col(KEYS[j - 1]) != 0).select(*(F.col(k).alias(f"s{k}") for k in KEYS[:j]), "lost_n")
-        rows = rows.join(F.broadcast(own), [F.col(k) == F.col(f"s{k}") for k in KEYS[:j]], "left").withColumn(parts[j - 1], F.when(F.col("size") > j, F.coalesce(parts[j - 1], "lost_n"))).drop("lost_n", *(f"s{k}" for k in KEYS[:j]))
-    rows = rows.join(F.broadcast(lost.drop("lost_n")), [*KEYS], "left")
-    return rows.withColumn(f"{name}_next", F.greatest(f"{name}_next", F.coalesce("lost_next", F.lit(0)))).drop("lost_next")
+        torn = torn.join(F.broadcast(own), [F.col(k) == F.col(f"s{k}") for k in KEYS[:j]], "left").withColumn(parts[j - 1], F.when(F.col("size") > j, F.coalesce(parts[j - 1], "lost_n"))).drop("lost_n", *(f"s{k}" for k in KEYS[:j]))
+    torn = torn.join(F.broadcast(lost.drop("lost_n")), [*KEYS], "left")
+    mended = torn.withColumn(f"{name}_next", F.greatest(f"{name}_next", F.coalesce("lost_next", F.lit(0)))).select(whole.columns)
+    return whole.unionByName(mended)
 
 
 def _turned(stream: DataFrame) -> DataFrame:
