@@ -27,7 +27,7 @@ ABSORBED = 80
 #: Bits of the filters of frequent words and of frequent pairs (16 MB each). A fuller filter only lets more through, to be counted in vain.
 FILTER_BITS = 27
 #: Occurrences that a task counts together before it sends them on, and about how many phrases a range holds.
-BUFFER, RANGE_ROWS = 2_000_000, 500_000
+BUFFER, RANGE_ROWS = 1_000_000, 500_000
 KEYS = ("k1", "k2", "k3", "k4")
 #: Rows of a scan: complete, lacking something that lies in another range, or the report of such a part.
 WHOLE, TORN, SEAM = 0, 1, 2
