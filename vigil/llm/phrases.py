@@ -31,6 +31,8 @@ BUFFER, RANGE_ROWS = 1_000_000, 500_000
 KEYS = ("k1", "k2", "k3", "k4")
 #: Rows of a scan: complete, lacking something that lies in another range, or the report of such a part.
 WHOLE, TORN, SEAM = 0, 1, 2
+#: Groups of a language's candidates whose best are found first.
+DEALT = 64
 
 #: Keys are positive, so 0, which stands behind a phrase's last word, sorts before all words.
 _KEY_BITS = 63
@@ -301,7 +303,10 @@ def collocations(docs: DataFrame, lang_col: str = "lang", text_col: str = "text"
     kept = kept.select(*KEYS, "size", F.col("n").alias("a"), "cut.l", "cut.r", F.col("cut.score").cast("long").alias("score"))
     known = words.where(F.col("n") >= min_count).select("key", "lang", "word")
     named = kept.join(known.select(F.col("key").alias("k1"), "lang"), "k1")
-    best = cut(named.withColumn("place", F.rank().over(Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a")))).where(F.col("place") <= top).withColumn("id", F.monotonically_increasing_id()))
+    named = named.withColumn("dealt", F.pmod(F.xxhash64(*KEYS), F.lit(DEALT)))
+    for group in (("lang", "dealt"), ("lang",)):  # no task sees more of a language than DEALT times its best
+        named = named.withColumn("place", F.rank().over(Window.partitionBy(*group).orderBy(F.desc("score"), F.desc("a")))).where(F.col("place") <= top)
+    best = cut(named.withColumn("id", F.monotonically_increasing_id()))
     spelt = best.select("id", F.posexplode(F.array(*KEYS)).alias("at", "key")).where("key != 0").join(known.select("key", "word"), "key")
     spelt = spelt.groupBy("id").agg(F.concat_ws(" ", F.transform(F.sort_array(F.collect_list(F.struct("at", "word"))), lambda w: w.word)).alias("phrase"))
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
