@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 from datetime import UTC, datetime
 from functools import reduce
 
@@ -9,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigil import schemas as S
+from vigil.sources.csvrecords import csv_records, csv_rows
 
 # Fixed patterns: the three kinds of SSH lines, and access log lines.
 _STAMP = r"^(\w+)\s+(\d+)\s+(\S+).*"
@@ -105,12 +107,15 @@ def file_heads(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
 
 def read_windows(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Events of Windows event tables. Each file's own header names its columns: files are read together by header, in any number."""
-    by_head: dict[str, list[str]] = {}
-    for r in file_heads(spark, paths).collect():  # a row for each file
-        by_head.setdefault(r.head, []).append(r.source_file)
-    reader = spark.read.option("header", True).option("mode", "PERMISSIVE").option("multiLine", False)
-    parts = [parse_windows(reader.csv(files).withColumn("source_file", F.col("_metadata.file_path"))) for _, files in sorted(by_head.items())]
+    """Events of Windows event tables in CSV; quoted fields, such as messages, may hold commas, line breaks and doubled quotes. Each
+    file's own header names its columns: files are read together by header. The driver sees the distinct headers."""
+    records = csv_records(spark, paths)
+    heads = records.where("head").select("source_file", F.col("record").alias("header"))
+    parts = []
+    for r in heads.select("header").distinct().orderBy("header").collect():
+        files = heads.where(F.col("header") == r.header).select("source_file")
+        rows = csv_rows(records.where("not head").join(files, "source_file", "left_semi"), next(csv.reader([r.header], strict=False)))
+        parts.append(parse_windows(rows))
     return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], S.EVENT)
 
 
