@@ -102,3 +102,13 @@ def test_one_source_in_one_window(spark):
     seconds(4_000)
     few, many = seconds(40_000), seconds(400_000)
     assert many < 10 * few + 10
+
+
+def test_all_rules_are_one_scan_and_three_exchanges(spark, tmp_path):
+    rows = [("failed_login", "a", i, 1) for i in range(9)] + [("connection", "a", i, i) for i in range(40)] + [("http_404", "b", i, None) for i in range(40)]
+    events(spark, rows).write.parquet(str(tmp_path / "events"))
+    df = detect.detect(spark.read.parquet(str(tmp_path / "events")))
+    assert sorted((r.incident_type, r.source_ip, r.event_count, r.details.unique_ports and len(r.details.unique_ports)) for r in df.collect()) == [("brute_force", "a", 9, None), ("flood_404", "b", 40, None), ("port_scan", "a", 39, 39)]
+    plan = df._jdf.queryExecution().sparkPlan().toString(), spark.sql("SELECT 1") and df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert plan[0].count("FileScan") == 1 and plan[1].count("Exchange hashpartitioning") <= 3
+    assert "ReadSchema: struct<event_type:string,source_ip:string,event_time:timestamp,port:int>" in plan[0]

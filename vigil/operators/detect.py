@@ -7,38 +7,38 @@ from pyspark.sql import functions as F
 
 from vigil.config import RuleConfig
 from vigil.functions import scalars as X
-from vigil.operators.sliding import first_count_window, first_distinct_window
+from vigil.operators.sliding import first_windows
 
+_TYPES = {"brute_force": "failed_login", "port_scan": "connection", "flood_404": "http_404"}
 
-def _incident(found: DataFrame, kind: str, window: int, least: int, keys: list[str]) -> DataFrame:
-    ports = F.col("values") if "values" in found.columns else F.lit(None).cast("array<int>")
-    details = F.struct(F.lit(window).alias("window_minutes"), F.lit(least).alias("threshold"), ports.alias("unique_ports"))
-    return found.select(F.lit(kind).alias("incident_type"), *keys, "first_seen", "last_seen", F.col("event_count").cast("int").alias("event_count"), details.alias("details"))
 
-
-def _of_type(events: DataFrame, kind: str) -> DataFrame:
-    return events.where((F.col("event_type") == kind) & (F.length("source_ip") > 0))
+def _rules(events: DataFrame, cfg: RuleConfig, extra_keys: tuple[str, ...], kinds: tuple[str, ...]) -> DataFrame:
+    """Incidents of some rules, in one sweep over the events."""
+    windows = {k: getattr(cfg, f"{k}_window") for k in kinds}
+    least = {k: getattr(cfg, f"{k}_count") for k in kinds}
+    kind = X.lookup(F.col("event_type"), {_TYPES[k]: k for k in kinds})
+    fits = (F.col("event_type") != _TYPES["port_scan"]) | (F.col("port") != 0) if "port_scan" in kinds else F.lit(True)
+    tagged = events.where(F.col("event_type").isin([_TYPES[k] for k in kinds]) & (F.length("source_ip") > 0) & fits).withColumn("incident_type", kind)
+    rule = F.col("incident_type")
+    of = lambda table: X.lookup(rule, table)
+    found = first_windows(tagged, ["incident_type", "source_ip", *extra_keys], of({k: w * 60 for k, w in windows.items()}), of(least), rule == "port_scan", "port")
+    details = F.struct(of(windows).alias("window_minutes"), of(least).alias("threshold"), F.col("values").alias("unique_ports"))
+    return found.select("incident_type", "source_ip", *extra_keys, "first_seen", "last_seen", "event_count", details.alias("details"))
 
 
 def brute_force(events: DataFrame, cfg: RuleConfig = RuleConfig(), extra_keys: tuple[str, ...] = ()) -> DataFrame:
     """First window with too many failed logins, for each source. extra_keys (such as a file) divide sources further."""
-    keys = ["source_ip", *extra_keys]
-    found = first_count_window(_of_type(events, "failed_login"), keys, cfg.brute_force_window * 60, cfg.brute_force_count)
-    return _incident(found, "brute_force", cfg.brute_force_window, cfg.brute_force_count, keys)
+    return _rules(events, cfg, extra_keys, ("brute_force",))
 
 
 def port_scan(events: DataFrame, cfg: RuleConfig = RuleConfig(), extra_keys: tuple[str, ...] = ()) -> DataFrame:
     """First window with connections to too many distinct ports (not 0), for each source; event_count is the number of ports."""
-    keys = ["source_ip", *extra_keys]
-    found = first_distinct_window(_of_type(events, "connection").where("port <> 0"), keys, "port", cfg.port_scan_window * 60, cfg.port_scan_count)
-    return _incident(found, "port_scan", cfg.port_scan_window, cfg.port_scan_count, keys)
+    return _rules(events, cfg, extra_keys, ("port_scan",))
 
 
 def flood_404(events: DataFrame, cfg: RuleConfig = RuleConfig(), extra_keys: tuple[str, ...] = ()) -> DataFrame:
     """First window with too many missing pages, for each source."""
-    keys = ["source_ip", *extra_keys]
-    found = first_count_window(_of_type(events, "http_404"), keys, cfg.flood_404_window * 60, cfg.flood_404_count)
-    return _incident(found, "flood_404", cfg.flood_404_window, cfg.flood_404_count, keys)
+    return _rules(events, cfg, extra_keys, ("flood_404",))
 
 
 def rate(incidents: DataFrame) -> DataFrame:
@@ -48,5 +48,4 @@ def rate(incidents: DataFrame) -> DataFrame:
 
 def detect(events: DataFrame, cfg: RuleConfig = RuleConfig(), extra_keys: tuple[str, ...] = ()) -> DataFrame:
     """Incidents of all three rules."""
-    found = [rule(events, cfg, extra_keys) for rule in (brute_force, port_scan, flood_404)]
-    return rate(found[0].unionByName(found[1]).unionByName(found[2]))
+    return rate(_rules(events, cfg, extra_keys, tuple(_TYPES)))

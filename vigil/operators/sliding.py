@@ -2,90 +2,88 @@
 
 A window reaches from an event over a fixed span, both ends included. Time is dealt into buckets of the span's length: a window that
 starts in a bucket ends in it or in the next, so an event is sent to its own bucket and, as a follower, to the one before, and (key,
-bucket) is the partition. One key's events thus spread over as many tasks as it has buckets. Buckets that can't hold a window with
-enough events are left out first, by a count that is aggregated before it is shuffled.
+bucket) is the partition. One key's events thus spread over as many tasks as it has buckets.
 
-Events of one time are counted together before the shuffle. Within a partition nothing is counted anew for each window: the ends of
-windows are sorted in among the events, and running sums tell what lies between a start and its end.
+Events of one time are counted together before the shuffle. Within a partition nothing is counted anew for each window: each event opens
+and closes a stretch of starts whose windows hold it, and a running sum of what is open is each window's count.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vigil.functions.scalars import micros
 
 
-def _bucketed(rows: DataFrame, keys: list[str], ts: str, span_s: int, least: int) -> DataFrame:
-    """rows (keys, ts, __n, ...) in each bucket __b where a window may reach `least` (in sums of __n), with __t; __own: the bucket is
-    the row's."""
-    span = span_s * 1_000_000
-    timed = rows.where(F.col(ts).isNotNull()).withColumn("__t", micros(F.col(ts))).withColumn("__o", F.floor(F.col("__t") / span))
-    if least > 1:
-        counts = timed.groupBy(*keys, "__o").agg(F.sum("__n").alias("__c"))
-        reach = counts.select(*keys, F.explode(F.array(F.col("__o"), F.col("__o") - 1)).alias("__b"), "__c").groupBy(*keys, "__b").agg(F.sum("__c").alias("__c"))
-        busy = reach.where(F.col("__c") >= least).select(*keys, "__b", F.explode(F.array(F.col("__b"), F.col("__b") + 1)).alias("__o"))
-        dealt = timed.join(busy, [*keys, "__o"])
-    else:
-        dealt = timed.withColumn("__b", F.explode(F.array(F.col("__o"), F.col("__o") - 1)))
-    return dealt.withColumn("__own", F.col("__o") == F.col("__b"))
-
-
-def _running(keys: list[str], *order: str):
-    return Window.partitionBy(*keys, "__b").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-
-
-def _counted(events: DataFrame, keys: list[str], span_s: int, least: int, ts: str) -> DataFrame:
-    """keys, ts, __t, __c and __l of every time of an event: how many events the window from there on has, and its last time."""
-    at_once = events.groupBy(*keys, ts).agg(F.count("*").alias("__n"))
-    rows = _bucketed(at_once, keys, ts, span_s, least)
-    before = F.sum("__n").over(_running(keys, "__t")) - F.col("__n")
-    point = lambda at, kind, n, begin: F.struct(at.alias("__at"), F.lit(kind).alias("__kind"), n.alias("__m"), begin.alias("__seen"))
-    event = point(F.col("__t"), 0, F.col("__n"), F.col(ts))
-    end = point(F.col("__t") + span_s * 1_000_000, 1, F.lit(0).cast("long"), F.lit(None).cast(rows.schema[ts].dataType))
-    points = rows.withColumn("__before", before).withColumn("__p", F.explode(F.when(F.col("__own"), F.array(event, end)).otherwise(F.array(event)))).select("*", "__p.*")
-    along = _running(keys, "__at", "__kind")
-    summed = points.withColumn("__c", F.sum("__m").over(along) - F.col("__before")).withColumn("__l", F.max("__seen").over(along))
-    return summed.where("__kind = 1").select(*keys, ts, "__t", "__c", "__l")
+def _dealt(rows: DataFrame, keys: list[str], span: Column) -> DataFrame:
+    """rows (keys, __t, __n, ...) in each bucket __b that a window with them may start in; __own: the bucket is the row's. __c: events of
+    the bucket and those that follow, in all."""
+    own = F.floor(F.col("__t") / span)
+    both = F.array(F.struct(own.alias("__b"), F.lit(True).alias("__own")), F.struct((own - 1).alias("__b"), F.lit(False).alias("__own")))
+    dealt = rows.withColumn("__in", F.explode(both)).select("*", "__in.*").drop("__in").repartition(*keys, "__b")
+    return dealt.withColumn("__c", F.sum("__n").over(Window.partitionBy(*keys, "__b")))
+
+
+def _point(at: Column, kind: int, n: Column | int) -> Column:
+    return F.struct(at.alias("__at"), F.lit(kind).alias("__kind"), (n if isinstance(n, Column) else F.lit(n)).cast("long").alias("__m"))
+
+
+def _swept(dealt: DataFrame, keys: list[str], span: Column, opens: Column, sparse: bool = False) -> DataFrame:
+    """Points of the rows, with __sum. An event (or a value's time) is in the windows whose start lies from `opens` to its own time, so it
+    opens (kind 0) and closes (kind 2) one stretch of starts, and at its own time (kind 1, own rows alone) the running sum of what is open
+    is the count of the window that starts there. sparse: a bucket's only event needs no such points; its window counts itself."""
+    alone = F.lit(sparse) & (F.col("__c") == F.col("__n"))
+    none = F.array().cast("array<struct<__at:bigint,__kind:int,__m:bigint>>")
+    stretch = F.when(alone, none).otherwise(F.array(_point(opens, 0, F.col("__n")), _point(F.col("__t"), 2, -F.col("__n"))))
+    start = F.when(F.col("__own"), F.array(_point(F.col("__t"), 1, F.when(alone, F.col("__n")).otherwise(0)))).otherwise(none)
+    along = Window.partitionBy(*keys, "__b").orderBy("__at", "__kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return dealt.withColumn("__p", F.explode(F.concat(stretch, start))).select("*", "__p.*").withColumn("__sum", F.sum("__m").over(along))
+
+
+def first_windows(events: DataFrame, keys: list[str], span_s: Column, least: Column, distinct: Column, value: str, ts: str = "event_time") -> DataFrame:
+    """keys, first_seen, last_seen, event_count and values of each key's first window over span_s seconds with `least` events or more,
+    or where `distinct`, with as many distinct values, which come sorted as `values` (else null); event_count is the whole window's.
+
+    span_s, least and distinct are expressions over the keys, so several rules are one sweep. Rows with a null time are left out, and so are
+    null values where distinct; of tied events all count. Three exchanges: equal times (and values) are counted together before the
+    first; (key, bucket) is the second, behind which buckets that can't reach their rule go, before anything is sorted by time; the
+    third brings a row for each bucket with a hit together.
+    """
+    seen = events.where(F.col(ts).isNotNull() & (~distinct | F.col(value).isNotNull()))
+    once = seen.groupBy(*keys, ts, F.when(distinct, F.col(value)).alias("__v")).agg(F.count("*").alias("__n"))
+    span = span_s.cast("long") * 1_000_000
+    once = once.withColumn("__t", micros(F.col(ts))).withColumn("__n", F.when(distinct, F.lit(1).cast("long")).otherwise(F.col("__n")))
+    dealt = _dealt(once, keys, span).where(F.col("__c") >= least)
+    last = F.lag("__t").over(Window.partitionBy(*keys, "__b", "__v").orderBy("__t"))
+    begin = F.col("__t") - span
+    opens = F.when(distinct, F.greatest(F.coalesce(last + 1, begin), begin)).otherwise(begin)
+    swept = _swept(dealt.withColumn("__open", opens), keys, span, F.col("__open"))
+    hit = F.min(F.when((F.col("__kind") == 1) & (F.col("__sum") >= least), F.col("__t"))).over(Window.partitionBy(*keys, "__b"))
+    inside = swept.withColumn("__from", hit).where((F.col("__kind") == 2) & (F.col("__t") >= F.col("__from")) & (F.col("__t") <= F.col("__from") + span))
+    values = F.array_sort(F.collect_set("__v"))
+    found = inside.groupBy(*keys, "__b").agg(F.min("__from").alias("__from"), F.struct(F.min(ts).alias("first_seen"), F.max(ts).alias("last_seen"), F.sum("__n").alias("n"), values.alias("values")).alias("w"))
+    best = found.groupBy(*keys).agg(F.min_by("w", "__from").alias("w"))
+    count = F.when(distinct, F.size("w.values")).otherwise(F.col("w.n")).cast("int")
+    return best.select(*keys, "w.first_seen", "w.last_seen", count.alias("event_count"), F.when(distinct, F.col("w.values")).alias("values"))
 
 
 def first_count_window(events: DataFrame, keys: list[str], span_s: int, least: int, ts: str = "event_time") -> DataFrame:
-    """keys, first_seen, last_seen, event_count of each key's first window with `least` events or more; the count is the whole
-    window's. Rows with a null time are left out; of tied events all are counted."""
-    seen = _counted(events, keys, span_s, least, ts).where(F.col("__c") >= least)
-    return seen.groupBy(*keys).agg(F.min(ts).alias("first_seen"), F.min_by("__l", "__t").alias("last_seen"), F.min_by("__c", "__t").cast("int").alias("event_count"))
-
-
-def _distinct_counted(rows: DataFrame, keys: list[str], value: str, span_s: int, least: int, ts: str) -> DataFrame:
-    """keys, ts, __t and __c of every time of a row: how many distinct values the window from there on has. rows: distinct.
-
-    A value is in the windows that start after its last time before and reach its time, so each time of a value opens and closes one
-    stretch of starts, and these don't overlap: a running sum of what is open counts values."""
-    span = span_s * 1_000_000
-    dealt = _bucketed(rows.withColumn("__n", F.lit(1)), keys, ts, span_s, least).repartition(*keys, "__b")
-    last = F.lag("__t").over(Window.partitionBy(*keys, "__b", value).orderBy("__t"))
-    opens = F.greatest(F.coalesce(last + 1, F.col("__t") - span), F.col("__t") - span)
-    point = lambda at, kind, n: F.struct(at.alias("__at"), F.lit(kind).alias("__kind"), F.lit(n).alias("__m"))
-    own = F.when(F.col("__own"), F.array(point(F.col("__t"), 1, 0))).otherwise(F.array().cast("array<struct<__at:bigint,__kind:int,__m:int>>"))
-    points = dealt.withColumn("__open", opens).withColumn("__p", F.explode(F.concat(F.array(point(F.col("__open"), 0, 1), point(F.col("__t"), 2, -1)), own))).select("*", "__p.*")
-    return points.withColumn("__c", F.sum("__m").over(_running(keys, "__at", "__kind"))).where("__kind = 1").select(*keys, ts, "__t", "__c")
+    """first_windows() with one rule for all keys: keys, first_seen, last_seen, event_count."""
+    return first_windows(events, keys, F.lit(span_s), F.lit(least), F.lit(False), ts, ts).drop("values")
 
 
 def first_distinct_window(events: DataFrame, keys: list[str], value: str, span_s: int, least: int, ts: str = "event_time") -> DataFrame:
-    """Like first_count_window for distinct values, which come sorted as `values`; event_count is their number. Values are collected
-    of the windows found alone."""
-    rows = events.select(*keys, ts, value).where(F.col(ts).isNotNull() & F.col(value).isNotNull()).distinct()
-    found = _distinct_counted(rows, keys, value, span_s, least, ts).where(F.col("__c") >= least).groupBy(*keys).agg(F.min("__t").alias("__from"))
-    at = micros(F.col(ts))
-    inside = rows.join(found, keys).where((at >= F.col("__from")) & (at <= F.col("__from") + span_s * 1_000_000))
-    best = inside.groupBy(*keys).agg(F.min(ts).alias("first_seen"), F.max(ts).alias("last_seen"), F.array_sort(F.collect_set(value)).alias("values"))
-    return best.select(*keys, "first_seen", "last_seen", F.size("values").alias("event_count"), "values")
+    """first_windows() of distinct values with one rule for all keys."""
+    return first_windows(events, keys, F.lit(span_s), F.lit(least), F.lit(True), value, ts)
 
 
 def busiest_window(events: DataFrame, keys: list[str], span_s: int, ts: str = "event_time") -> DataFrame:
     """keys and busiest: the most events in any window of the span."""
-    return _counted(events, keys, span_s, 1, ts).groupBy(*keys).agg(F.max("__c").alias("busiest"))
+    span = F.lit(span_s * 1_000_000)
+    once = events.where(F.col(ts).isNotNull()).groupBy(*keys, ts).agg(F.count("*").alias("__n")).withColumn("__t", micros(F.col(ts)))
+    swept = _swept(_dealt(once, keys, span), keys, span, F.col("__t") - span, sparse=True)
+    return swept.where("__kind = 1").groupBy(*keys).agg(F.max("__sum").alias("busiest"))
 
 
 def tumbling_rule(events: DataFrame, keys: list[str], span_s: int, least: int, distinct: str | None = None, ts: str = "event_time") -> DataFrame:
