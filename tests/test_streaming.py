@@ -9,7 +9,7 @@ from vigil.operators import detect
 from vigil.plans import driver_data as D
 from vigil.sources import logs
 from vigil.sources.tail import TailSource, read_new
-from vigil.streaming import arrivals, detectors
+from vigil.streaming import arrivals, delivery, detectors
 
 T0 = datetime(2024, 6, 15, 2, 0, 0)
 
@@ -49,11 +49,90 @@ def test_repeats_in_a_stream(spark, tmp_path):
     for k, rows in enumerate(batches):
         spark.createDataFrame([(t, ip, T0 + timedelta(minutes=m)) for t, ip, m in rows], schema).coalesce(1).write.mode("append").parquet(str(folder))
         stream = detectors.stream_without_repeats(spark.readStream.schema(schema).parquet(str(folder)), 60)
-        detectors.fan_out(stream, [lambda b: b.write.mode("append").parquet(out)], str(tmp_path / "cp")).awaitTermination()
+        delivery.fan_out(stream, [lambda b: b.write.mode("append").parquet(out)], str(tmp_path / "cp")).awaitTermination()
     got = sorted((r.incident_type, r.source_ip, (r.first_seen - T0).seconds // 60) for r in spark.read.parquet(out).collect())
     assert [g[:2] for g in got] == [("b", "1"), ("b", "1"), ("b", "2"), ("s", "1"), ("x", "9")] and got[1][2] == 210
 
 
+def run(stream, out, cp):
+    q = stream.writeStream.format("parquet").option("path", str(out)).option("checkpointLocation", str(cp)).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return q
+
+
+def test_state_is_bounded_and_can_be_seeded(spark, tmp_path):
+    """After the time that reports are remembered no state is left; a query that starts from stored incidents repeats none of them."""
+    schema = "event_type string, source_ip string, event_time timestamp"
+    rows = [("failed_login", f"s{k}", T0 + timedelta(seconds=i)) for k in range(300) for i in range(6)]
+    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "in"))
+    stream = lambda **more: detectors.stream_brute_force(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), RuleConfig(), "1 minute", **more)
+    for late in (T0 + timedelta(hours=1), T0 + timedelta(days=2)):
+        spark.createDataFrame([("failed_login", "flush", late)], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        q = run(stream(forget_minutes=600), tmp_path / "out", tmp_path / "cp")
+    found = spark.read.parquet(str(tmp_path / "out"))
+    assert found.count() == found.select("source_ip").distinct().count() == 300
+    assert q.lastProgress["stateOperators"][0]["numRowsTotal"] <= 4  # what the last event of `flush` waits with
+    stored = found.where("source_ip < 's2'").select("incident_type", "source_ip", "first_seen")
+    run(stream(stored=stored), tmp_path / "out2", tmp_path / "cp2")
+    again = {r.source_ip for r in spark.read.parquet(str(tmp_path / "out2")).collect()}
+    assert again == {r.source_ip for r in found.where("source_ip >= 's2'").collect()}
+
+
+def test_a_retried_batch_skips_sinks_that_finished(spark, tmp_path):
+    """The second of three sinks breaks after half of its work: on the next start each ends with each row once."""
+    schema = "source_ip string, n int"
+    spark.createDataFrame([(f"s{i}", i) for i in range(20)], schema).repartition(4).write.parquet(str(tmp_path / "in"))
+    broken = [True]
+    kept = delivery.batch_table(str(tmp_path / "b"))
+
+    def second(batch, number):
+        if broken:
+            broken.clear()
+            kept(batch.where("n < 10"), number)
+            raise OSError("connection lost")
+        kept(batch, number)
+
+    appended = lambda name: lambda batch: batch.write.mode("append").parquet(str(tmp_path / name))
+    sinks = {"first": appended("a"), "second": second, "third": appended("c")}
+    failed = 0
+    for _ in range(3):
+        q = delivery.fan_out(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), sinks, str(tmp_path / "cp"))
+        try:
+            q.awaitTermination()
+        except Exception:  # noqa: BLE001
+            failed += 1
+    assert failed == 1
+    for name in "abc":
+        assert sorted(r.n for r in spark.read.parquet(str(tmp_path / name)).collect()) == list(range(20)), name
+
+
+def test_outcomes_of_rows(spark, tmp_path):
+    """A receiver that rejects one row in ten: exactly those are reported, and they can be sent again with their keys."""
+    inbox = tmp_path / "inbox"
+    inbox.mkdir()
+
+    def refuse_some(key, body):
+        if json.loads(body)["n"] % 10 == 3:
+            raise ValueError("rejected")
+        (inbox / key).write_text(body)
+
+    def take_all(key, body):
+        (inbox / key).write_text(body)
+
+    alerts = spark.createDataFrame([(i, T0, None) for i in range(200)], "n int, at timestamp, `a.b` string").repartition(5)
+    out = str(tmp_path / "outcomes")
+    got = delivery.deliver_rows(alerts, refuse_some, out, 1)
+    assert sorted(json.loads(r.body)["n"] for r in got.where("not delivered").collect()) == list(range(3, 200, 10))
+    assert {r.error for r in got.where("not delivered").collect()} == {"ValueError: rejected"} and got.where("delivered and error is null").count() == 180
+    left = delivery.undelivered(spark, out)
+    keys = {r.delivery_key for r in left.collect()}
+    assert len(keys) == 20 and not keys & {f.name for f in inbox.iterdir()}
+    delivery.deliver_rows(left, take_all, out, "1-again")
+    assert delivery.undelivered(spark, out).count() == 0 and len(list(inbox.iterdir())) == 200 and keys <= {f.name for f in inbox.iterdir()}
+    delivery.deliver_rows(alerts, take_all, out, 1)  # sent once more: the same keys
+    assert len(list(inbox.iterdir())) == 200
+
+
 def test_tailing(tmp_path, spark):
     f = tmp_path / "auth.log"
     assert read_new(str(f), 0) == ([], 0)

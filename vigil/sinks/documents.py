@@ -53,7 +53,8 @@ def publish(messages: DataFrame, servers: str, topic: str = "incidents") -> None
 
 def deliver(messages: DataFrame, send: Callable[[DataFrame], None]) -> DataFrame:
     """Send messages (value), and return one row: delivered, errored. What has no value (such as rows that are no JSON) is never
-    sent and counts as errored; so does everything if sending fails."""
+    sent and counts as errored; so does everything if sending fails, as one write has one outcome. For an outcome of each row see
+    streaming.delivery.deliver_rows()."""
     from pyspark.errors import PySparkException
 
     ok = F.col("value").isNotNull()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -19,8 +19,10 @@ class FirstWindow(StatefulProcessor):
     """Emits, for each source once, the earliest window with enough events (or distinct values), with its whole count: a window is
     judged when the watermark has passed its end, so the result equals the batch operator's for events that are not late.
 
-    State holds how often each time and value came, and one timer is pending, for the first window that may end. With `forget` a
-    source that was reported is forgotten so long after its window and may be reported again; without, a mark of it stays."""
+    State holds how often each time and value came, and one timer is pending, for the first window that may end. With `forget_us` a
+    source that was reported is forgotten so long after its window and may be reported again: then state is bounded by the sources of
+    that time. Without, a mark of each reported source stays. Stored incidents can be the initial state: their sources count as
+    reported, by their windows."""
 
     def __init__(self, span_us: int, least: int, distinct: bool, forget_us: int | None = None):
         self.span, self.least, self.distinct, self.forget = span_us, least, distinct, forget_us
@@ -31,6 +33,14 @@ class FirstWindow(StatefulProcessor):
         self.due = handle.getValueState("due", "t long")
         self.done = handle.getValueState("done", "t long")
 
+    def _reported(self, end: int) -> None:
+        self.done.update((end,))
+        if self.forget is not None:
+            self.handle.registerTimer((end + self.forget) // 1000 + 1)
+
+    def handleInitialState(self, key, initialState, timerValues) -> None:
+        self._reported(int(initialState["t"].max()) + self.span)
+
     def _wait(self, t: int) -> None:
         self.handle.registerTimer(t // 1000 + 1)
         self.due.update((t,))
@@ -68,9 +78,7 @@ class FirstWindow(StatefulProcessor):
             if count >= self.least:
                 self.seen.clear()
                 self.due.clear()
-                self.done.update((start + self.span,))
-                if self.forget is not None:
-                    self.handle.registerTimer((start + self.span + self.forget) // 1000 + 1)
+                self._reported(start + self.span)
                 yield pd.DataFrame({"source_ip": [key[0]], "first": [start], "last": [events[last - 1][0]], "event_count": [count], "ports": [sorted(inside) if self.distinct else []]})
                 return
             while first < len(events) and events[first][0] == start:  # the window moves on to the next time
@@ -89,28 +97,38 @@ class FirstWindow(StatefulProcessor):
         pass
 
 
-def _stream_rule(events: DataFrame, kind: str, window_min: int, least: int, distinct: bool, delay: str) -> DataFrame:
+def _stream_rule(events: DataFrame, kind: str, window_min: int, least: int, distinct: bool, delay: str, forget_minutes: int | None, stored: DataFrame | None) -> DataFrame:
     value = F.col("port").cast("long") if distinct else F.lit(0).cast("long")
     rows = events.withWatermark("event_time", delay).select("source_ip", "event_time", micros(F.col("event_time")).alias("t"), value.alias("v"))
+    known = None
+    if stored is not None:
+        known = stored.where((F.col("incident_type") == kind) & F.col("first_seen").isNotNull()).groupBy("source_ip").agg(F.max(micros(F.col("first_seen"))).alias("t")).groupBy("source_ip")
     out = rows.groupBy("source_ip").transformWithStateInPandas(
-        FirstWindow(window_min * 60_000_000, least, distinct), outputStructType="source_ip string, first long, last long, event_count int, ports array<int>", outputMode="Append", timeMode="EventTime",
+        FirstWindow(window_min * 60_000_000, least, distinct, None if forget_minutes is None else forget_minutes * 60_000_000),
+        outputStructType="source_ip string, first long, last long, event_count int, ports array<int>", outputMode="Append", timeMode="EventTime", initialState=known,
     )
     ports = F.col("ports") if distinct else F.lit(None).cast("array<int>")
     details = F.struct(F.lit(window_min).alias("window_minutes"), F.lit(least).alias("threshold"), ports.alias("unique_ports"))
     return rate(out.select(F.lit(kind).alias("incident_type"), "source_ip", F.timestamp_micros("first").alias("first_seen"), F.timestamp_micros("last").alias("last_seen"), "event_count", details.alias("details")))
 
 
-def stream_brute_force(events: DataFrame, cfg: RuleConfig = RuleConfig(), delay: str = "10 minutes") -> DataFrame:
-    """Streaming brute_force(). Needs the RocksDB state store provider."""
-    return _stream_rule(events.where((F.col("event_type") == "failed_login") & (F.length("source_ip") > 0)), "brute_force", cfg.brute_force_window, cfg.brute_force_count, False, delay)
+def stream_brute_force(events: DataFrame, cfg: RuleConfig = RuleConfig(), delay: str = "10 minutes", forget_minutes: int | None = None, stored: DataFrame | None = None) -> DataFrame:
+    """Streaming brute_force(). Needs the RocksDB state store provider. forget_minutes: how long after its window a reported source is
+    remembered (always, if not given). stored: incidents (incident_type, source_ip, first_seen) that a new query starts from."""
+    rows = events.where((F.col("event_type") == "failed_login") & (F.length("source_ip") > 0))
+    return _stream_rule(rows, "brute_force", cfg.brute_force_window, cfg.brute_force_count, False, delay, forget_minutes, stored)
 
 
-def stream_port_scan(events: DataFrame, cfg: RuleConfig = RuleConfig(), delay: str = "10 minutes") -> DataFrame:
-    return _stream_rule(events.where((F.col("event_type") == "connection") & (F.length("source_ip") > 0) & (F.col("port") != 0)), "port_scan", cfg.port_scan_window, cfg.port_scan_count, True, delay)
+def stream_port_scan(events: DataFrame, cfg: RuleConfig = RuleConfig(), delay: str = "10 minutes", forget_minutes: int | None = None, stored: DataFrame | None = None) -> DataFrame:
+    """Streaming port_scan(); arguments as in stream_brute_force()."""
+    rows = events.where((F.col("event_type") == "connection") & (F.length("source_ip") > 0) & (F.col("port") != 0))
+    return _stream_rule(rows, "port_scan", cfg.port_scan_window, cfg.port_scan_count, True, delay, forget_minutes, stored)
 
 
-def stream_flood_404(events: DataFrame, cfg: RuleConfig = RuleConfig(), delay: str = "10 minutes") -> DataFrame:
-    return _stream_rule(events.where((F.col("event_type") == "http_404") & (F.length("source_ip") > 0)), "flood_404", cfg.flood_404_window, cfg.flood_404_count, False, delay)
+def stream_flood_404(events: DataFrame, cfg: RuleConfig = RuleConfig(), delay: str = "10 minutes", forget_minutes: int | None = None, stored: DataFrame | None = None) -> DataFrame:
+    """Streaming flood_404(); arguments as in stream_brute_force()."""
+    rows = events.where((F.col("event_type") == "http_404") & (F.length("source_ip") > 0))
+    return _stream_rule(rows, "flood_404", cfg.flood_404_window, cfg.flood_404_count, False, delay, forget_minutes, stored)
 
 
 def stream_tumbling(events: DataFrame, span_s: int, least: int, delay: str = "10 minutes") -> DataFrame:
@@ -121,19 +139,3 @@ def stream_tumbling(events: DataFrame, span_s: int, least: int, delay: str = "10
 def stream_without_repeats(incidents: DataFrame, minutes: int, ts: str = "first_seen") -> DataFrame:
     """Incidents whose type and source did not occur within the last minutes, in a batch or before it."""
     return incidents.withWatermark(ts, f"{minutes} minutes").dropDuplicatesWithinWatermark(["incident_type", "source_ip"])
-
-
-def fan_out(incidents: DataFrame, sinks: list[Callable[[DataFrame], None]], checkpoint: str, interval: str | None = None):
-    """Start a query that gives each batch to several sinks; the batch is computed once. Without an interval it ends when all
-    that is there has been read."""
-
-    def each(batch: DataFrame, _: int) -> None:
-        batch.persist()
-        try:
-            for sink in sinks:
-                sink(batch)
-        finally:
-            batch.unpersist()
-
-    w = incidents.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
-    return (w.trigger(processingTime=interval) if interval else w.trigger(availableNow=True)).start()
