@@ -229,8 +229,11 @@ def test_autoencoder_trains_on_all_sources(spark):
     rng = np.random.default_rng(2)
     rows = [(f"n{i}", *map(float, rng.gamma(2, 1, 8))) for i in range(300)]
     df = spark.createDataFrame(rows, "source_ip string, " + ", ".join(f"{c} double" for c in features.FEATURES)).repartition(3)
-    whole, spread = ({r.source_ip: r.anomaly_score for r in anomaly.autoencoder(df, train_rows=n).collect()} for n in (300, 40))
-    assert set(whole) == set(spread) and max(abs(whole[k] - spread[k]) for k in whole) <= 0.0002
+    x = np.array([r[1:] for r in sorted(rows)])
+    whole = anomaly.train_autoencoder((x - x.mean(0)) / x.std(0))
+    spread = anomaly.train_spread(df.select(*features.FEATURES), len(rows), x.mean(0), x.std(0))
+    assert all(np.allclose(a, b, atol=1e-6) for a, b in zip(whole, spread, strict=True))
+    assert anomaly.autoencoder(df).count() == 300
 
 
 def test_percentiles_of_many_latencies(spark):
@@ -259,12 +262,38 @@ def test_vectors(spark):
     assert near.item_id == "a"
 
 
+def test_vectors_that_take_no_part(spark):
+    """Null, empty, zero and non-finite vectors are left out on both sides; vectors of another length meet their own kind alone."""
+    nan, inf = float("nan"), float("inf")
+    items = [(i, [1.0, i / 10]) for i in range(10)] + [(20, [nan, 1.0]), (21, [nan, nan]), (22, [1.0, inf]), (23, [0.0, 0.0]), (24, []), (25, None), (26, [None, 1.0]), (30, [1.0, 0.0, 0.0]), (31, [0.0, 1.0, 0.0]), (40, [1e300, 0.0]), (41, [1e-300, 0.0])]
+    c = spark.createDataFrame(items, "item_id long, embedding array<double>").repartition(3)
+    q = spark.createDataFrame([(0, [2.0, 0.0]), (1, [nan, 1.0]), (2, None), (3, [0.0, 3.0, 0.0]), (4, [1.0]), (5, [0.0, 0.0])], "query_id long, embedding array<double>")
+    got = {}
+    for r in vectors.similar(q, c, 4).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.item_id, r.similarity))
+    assert sorted(got) == [0, 3]
+    assert {i for _, i, _ in got[0][:3]} | {i for _, i, _ in got[0]} >= {0} and sorted(got[3]) == [(1, 31, 1.0), (2, 30, 0.0)]
+    assert len(got[0]) == 4 and all(s >= 0.99 for _, _, s in got[0])
+
+
+def test_scores_tell_levels_apart(spark, sf):
+    """The queries with a stand-in score have anomalies of both kinds, and the full level differs from the one below."""
+    from vigil.plans.queries import QUERIES
+
+    sf = sf.replace("sf0.001", "sf0.01")
+    assert {r.detection for r in QUERIES["anomaly_labels"](spark, sf).collect()} == {"Rule + ML", "ML Only"}
+    below = {r.config: (r.tp, r.fp) for r in QUERIES["eval_ips"](spark, sf).collect()}["rules+fp_reduction"]
+    full = QUERIES["eval_ips_full"](spark, sf).first()
+    assert (full.tp, full.fp) > below
+    assert len({r.colour for r in QUERIES["score_series"](spark, sf).collect()}) > 1
+
+
 def test_searches_take_every_hundredth_vector(spark, sf):
     from vigil.plans.queries import QUERIES
 
     e = D.table(spark, sf, "embeddings")
     ids = {r.vec_id for r in e.where("vec_id % 100 = 0").collect()}
-    exact, near = ({(r.query_id, r.item_id) for r in QUERIES[name](spark, sf).collect()} for name in ("cosine_topk_all", "ann_topk"))
+    exact, near = ({(r.query_id, r.item_id) for r in QUERIES[name](spark, sf).collect()} for name in ("cosine_topk", "ann_topk"))
     assert {q for q, _ in exact} == {q for q, _ in near} == ids and len(exact) == 3 * len(ids)
     assert len(exact & near) >= 0.9 * len(exact)
     q, c = e.withColumnRenamed("vec_id", "query_id").where("query_id < 90"), e.withColumnRenamed("vec_id", "item_id")

@@ -8,8 +8,6 @@ from __future__ import annotations
 
 import json
 import math
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable
 
 import numpy as np
@@ -18,13 +16,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vigil.functions.shared import stored
 from vigil.operators.features import FEATURES, MIN_SOURCES, behaviour
 
 TREES = 200
 SAMPLE = 256
 SEED = 42
-#: Sources up to which the autoencoder is trained in one task.
-TRAIN_ROWS = 20_000
 
 
 def _average_path(n: np.ndarray | float):
@@ -67,7 +64,7 @@ def path_depths(tree: dict[str, list], x: np.ndarray) -> np.ndarray:
     return np.array(tree["depth"])[at]
 
 
-def _scaled(raw: DataFrame) -> DataFrame:
+def scaled(raw: DataFrame) -> DataFrame:
     """source_ip and anomaly_score from source_ip and raw (higher: stranger)."""
     ends = raw.agg(F.min("raw").alias("lo"), F.max("raw").alias("hi"))
     span = F.col("hi") - F.col("lo")
@@ -107,7 +104,7 @@ def isolation_forest(features: DataFrame, trees: int = TREES, sample: int = SAMP
         depth = np.mean([path_depths(t, x) for t in forest], axis=0) if len(x) else np.zeros(0)
         return pd.Series(2.0 ** (-depth / max(float(_average_path(size)), 1e-9)))
 
-    return _scaled(features.select("source_ip", strangeness(*FEATURES).alias("raw")))
+    return scaled(features.select("source_ip", strangeness(*FEATURES).alias("raw")))
 
 
 def _start(d: int, hidden: int, seed: int) -> list[np.ndarray]:
@@ -139,15 +136,6 @@ def train_autoencoder(x: np.ndarray, hidden: int = 4, epochs: int = 200, rate: f
     return _adam(_start(x.shape[1], hidden, seed), lambda w: _gradients(x, w, x.size), epochs, rate)
 
 
-def _written(features: DataFrame) -> DataFrame:
-    """features, written once to the folder all executors share, so that each epoch reads them and doesn't make them again."""
-    spark = features.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-    path = f"{folder.rstrip('/')}/cut-{uuid.uuid4().hex}"
-    features.select(*FEATURES).write.parquet(path)
-    return spark.read.parquet(path)
-
-
 def train_spread(rows: DataFrame, n: int, mean: np.ndarray, spread: np.ndarray, hidden: int = 4, epochs: int = 200, rate: float = 1e-3, seed: int = SEED) -> list[np.ndarray]:
     """train_autoencoder() on all n rows of features wherever they are: in each epoch every partition sums its rows' gradients, and
     the driver adds up one row of 76 numbers a partition."""
@@ -170,25 +158,16 @@ def train_spread(rows: DataFrame, n: int, mean: np.ndarray, spread: np.ndarray,
     return _adam(_start(d, hidden, seed), gradients, epochs, rate)
 
 
-def autoencoder(features: DataFrame, train_rows: int = TRAIN_ROWS, seed: int = SEED) -> DataFrame:
+def autoencoder(features: DataFrame, seed: int = SEED) -> DataFrame:
     """source_ip and anomaly_score, the scaled mean squared error of each source's rebuilt features. The network is trained on all
-    sources: in one task up to train_rows of them, else in all tasks. Fewer than three sources give no rows."""
+    sources, where they are. Fewer than three sources give no rows."""
     n = _enough(features)
     if n < MIN_SOURCES:
         return _nothing(features)
     stats = features.agg(*(F.avg(c).alias(f"m_{c}") for c in FEATURES), *(F.stddev_pop(c).alias(f"s_{c}") for c in FEATURES)).first()
     mean = np.array([stats[f"m_{c}"] for c in FEATURES])
     spread = np.array([stats[f"s_{c}"] or 1.0 for c in FEATURES])
-
-    def train(rows: pd.DataFrame) -> pd.DataFrame:
-        part = rows.sort_values(["h", "source_ip"])
-        w = train_autoencoder((part[list(FEATURES)].to_numpy(float) - mean) / spread, seed=seed)
-        return pd.DataFrame({"w": [np.concatenate([p.ravel() for p in w]).tolist()]})
-
-    if n <= train_rows:
-        flat = np.array(features.withColumn("h", F.xxhash64("source_ip")).withColumn("one", F.lit(1)).groupBy("one").applyInPandas(train, "w array<double>").first().w)
-    else:
-        flat = np.concatenate([p.ravel() for p in train_spread(_written(features), n, mean, spread, seed=seed)])
+    flat = np.concatenate([p.ravel() for p in train_spread(stored(features.select(*FEATURES)), n, mean, spread, seed=seed)])
     d = len(FEATURES)
     w1, b1, w2, b2 = np.split(flat, [4 * d, 4 * d + 4, 8 * d + 4])
 
@@ -198,7 +177,7 @@ def autoencoder(features: DataFrame, train_rows: int = TRAIN_ROWS, seed: int = S
         out = np.maximum(x @ w1.reshape(d, 4) + b1, 0) @ w2.reshape(4, d) + b2
         return pd.Series(((out - x) ** 2).mean(1))
 
-    return _scaled(features.select("source_ip", error(*FEATURES).alias("raw")))
+    return scaled(features.select("source_ip", error(*FEATURES).alias("raw")))
 
 
 DETECTORS = {"isolation_forest": isolation_forest, "autoencoder": autoencoder}

@@ -100,6 +100,13 @@ def chart_series(incidents: DataFrame, n: int = 15) -> DataFrame:
     return top.select(F.row_number().over(order).alias("rank"), F.concat("source_ip", F.lit(" ("), "incident_type", F.lit(")")).alias("label"), F.col("event_count").alias("value"))  # n rows at most
 
 
+def score_series(scores: DataFrame, n: int = 15) -> DataFrame:
+    """rank, label, value, colour of the n highest anomaly scores (source_ip, anomaly_score) of a chart; equal ones by address."""
+    order = Window.orderBy(F.desc("anomaly_score"), "source_ip")
+    top = scores.select("source_ip", "anomaly_score").orderBy(F.desc("anomaly_score"), "source_ip").limit(n)
+    return top.select(F.row_number().over(order).alias("rank"), F.col("source_ip").alias("label"), F.col("anomaly_score").alias("value"), X.score_colour(F.col("anomaly_score")).alias("colour"))  # n rows at most
+
+
 def split_types(incidents: DataFrame) -> dict[str, DataFrame]:
     """The incidents of each known type."""
     return {kind: incidents.where(F.col("incident_type") == kind) for kind in S.INCIDENT_TYPES}

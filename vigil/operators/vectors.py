@@ -30,11 +30,20 @@ def mean_vector(rows: DataFrame, vector: str = "embedding", keys: tuple[str, ...
     return parts.groupBy(*keys).agg(pack) if keys else parts.agg(pack)
 
 
+def usable(vector: Column) -> Column:
+    """Whether a vector takes part in searches: not null, not empty, no null or non-finite component, not zero."""
+    finite = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float("inf")))
+    return F.coalesce((F.size(vector) > 0) & finite & F.exists(vector, lambda x: x != 0), F.lit(False))
+
+
 def similar(queries: DataFrame, corpus: DataFrame, k: int = 3, query_id: str = "query_id", item_id: str = "item_id", vector: str = "embedding", query_rows: int = QUERY_ROWS, item_rows: int = ITEM_ROWS) -> DataFrame:
-    """query_id, item_id, similarity (3 digits), rank: the k nearest items of each query by exact cosine. Queries and items are dealt
+    """query_id, item_id, similarity (3 digits), rank: the k nearest items of each query by exact cosine; of equal ones the smaller ids.
+
+    Vectors that usable() leaves out take no part, and a query meets items of its own length only. Queries and items are dealt
     into blocks of about query_rows and item_rows, and each pair of blocks meets in a group, which keeps all items that may be among
-    the k best of a query; their cosine is then taken by the built-in functions."""
-    whole = lambda df, name, short: df.where(dot(F.col(vector), F.col(vector)) > 0).select(F.col(name).alias(short), F.col(vector).cast("array<double>").alias("v"))
+    the k best of a query; their cosine is then taken by the built-in functions. Every item goes to each block of queries: for a number
+    of queries that grows with the items, search a stored index (search_cells) instead."""
+    whole = lambda df, name, short: df.where(usable(F.col(vector))).select(F.col(name).alias(short), F.col(vector).cast("array<double>").alias("v"), F.size(vector).alias("dim"))
     q, c = whole(queries, query_id, "query_id"), whole(corpus, item_id, "item_id")
     blocks, parts = max(1, math.ceil(q.count() / query_rows)), max(1, math.ceil(c.count() / item_rows))
     deal = lambda name, n: F.pmod(F.xxhash64(name, "v"), F.lit(n)).cast("int")
@@ -43,26 +52,37 @@ def similar(queries: DataFrame, corpus: DataFrame, k: int = 3, query_id: str = "
     c = c.select("*", deal("item_id", parts).alias("part"), every(blocks).alias("block"))
 
     def run(a: pa.Table, b: pa.Table) -> pa.Table:
-        unit = lambda t: (x := t.column("v").combine_chunks().flatten().to_numpy().reshape(t.num_rows, -1)) / np.sqrt((x * x).sum(1))[:, None]
-        rows, items = [np.zeros(0, int)], [np.zeros(0, int)]
-        if a.num_rows and b.num_rows:
-            x, y = unit(a), unit(b)
-            for i in range(0, len(x), 64):
-                scores = x[i : i + 64] @ y.T
-                least = np.partition(scores, -min(k, len(y)), axis=1)[:, -min(k, len(y))]
-                r, at = np.nonzero(scores >= least[:, None] - 1e-9)  # equal ones too: the exact cosine decides
-                rows, items = [*rows, r + i], [*items, at]
-        r, at = np.concatenate(rows), np.concatenate(items)
+        r, at = best_of(_matrix(a), _matrix(b), k) if a.num_rows and b.num_rows else (np.zeros(0, int), np.zeros(0, int))
         mine, found = a.take(r), b.take(at)
         return pa.table({"query_id": mine.column("query_id"), "item_id": found.column("item_id"), "q": mine.column("v"), "c": found.column("v")})
 
     kind = lambda df, name: df.schema[name].dataType.simpleString()
-    near = q.groupBy("block", "part").cogroup(c.groupBy("block", "part")).applyInArrow(run, f"query_id {kind(q, 'query_id')}, item_id {kind(c, 'item_id')}, q array<double>, c array<double>")
-    scored = near.select("query_id", "item_id", cosine(F.col("q"), F.col("c")).alias("s"))
+    near = q.groupBy("dim", "block", "part").cogroup(c.groupBy("dim", "block", "part")).applyInArrow(run, f"query_id {kind(q, 'query_id')}, item_id {kind(c, 'item_id')}, q array<double>, c array<double>")
+    return _ranked(near.select("query_id", "item_id", cosine(F.col("q"), F.col("c")).alias("s")), k)
+
+
+def _ranked(scored: DataFrame, k: int) -> DataFrame:
     w = Window.partitionBy("query_id").orderBy(F.desc("s"), "item_id")
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "item_id", F.round("s", 3).alias("similarity"), "rank")
 
 
+def _matrix(t: pa.Table, column: str = "v") -> np.ndarray:
+    return t.column(column).combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(t.num_rows, -1)
+
+
+def best_of(x: np.ndarray, y: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of x and of y whose cosine is among the k highest of x's row, or as high as the last of these."""
+    unit = lambda m: m / np.linalg.norm(m / np.abs(m).max(1)[:, None], axis=1)[:, None] / np.abs(m).max(1)[:, None]
+    x, y = unit(x), unit(y)
+    rows, items = [np.zeros(0, int)], [np.zeros(0, int)]
+    for i in range(0, len(x), 64):
+        scores = x[i : i + 64] @ y.T
+        least = np.partition(scores, -min(k, len(y)), axis=1)[:, -min(k, len(y))]
+        r, at = np.nonzero(scores >= least[:, None] - 1e-9)  # equal ones too: the exact cosine decides
+        rows, items = [*rows, r + i], [*items, at]
+    return np.concatenate(rows), np.concatenate(items)
+
+
 def technique_text(name: Column, description: Column) -> Column:
     return F.concat(name, F.lit(": "), F.substring(description, 1, 500))
 

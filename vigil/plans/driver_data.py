@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigil.config import RuleConfig
 from vigil.functions.ip import networks
+from vigil.functions.shared import shared_folder
 from vigil.sources.feeds import country_table
 
 YEAR = 2024
 RULES = RuleConfig.uniform(3, 1440)
+#: Scores of and above this count as anomalies, in a table where most sources are alike.
+ANOMALOUS = 0.2
 INTEL = ["185.220.100.0/22", "45.33.0.0/16", "198.51.100.0/24"]
 ALLOWED = ["10.0.0.0/25", "45.33.0.16/28", "2001:db8::40/124", "not a network"]
 COUNTRIES = {"10.0.0.0/8": "ZZ", "10.0.1.0/24": "AA", "45.33.0.0/16": "US", "185.220.100.0/22": "DE", "185.220.101.0/24": "NL", "2001:db8::/64": "DX", "2001:db8::80/121": "DY"}
@@ -58,6 +63,15 @@ def windows_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.date_format("event_time", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("Time Created"), code.alias("EVENTID"), F.col("source_ip").alias("Source IP"), user.alias("User Name"), port.alias("Source Port"), "source_file")
 
 
+def windows_files(spark: SparkSession, sf_dir: str) -> str:
+    """The folder of CSV files, written to the shared folder, of windows_rows() with a message column."""
+    message = F.concat(F.lit('An account "failed", said\n2024-01-01T00:00:00,4625,"6.6.6.6",evil,1\n'), F.col("User Name"), F.lit(", twice"))
+    rows = windows_rows(spark, sf_dir).select("Time Created", "EVENTID", message.alias("Message"), "Source IP", "User Name", "Source Port")
+    path = f"{shared_folder(spark)}/windows-{spark.sparkContext.applicationId}-{uuid.uuid4().hex}"
+    rows.write.options(header=True, escape='"', quoteAll=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
+    return path
+
+
 def intel(spark: SparkSession) -> DataFrame:
     return networks(spark, INTEL)
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import ipaddress
 
-from vigil.plans.driver_data import ALLOWED, COUNTRIES, INTEL
+from vigil.plans.driver_data import ALLOWED, ANOMALOUS, COUNTRIES, INTEL
 
 _EV = """ev AS (SELECT event_id, user_id, value, CASE event_type WHEN 'error' THEN 'failed_login' WHEN 'click' THEN 'connection' WHEN 'view' THEN 'http_404' WHEN 'signup' THEN 'successful_login' ELSE 'http_request' END AS event_type,
  ts AS event_time, CASE user_id % 4 WHEN 0 THEN '10.0.' || (user_id // 256) || '.' || (user_id % 256) WHEN 1 THEN '45.33.' || (user_id // 256) || '.' || (user_id % 256) WHEN 2 THEN '185.220.' || (100 + user_id // 256) || '.' || (user_id % 256) ELSE '2001:db8::' || printf('%x', user_id) END AS source_ip,
@@ -62,7 +62,7 @@ _FEATURES = f"""WITH {_EV}, b AS (SELECT source_ip, count(*) OVER (PARTITION BY
  t AS (SELECT source_ip, count(*) AS total, count(*) FILTER (event_type = 'failed_login') AS failed, count(DISTINCT port) FILTER (port <> 0) AS ports, count(DISTINCT username) AS users, (epoch_us(max(event_time)) - epoch_us(min(event_time))) / 60000000.0 AS active, avg(CASE WHEN extract(hour FROM event_time) < 6 THEN 1.0 ELSE 0.0 END) AS night FROM ev GROUP BY 1)"""
 _EVIDENCE = "evidence AS (SELECT source_ip, count(DISTINCT username) FILTER (event_type = 'failed_login') AS failed_users, bool_or(event_type = 'successful_login') AS has_success, count(*) FILTER (event_type = 'failed_login' AND raw_line LIKE '%invalid user%') AS invalid_fails, count(*) FILTER (event_type = 'failed_login') AS total_fails FROM ev GROUP BY 1)"
 _FLAGGED = f"WITH {_EV},\n {_rules()},\n {_EVIDENCE}, ruled AS (SELECT source_ip FROM brute UNION SELECT source_ip FROM scan), drops AS (SELECT brute.source_ip FROM brute JOIN evidence USING (source_ip) WHERE brute.source_ip IN ('10.0.0.8', '45.33.0.1') OR (failed_users <= 1 AND has_success)), kept AS (SELECT source_ip FROM ruled WHERE source_ip NOT IN (SELECT source_ip FROM drops))"
-_TRUTH = "truth AS (SELECT event_id, event_time, source_ip, CASE WHEN event_type = 'failed_login' THEN 'malicious' ELSE 'benign' END AS label FROM ev WHERE event_id % 97 = 0), hit AS (SELECT t.event_id, t.source_ip, t.label, bool_or(i.first_seen IS NOT NULL) AS matched FROM truth t LEFT JOIN inc i ON i.source_ip = t.source_ip AND i.first_seen BETWEEN t.event_time - INTERVAL 600 MINUTE AND t.event_time + INTERVAL 600 MINUTE GROUP BY 1, 2, 3)"
+_TRUTH = "truth AS (SELECT event_id, event_time, source_ip, CASE WHEN event_type = 'failed_login' THEN 'malicious' ELSE 'benign' END AS label FROM ev), hit AS (SELECT t.event_id, t.source_ip, t.label, bool_or(i.first_seen IS NOT NULL) AS matched FROM truth t LEFT JOIN inc i ON i.source_ip = t.source_ip AND i.first_seen BETWEEN t.event_time - INTERVAL 600 MINUTE AND t.event_time + INTERVAL 600 MINUTE GROUP BY 1, 2, 3)"
 
 ORACLES: dict[str, str] = {
     "ssh_parse": f"WITH {_EV}, {_SSH_LINES}, p AS (SELECT value, CASE WHEN regexp_matches(value, '{_FAILED}') THEN 'failed_login' WHEN regexp_matches(value, '{_ACCEPTED}') THEN 'successful_login' WHEN regexp_matches(value, '{_CONNECTION}') THEN 'connection' END AS event_type FROM lines) SELECT event_type, strptime('2024 ' || regexp_extract(value, '{_CONNECTION.split('.*')[0]}', 1) || ' ' || regexp_extract(value, '{_CONNECTION.split('.*')[0]}', 2) || ' ' || regexp_extract(value, '{_CONNECTION.split('.*')[0]}', 3), '%Y %b %-d %H:%M:%S') AS event_time, CASE event_type WHEN 'failed_login' THEN regexp_extract(value, '{_FAILED}', 5) WHEN 'successful_login' THEN regexp_extract(value, '{_ACCEPTED}', 5) ELSE regexp_extract(value, '{_CONNECTION}', 4) END AS source_ip, CASE event_type WHEN 'failed_login' THEN regexp_extract(value, '{_FAILED}', 4) WHEN 'successful_login' THEN regexp_extract(value, '{_ACCEPTED}', 4) END AS username, CAST(regexp_extract(value, ' port (\\d+) ssh2$', 1) AS INTEGER) AS port FROM p WHERE event_type IS NOT NULL",
@@ -103,13 +103,13 @@ ORACLES: dict[str, str] = {
     "search_docs": f"{_ALL}, {_IPS}, {_INTEL}, {_BAD} SELECT incident_type, source_ip, 'Unknown' AS country, severity, event_count, bad.source_ip IS NOT NULL AS known_bad, mitre_id AS technique_id, mitre_name AS technique_name, mitre_tactic AS tactic, 'events' AS log_file FROM inc LEFT JOIN bad USING (source_ip)",
     "soc_alerts": f"{_ALL} SELECT {_TITLE} AS title, CASE incident_type WHEN 'flood_404' THEN 'anomaly' ELSE incident_type END AS category, severity, source_ip, event_count || ' events; MITRE ' || mitre_id || ' (' || mitre_tactic || ').' AS description, '1.1.0' AS detection_version FROM inc",
     "navigator_scores": f"{_ALL}, s AS (SELECT *, CASE severity WHEN 'CRITICAL' THEN 100 WHEN 'HIGH' THEN 75 WHEN 'MEDIUM' THEN 50 ELSE 25 END AS score FROM inc), k AS (SELECT *, row_number() OVER (PARTITION BY mitre_id ORDER BY score DESC, type_rank, event_count DESC, source_ip) AS k FROM s) SELECT mitre_id AS technique_id, score, incident_type || ': ' || event_count || ' events, ' || severity AS comment FROM k WHERE k = 1",
-    "siem_queries": f"""{_ALL}, spec(incident_type, event_type, counts, field, least, span) AS (VALUES ('brute_force', 'failed_login', 'event_count', NULL, 5, 10), ('port_scan', 'connection', 'value_count', 'port', 20, 5), ('flood_404', 'http_404', 'event_count', NULL, 30, 5)) SELECT incident_type, incident_type || '.kql' AS file, 'event_type =~ "' || event_type || '"' || chr(10) || '| summarize ' || counts || ' = ' || (CASE WHEN field IS NOT NULL THEN 'dcount(DstPortNumber)' ELSE 'count()' END) || ' by bin(TimeGenerated, ' || span || 'm), SrcIpAddr' || chr(10) || '| where ' || counts || ' >= ' || least AS query FROM spec WHERE incident_type IN (SELECT incident_type FROM inc)""",
+    "siem_queries": f"""{_ALL}, spec(incident_type, event_type, counts, field, least, span) AS (VALUES ('brute_force', 'failed_login', 'event_count', NULL, 5, 10), ('port_scan', 'connection', 'value_count', 'port', 20, 5), ('flood_404', 'http_404', 'event_count', NULL, 30, 5)) SELECT incident_type, 'sentinel' AS target, incident_type || '.kql' AS file, 'event_type =~ "' || event_type || '"' || chr(10) || '| summarize ' || counts || ' = ' || (CASE WHEN field IS NOT NULL THEN 'dcount(DstPortNumber)' ELSE 'count()' END) || ' by bin(TimeGenerated, ' || span || 'm), SrcIpAddr' || chr(10) || '| where ' || counts || ' >= ' || least AS query FROM spec WHERE incident_type IN (SELECT incident_type FROM inc) UNION ALL SELECT incident_type, 'splunk', incident_type || '.spl', 'event_type="' || event_type || '"' || chr(10) || chr(10) || '| bin _time span=' || span || 'm' || chr(10) || '| stats ' || (CASE WHEN field IS NOT NULL THEN 'dc(dest_port)' ELSE 'count' END) || ' as ' || counts || ' by _time src_ip' || chr(10) || chr(10) || '| search ' || counts || ' >= ' || least FROM spec WHERE incident_type IN (SELECT incident_type FROM inc) UNION ALL SELECT incident_type, 'esql', incident_type || '.esql', 'from * metadata _id, _index, _version | where event_type=="' || event_type || '"' || chr(10) || '| eval timebucket=date_trunc(' || span || 'minutes, @timestamp) | stats ' || counts || '=' || (CASE WHEN field IS NOT NULL THEN 'count_distinct(destination.port)' ELSE 'count()' END) || ' by timebucket, source.ip' || chr(10) || '| where ' || counts || ' >= ' || least FROM spec WHERE incident_type IN (SELECT incident_type FROM inc)""",
     "top_threat_sources": f"{_ALL} SELECT source_ip, incident_type, event_count, severity FROM inc ORDER BY event_count DESC, source_ip, incident_type LIMIT 5",
     "incidents_by_severity": f"{_ALL} SELECT incident_type, source_ip, event_count, severity FROM inc WHERE severity = 'LOW'",
     "severity_route": f"{_ALL} SELECT count(*) AS incidents, coalesce(bool_or(severity = 'CRITICAL'), false) AS critical, CASE WHEN count(*) = 0 THEN 'no_incidents' WHEN bool_or(severity = 'CRITICAL') THEN 'critical' ELSE 'normal' END AS route FROM inc",
     "incident_digest": f"{_ALL} SELECT severity, string_agg('- ' || incident_type || ' from ' || source_ip || ', count=' || event_count || ', MITRE=' || mitre_id, chr(10) ORDER BY incident_type, source_ip) AS digest FROM inc GROUP BY 1",
     "source_counts": f"WITH {_EV},\n {_rules('', 3, 'source_ip, source_file')},\n {_incidents()}, c AS (SELECT source_file, count(*) AS incidents, count(*) FILTER (incident_type = 'brute_force') AS brute_force, count(*) FILTER (incident_type = 'port_scan') AS port_scan, count(*) FILTER (incident_type = 'flood_404') AS flood_404 FROM inc GROUP BY 1) SELECT e.source_file, e.events, coalesce(incidents, 0) AS incidents, coalesce(brute_force, 0) AS brute_force, coalesce(port_scan, 0) AS port_scan, coalesce(flood_404, 0) AS flood_404 FROM (SELECT source_file, count(*) AS events FROM ev GROUP BY 1) e LEFT JOIN c USING (source_file)",
-    "cosine_topk": "WITH q AS (SELECT vec_id AS query_id, embedding AS a FROM embeddings WHERE vec_id < 5), s AS (SELECT query_id, e.vec_id AS item_id, list_cosine_similarity(CAST(a AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])) AS s FROM q, embeddings e), k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, item_id) AS rank FROM s) SELECT query_id, item_id, round(s, 3) AS similarity, CAST(rank AS INTEGER) AS rank FROM k WHERE rank <= 3",
+    "cosine_topk": "WITH q AS (SELECT vec_id AS query_id, embedding AS a FROM embeddings WHERE vec_id % 100 = 0), s AS (SELECT query_id, e.vec_id AS item_id, list_cosine_similarity(CAST(a AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])) AS s FROM q, embeddings e), k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, item_id) AS rank FROM s) SELECT query_id, item_id, round(s, 3) AS similarity, CAST(rank AS INTEGER) AS rank FROM k WHERE rank <= 3",
     "mean_query_vector": "SELECT label, p - 1 AS position, round(avg(CAST(x AS DOUBLE)), 6) AS x FROM (SELECT label, unnest(embedding) AS x, unnest(generate_series(1, len(embedding))) AS p FROM embeddings) GROUP BY 1, 2",
     "ttp_upsert": "WITH b AS (SELECT 'T' || (doc_id % 50) AS technique_id, source AS name, doc_id AS version FROM documents WHERE doc_id % 3 > 0 UNION ALL SELECT 'T' || (doc_id % 50), lang, doc_id FROM documents WHERE doc_id % 3 = 0), k AS (SELECT *, row_number() OVER (PARTITION BY technique_id ORDER BY version DESC) AS k FROM b) SELECT technique_id, name, version FROM k WHERE k = 1",
     "call_metrics": f"WITH {_EV}, c AS (SELECT event_type <> 'failed_login' AS ok, event_id % 3 AS retries, port * 10 AS ti, port AS tok, value AS ms FROM ev), g AS (SELECT ms, row_number() OVER (ORDER BY ms) - 1 AS k, count(*) OVER () AS n FROM c WHERE ok) SELECT count(*) AS total, count(*) FILTER (ok) AS succeeded, count(*) FILTER (NOT ok) AS failed, CAST(sum(retries) AS BIGINT) AS retries, CAST(sum(ti) FILTER (ok) AS BIGINT) AS tokens_in, CAST(sum(tok) FILTER (ok) AS BIGINT) AS tokens_out, round(quantile_cont(ms, 0.5) FILTER (ok), 4) AS p50, (SELECT max(ms) FROM g WHERE k = CAST(round_even(0.95 * (n - 1), 0) AS BIGINT)) AS p95, round(CAST(sum(ti) FILTER (ok) AS DOUBLE) / 1000000 + CAST(sum(tok) FILTER (ok) AS DOUBLE) / 1000000 * 5, 6) AS cost FROM c",
@@ -118,19 +118,16 @@ ORACLES: dict[str, str] = {
     "customer_order_bursts": "WITH w AS (SELECT o_custkey, o_orderdate, count(*) OVER (PARTITION BY o_custkey ORDER BY o_orderdate RANGE BETWEEN CURRENT ROW AND INTERVAL 30 DAY FOLLOWING) AS c, max(o_orderdate) OVER (PARTITION BY o_custkey ORDER BY o_orderdate RANGE BETWEEN CURRENT ROW AND INTERVAL 30 DAY FOLLOWING) AS l FROM orders) SELECT o_custkey, min(o_orderdate) AS first_seen, arg_min(l, o_orderdate) AS last_seen, CAST(arg_min(c, o_orderdate) AS INTEGER) AS event_count FROM w WHERE c >= 3 GROUP BY 1",
 }
 
-#: Whole sets, where the SQL above takes a part.
-ORACLES["cosine_topk_all"] = ORACLES["cosine_topk"].replace("vec_id < 5", "vec_id % 100 = 0")
-ORACLES["eval_rows_all"] = ORACLES["eval_rows"].replace(" WHERE event_id % 97 = 0", "")
-ORACLES["siem_queries_all"] = ORACLES["siem_queries"].replace("SELECT incident_type, incident_type || '.kql' AS file,", "SELECT incident_type, 'sentinel' AS target, incident_type || '.kql' AS file,") + r""" UNION ALL SELECT incident_type, 'splunk', incident_type || '.spl', 'event_type="' || event_type || '"' || chr(10) || chr(10) || '| bin _time span=' || span || 'm' || chr(10) || '| stats ' || (CASE WHEN field IS NOT NULL THEN 'dc(dest_port)' ELSE 'count' END) || ' as ' || counts || ' by _time src_ip' || chr(10) || chr(10) || '| search ' || counts || ' >= ' || least FROM spec WHERE incident_type IN (SELECT incident_type FROM inc) UNION ALL SELECT incident_type, 'esql', incident_type || '.esql', 'from * metadata _id, _index, _version | where event_type=="' || event_type || '"' || chr(10) || '| eval timebucket=date_trunc(' || span || 'minutes, @timestamp) | stats ' || counts || '=' || (CASE WHEN field IS NOT NULL THEN 'count_distinct(destination.port)' ELSE 'count()' END) || ' by timebucket, source.ip' || chr(10) || '| where ' || counts || ' >= ' || least FROM spec WHERE incident_type IN (SELECT incident_type FROM inc)"""
-
-_BURSTS = "bw AS (SELECT source_ip, count(*) OVER (PARTITION BY source_ip ORDER BY event_time RANGE BETWEEN CURRENT ROW AND INTERVAL 60 SECOND FOLLOWING) AS c, count(*) OVER (PARTITION BY source_ip) AS total FROM ev), burst AS (SELECT source_ip, CASE WHEN max(total) <= 1 THEN 1.0 ELSE max(c) / CAST(max(total) AS DOUBLE) END AS score FROM bw GROUP BY 1)"
+_BURSTS = "bw AS (SELECT source_ip, count(*) OVER (PARTITION BY source_ip ORDER BY event_time RANGE BETWEEN CURRENT ROW AND INTERVAL 60 SECOND FOLLOWING) AS c, count(*) OVER (PARTITION BY source_ip) AS total FROM ev), rawburst AS (SELECT source_ip, CASE WHEN max(total) <= 1 THEN 1.0 ELSE max(c) / CAST(max(total) AS DOUBLE) END AS raw FROM bw GROUP BY 1), burst AS (SELECT source_ip, CASE WHEN max(raw) OVER () > min(raw) OVER () THEN round((raw - min(raw) OVER ()) / (max(raw) OVER () - min(raw) OVER ()), 4) ELSE 0.0 END AS score FROM rawburst)"
 ORACLES |= {
     "windows_parse": f"WITH {_EV} SELECT CASE event_type WHEN 'failed_login' THEN 'failed_login' WHEN 'successful_login' THEN 'successful_login' ELSE 'event_0' END AS event_type, event_time, source_ip, CASE WHEN event_id % 7 <> 0 THEN username END AS username, CASE WHEN event_id % 5 <> 0 THEN port ELSE -1 END AS port FROM ev WHERE event_type IN ('failed_login', 'successful_login', 'connection')",
+    "windows_csv": f"WITH {_EV} SELECT CASE event_type WHEN 'failed_login' THEN 'failed_login' WHEN 'successful_login' THEN 'successful_login' ELSE 'event_0' END AS event_type, event_time, source_ip, CASE WHEN event_id % 7 <> 0 THEN username END AS username, CASE WHEN event_id % 5 <> 0 THEN port ELSE -1 END AS port FROM ev WHERE event_type IN ('failed_login', 'successful_login', 'connection')",
     "enriched_scores": f"{_ALL}, {_BURSTS} SELECT incident_type, source_ip, round(coalesce(score, 0.0), 6) AS anomaly_score FROM inc LEFT JOIN burst USING (source_ip)",
-    "anomaly_labels": f"{_ALL}, {_BURSTS} SELECT source_ip, round(score, 6) AS anomaly_score, CASE WHEN source_ip IN (SELECT source_ip FROM inc) THEN 'Rule + ML' ELSE 'ML Only' END AS detection FROM burst WHERE score >= 0.2",
+    "anomaly_labels": f"{_ALL}, {_BURSTS} SELECT source_ip, round(score, 6) AS anomaly_score, CASE WHEN source_ip IN (SELECT source_ip FROM inc) THEN 'Rule + ML' ELSE 'ML Only' END AS detection FROM burst WHERE score >= {ANOMALOUS}",
     "chart_series": f"{_ALL}, k AS (SELECT CAST(row_number() OVER (ORDER BY event_count DESC, incident_type, source_ip) AS INTEGER) AS rank, * FROM inc) SELECT rank, source_ip || ' (' || incident_type || ')' AS label, event_count AS value FROM k WHERE rank <= 15",
+    "score_series": f"WITH {_EV}, {_BURSTS}, k AS (SELECT CAST(row_number() OVER (ORDER BY score DESC, source_ip) AS INTEGER) AS rank, source_ip, score FROM burst) SELECT rank, source_ip AS label, score AS value, CASE WHEN score >= 0.8 THEN '#ef4444' WHEN score >= 0.65 THEN '#f97316' WHEN score >= 0.5 THEN '#eab308' ELSE '#3b82f6' END AS colour FROM k WHERE rank <= 15",
     "split_types": f"{_ALL} SELECT t.incident_type, count(i.source_ip) AS n FROM (VALUES ('brute_force'), ('port_scan'), ('flood_404')) t(incident_type) LEFT JOIN inc i ON i.incident_type = t.incident_type GROUP BY 1",
     "detection_rules": f"{_ALL}, spec(incident_type, level, selection, timeframe, condition, tags) AS (VALUES ('brute_force', 'high', 'event_type=failed_login', '10m', 'selection | count() by source_ip >= 5', 'attack.credential_access,attack.t1110.001'), ('port_scan', 'medium', 'source_ip=*', '5m', 'selection | count(port) by source_ip >= 20', 'attack.discovery,attack.t1046'), ('flood_404', 'medium', 'event_type=http_404', '5m', 'selection | count() by source_ip >= 30', 'attack.reconnaissance,attack.t1595.002')) SELECT * FROM spec WHERE incident_type IN (SELECT incident_type FROM inc)",
     "compare_summary": f"WITH compared AS ({ORACLES['replay_compare']}) SELECT count(*) FILTER (category = 'only_a') AS only_a, count(*) FILTER (category = 'only_b') AS only_b, count(*) FILTER (category = 'both') AS both, count(*) FILTER (category = 'only_b') - count(*) FILTER (category = 'only_a') AS net_change FROM compared",
-    "eval_ips_full": f"{_FLAGGED}, {_BURSTS}, full_set AS (SELECT source_ip FROM kept UNION SELECT source_ip FROM burst WHERE score >= 0.2), marks AS (SELECT DISTINCT source_ip, source_ip LIKE '45.33.%' OR source_ip LIKE '185.220.%' AS bad FROM ev), c AS (SELECT 'full' AS config, count(*) FILTER (bad AND f) AS tp, count(*) FILTER (NOT bad AND f) AS fp, count(*) FILTER (bad AND NOT f) AS fn, count(*) FILTER (NOT bad AND NOT f) AS tn FROM (SELECT bad, source_ip IN (SELECT source_ip FROM full_set) AS f FROM marks))" + ORACLES["eval_ips"][ORACLES["eval_ips"].index(", r AS (SELECT *, CASE WHEN tp + fp"):],
+    "eval_ips_full": f"{_FLAGGED}, {_BURSTS}, full_set AS (SELECT source_ip FROM kept UNION SELECT source_ip FROM burst WHERE score >= {ANOMALOUS}), marks AS (SELECT DISTINCT source_ip, source_ip LIKE '45.33.%' OR source_ip LIKE '185.220.%' AS bad FROM ev), c AS (SELECT 'full' AS config, count(*) FILTER (bad AND f) AS tp, count(*) FILTER (NOT bad AND f) AS fp, count(*) FILTER (bad AND NOT f) AS fn, count(*) FILTER (NOT bad AND NOT f) AS tn FROM (SELECT bad, source_ip IN (SELECT source_ip FROM full_set) AS f FROM marks))" + ORACLES["eval_ips"][ORACLES["eval_ips"].index(", r AS (SELECT *, CASE WHEN tp + fp"):],
 }

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from vigil.config import RuleConfig
 from vigil.functions import privacy as P
+from vigil.functions import shared
 from vigil.functions.ip import networks
 from vigil.operators import anomaly, cidr, contract, detect, enrich, evaluate, features, report, sliding, vectors
 from vigil.plans import driver_data as D
@@ -164,7 +165,7 @@ def country_counts(s, d):
 
 @query
 def suppress_repeats(s, d):
-    found = incidents(s, d)
+    found = shared.stored(incidents(s, d))  # read twice
     stored = found.where("event_count % 2 = 1").select("incident_type", "source_ip", F.col("last_seen").alias("detected_at"))
     now = D.events(s, d).agg(F.max("event_time")).scalar()
     return enrich.suppress_repeats(found, stored, now, 28800).select("incident_type", "source_ip")
@@ -175,9 +176,15 @@ def windows_parse(s, d):
     return logs.parse_windows(D.windows_rows(s, d)).select("event_type", "event_time", "source_ip", "username", F.coalesce("port", F.lit(-1)).alias("port"))
 
 
+@query
+def windows_csv(s, d):
+    """Event tables written as CSV, whose messages hold line breaks, commas, quotes and lines that look like events, and read again."""
+    return logs.read_windows(s, D.windows_files(s, d)).select("event_type", "event_time", "source_ip", "username", F.coalesce("port", F.lit(-1)).alias("port"))
+
+
 def _burst_scores(s, d):
-    """The burst score as a stand-in for an anomaly score that SQL can say too."""
-    return features.behaviour(D.events(s, d)).select("source_ip", F.col("burst_score").alias("anomaly_score"))
+    """The burst score, scaled to 0..1 as anomaly scores are, as a stand-in for one that SQL can say too."""
+    return anomaly.scaled(features.behaviour(D.events(s, d)).select("source_ip", F.col("burst_score").alias("raw")))
 
 
 @query
@@ -187,7 +194,7 @@ def enriched_scores(s, d):
 
 @query
 def anomaly_labels(s, d):
-    found = enrich.label_anomalies(_burst_scores(s, d), features.behaviour(D.events(s, d)), incidents(s, d), 0.2)
+    found = enrich.label_anomalies(_burst_scores(s, d), features.behaviour(D.events(s, d)), incidents(s, d), D.ANOMALOUS)
     return found.select("source_ip", F.round("anomaly_score", 6).alias("anomaly_score"), "detection")
 
 
@@ -196,6 +203,11 @@ def chart_series(s, d):
     return report.chart_series(incidents(s, d))
 
 
+@query
+def score_series(s, d):
+    return report.score_series(_burst_scores(s, d))
+
+
 @query
 def split_types(s, d):
     parts = [df.agg(F.lit(kind).alias("incident_type"), F.count("*").alias("n")) for kind, df in report.split_types(incidents(s, d)).items()]
@@ -207,20 +219,11 @@ def detection_rules(s, d):
     return documents.detection_rules(incidents(s, d)).select("incident_type", "level", "selection", "timeframe", "condition", F.array_join("tags", ",").alias("tags"))
 
 
-def _eval_rows(s, d, events):
-    truth = events.select(F.col("event_time").alias("timestamp"), "source_ip", F.when(F.col("event_type") == "failed_login", "malicious").otherwise("benign").alias("label"))
-    names = ["true_positives", "false_positives", "false_negatives", "true_negatives", "precision", "recall", "f1"]
-    return evaluate.evaluate_rows(incidents(s, d), truth, 600).select(*names, F.array_join("fp_source_ips", ",").alias("fp_source_ips"))
-
-
 @query
 def eval_rows(s, d):
-    return _eval_rows(s, d, D.events(s, d).where("event_id % 97 = 0"))
-
-
-@query
-def eval_rows_all(s, d):
-    return _eval_rows(s, d, D.events(s, d))
+    truth = D.events(s, d).select(F.col("event_time").alias("timestamp"), "source_ip", F.when(F.col("event_type") == "failed_login", "malicious").otherwise("benign").alias("label"))
+    names = ["true_positives", "false_positives", "false_negatives", "true_negatives", "precision", "recall", "f1"]
+    return evaluate.evaluate_rows(incidents(s, d), truth, 600).select(*names, F.array_join("fp_source_ips", ",").alias("fp_source_ips"))
 
 
 def _labels(s, d):
@@ -239,7 +242,7 @@ def eval_ips(s, d):
 
 @query
 def eval_ips_full(s, d):
-    out = evaluate.quality(D.events(s, d), _labels(s, d), _KNOWN_GOOD, True, D.RULES, _burst_scores(s, d), evaluate.count_sources, 0.2).where("config = 'full'")
+    out = evaluate.quality(D.events(s, d), _labels(s, d), _KNOWN_GOOD, True, D.RULES, _burst_scores(s, d), evaluate.count_sources, D.ANOMALOUS).where("config = 'full'")
     return out.select("config", *(F.col(c).cast("int").alias(c) for c in ("tp", "fp", "fn", "tn")), "precision", "recall", "f1", "accuracy")
 
 
@@ -313,11 +316,6 @@ def navigator_scores(s, d):
 
 @query
 def siem_queries(s, d):
-    return documents.threshold_queries(incidents(s, d)).where("target = 'sentinel'").select("incident_type", "file", "query")
-
-
-@query
-def siem_queries_all(s, d):
     return documents.threshold_queries(incidents(s, d)).select("incident_type", "target", "file", "query")
 
 
@@ -347,20 +345,13 @@ def source_counts(s, d):
     return report.source_counts(events, detect.detect(events, D.RULES, ("source_file",)))
 
 
-@query
-def cosine_topk(s, d):
-    e = D.table(s, d, "embeddings")
-    q = e.where("vec_id < 5").select(F.col("vec_id").alias("query_id"), "embedding")
-    return vectors.similar(q, e.withColumnRenamed("vec_id", "item_id"))
-
-
 def _searches(e):
     """Every hundredth vector as a query, whatever the size of the table."""
     return e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
 
 
 @query
-def cosine_topk_all(s, d):
+def cosine_topk(s, d):
     e = D.table(s, d, "embeddings")
     return vectors.similar(_searches(e), e.withColumnRenamed("vec_id", "item_id"))
 
