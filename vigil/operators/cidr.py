@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vigil.functions.ip import v4_masked, v4_number, v6_digits, v6_masked
 
@@ -22,7 +23,7 @@ def address_keys(addresses: DataFrame, prefixes: dict[int, list[int]], ip_col: s
         own = ips.withColumn("n", n).where("n is not null")
         parts.append(own.select("ip", F.lit(4).alias("version"), "n", F.explode(F.array(*map(F.lit, prefixes[4]))).alias("prefix_len")).select("ip", "version", "prefix_len", v4_masked(F.col("n"), F.col("prefix_len")).alias("net_key")))
     if prefixes.get(6):
-        own = ips.where(F.contains(F.col("ip"), F.lit(":"))).withColumn("d", v6_digits()("ip")).where("d is not null")
+        own = ips.where(F.contains(F.col("ip"), F.lit(":"))).withColumn("d", v6_digits(F.col("ip"))).where("d is not null")
         parts.append(own.select("ip", F.lit(6).alias("version"), "d", F.explode(F.array(*map(F.lit, prefixes[6]))).alias("prefix_len")).select("ip", "version", "prefix_len", v6_masked(F.col("d"), F.col("prefix_len")).alias("net_key")))
     if not parts:
         return ips.sparkSession.createDataFrame([], "ip string, version int, prefix_len int, net_key string")
@@ -55,10 +56,18 @@ def flag_networks(rows: DataFrame, nets: DataFrame, flag: str, ip_col: str = "so
     return rows.drop(flag).join(inside, ip_col, "left").withColumn(flag, F.coalesce("__in", F.lit(False))).select(*[c for c in rows.columns if c != flag], flag)
 
 
-def longest_match(rows: DataFrame, table: DataFrame, value_col: str, default: str, ip_col: str = "source_ip") -> DataFrame:
-    """rows with the value of the longest network around the address. table: version, prefix_len, net_key, value_col."""
+def _less(table: DataFrame, prefer: str) -> list[Column]:
+    """Columns that are the smaller the larger prefer is, a number or a struct of such."""
+    kind = table.schema[prefer].dataType
+    names = [f"{prefer}.{f.name}" for f in kind.fields] if isinstance(kind, T.StructType) else [prefer]
+    return [(-F.col(n)).alias(f"o{i}") for i, n in enumerate(names)]
+
+
+def longest_match(rows: DataFrame, table: DataFrame, value_col: str, default: str, ip_col: str = "source_ip", prefer: str = "prefix_len") -> DataFrame:
+    """rows with the value of the longest network around the address, or of that with the largest `prefer`, such as `narrow` for ranges;
+    equal ones by the smaller value. table: version, prefix_len, net_key, value_col and prefer."""
     keys = address_keys(rows, prefix_lengths(table), ip_col)
-    best = keys.join(table, ["version", "prefix_len", "net_key"]).groupBy("ip").agg(F.max_by(value_col, "prefix_len").alias("__value"))
+    best = keys.join(table, ["version", "prefix_len", "net_key"]).groupBy("ip").agg(F.min_by(value_col, F.struct(*_less(table, prefer), value_col)).alias("__value"))
     joined = rows.drop(value_col).join(best.withColumnRenamed("ip", ip_col), ip_col, "left")
     return joined.withColumn(value_col, F.coalesce("__value", F.lit(default))).select(*[c for c in rows.columns if c != value_col], value_col)
 

@@ -5,22 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigil.functions.ip import networks, v4_masked, v4_number
+from vigil.functions.ip import network_text, networks, parsed_networks
+from vigil.functions.ipranges import network_narrowness, range_networks
 
 
 def load_threat_intel(spark: SparkSession, path: str | None) -> DataFrame:
-    """Networks of a feed with an address or CIDR range in each line; comments, blanks and bad lines are left out, and so is a missing
-    file. A feed is a small dimension, parsed on the driver."""
+    """version, prefix_len, net_key and net of a feed with an address or CIDR range in each line; comments, blanks and bad lines are left
+    out, and so is a missing file. Lines are parsed where they are read."""
     from pyspark.errors import AnalysisException
 
-    entries: list[str] = []
-    if path:
-        try:
-            lines = spark.read.text(path).select(F.trim(F.split_part("value", F.lit("#"), F.lit(1))).alias("net")).where("net <> ''")
-            entries = [r.net for r in lines.collect()]
-        except AnalysisException:
-            entries = []
-    return networks(spark, entries)
+    try:
+        lines = spark.read.text(path or []) if path else None
+    except AnalysisException:
+        lines = None
+    if lines is None:
+        return networks(spark, [])
+    nets = lines.select(F.trim(F.split_part("value", F.lit("#"), F.lit(1))).alias("net")).where("net <> ''")
+    known = parsed_networks(nets, "net").select("version", "prefix_len", "net_key").distinct()
+    return known.withColumn("net", network_text(F.col("version"), F.col("prefix_len"), F.col("net_key")))
 
 
 def country_table(spark: SparkSession, entries: dict[str, str]) -> DataFrame:
@@ -31,13 +33,33 @@ def country_table(spark: SparkSession, entries: dict[str, str]) -> DataFrame:
 
 
 def load_countries(spark: SparkSession, path: str) -> DataFrame:
-    """version, prefix_len, net_key, country of a CSV file with the columns network (a CIDR range of version 4) and country, parsed by
-    the executors; lines that are neither are left out."""
-    rows = spark.read.option("header", True).csv(path).select(F.trim("network").alias("net"), F.trim("country").alias("country"))
-    number = v4_number(F.split_part("net", F.lit("/"), F.lit(1)))
-    length = F.coalesce(F.nullif(F.split_part("net", F.lit("/"), F.lit(2)), F.lit("")).try_cast("int"), F.when(~F.contains(F.col("net"), F.lit("/")), 32))
-    known = rows.select(number.alias("n"), length.alias("prefix_len"), "country").where("n is not null and prefix_len between 0 and 32 and country <> ''")
-    return known.select(F.lit(4).alias("version"), "prefix_len", v4_masked(F.col("n"), F.col("prefix_len")).alias("net_key"), "country").distinct()
+    """version, prefix_len, net_key, country and narrow of CSV files with the column country, and either network (a CIDR range) or start and
+    end (the first and last address), of version 4 or 6. Lines that are neither are left out; count_bad_countries() counts them. Where
+    ranges overlap, the narrowest counts: longest_match(..., prefer="narrow")."""
+    nets, ranges = _country_rows(spark, path)
+    one = nets.withColumn("narrow", network_narrowness(F.col("version"), F.col("prefix_len")))
+    return one.select(*_COUNTRY).unionByName(ranges.select(*_COUNTRY)).distinct()
+
+
+_COUNTRY = ("version", "prefix_len", "net_key", "country", "narrow")
+
+
+def _country_lines(spark: SparkSession, path: str) -> DataFrame:
+    rows = spark.read.option("header", True).csv(path)
+    col = lambda name: F.trim(F.col(name)) if name in rows.columns else F.lit(None).cast("string")
+    return rows.select(*(col(c).alias(c) for c in ("network", "start", "end", "country")), F.monotonically_increasing_id().alias("line"))
+
+
+def _country_rows(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    rows = _country_lines(spark, path).where("country <> ''")
+    return parsed_networks(rows.where("network <> ''"), "network"), range_networks(rows.where("coalesce(network, '') = ''"), "start", "end")
+
+
+def count_bad_countries(spark: SparkSession, path: str) -> DataFrame:
+    """One row: how many lines of load_countries() are left out."""
+    good = _country_rows(spark, path)
+    known = good[0].select("line").unionByName(good[1].select("line")).distinct()
+    return _country_lines(spark, path).join(known, "line", "left_anti").agg(F.count("*").alias("bad_lines"))
 
 
 def load_ground_truth(spark: SparkSession, path: str) -> DataFrame:
