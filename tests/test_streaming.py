@@ -161,6 +161,37 @@ def test_tailing(tmp_path, spark):
         assert spark.read.parquet(out).count() == want
 
 
+def test_a_large_file_is_read_in_bounded_batches(tmp_path, spark):
+    """First read of a large file: batches and ranges are bounded, every line comes once, lines longer than a range or a batch too; then
+    the file is rotated before its last lines were read."""
+    spark.dataSource.register(TailSource)
+    f = tmp_path / "big.log"
+    lines = [f"{i} " + "x" * (i * 37 % 200) for i in range(6000)] + ["long " + "y" * 150_000] + [f"after {i}" for i in range(50)]
+    f.write_text("\n".join(lines) + "\nunfinished")
+    out, cp = str(tmp_path / "rows"), str(tmp_path / "cp")
+
+    def read(want):
+        stream = spark.readStream.format("tail").option("paths", str(f)).option("maxBytesPerBatch", 100_000).option("bytesPerPartition", 20_000).load()
+        q = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", cp).start()
+        for _ in range(120):
+            q.processAllAvailable()
+            if spark.read.schema("value string, source_file string").parquet(out).count() >= want:
+                break
+            time.sleep(0.5)
+        sizes = [p["numInputRows"] for p in q.recentProgress]
+        q.stop()
+        return sizes
+
+    sizes = read(len(lines))
+    assert sorted(r.value for r in spark.read.parquet(out).collect()) == sorted(lines) and len([n for n in sizes if n]) >= 7
+    with f.open("a") as end:
+        end.write(" now\nlast of the old\n")
+    f.rename(tmp_path / "big.log.1")
+    f.write_text("first of the new\n")
+    read(len(lines) + 3)
+    assert sorted(r.value for r in spark.read.parquet(out).collect()) == sorted([*lines, "unfinished now", "last of the old", "first of the new"])
+
+
 def test_raw_messages_to_incidents(spark, tmp_path):
     line = "Jun 15 02:00:{:02d} s sshd[1]: Failed password for root from 1.2.3.4 port 50000 ssh2"
     folder = tmp_path / "topic"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +16,7 @@ from vigil.operators import anomaly, cidr, contract, detect, enrich, evaluate, f
 from vigil.plans import driver_data as D
 from vigil.sinks import documents, tables
 from vigil.sources import logs
+from vigil.streaming import detectors
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -319,6 +321,38 @@ def siem_queries(s, d):
     return documents.threshold_queries(incidents(s, d)).select("incident_type", "target", "file", "query")
 
 
+_ROCKS = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+def _streamed(s, rows, make):
+    """What a stream over rows gives: they are written to the shared folder, read as a stream until all is read, and the result is stored."""
+    base = f"{shared.shared_folder(s)}/stream-{s.sparkContext.applicationId}-{uuid.uuid4().hex}"
+    rows.write.parquet(f"{base}/in")
+    before = s.conf.get(_ROCKS[0], None)
+    s.conf.set(*_ROCKS)
+    try:
+        out = make(s.readStream.schema(rows.schema).parquet(f"{base}/in"))
+        out.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        s.conf.unset(_ROCKS[0]) if before is None else s.conf.set(_ROCKS[0], before)
+    return s.read.schema(out.schema).parquet(f"{base}/out")
+
+
+@query
+def stream_brute_force(s, d):
+    """brute_force() as a stream; one event long after all others lets every window end."""
+    rows = D.events(s, d).select("event_type", "source_ip", "event_time")
+    last = rows.agg(F.lit("failed_login").alias("event_type"), F.lit("flush").alias("source_ip"), (F.max("event_time") + F.expr("INTERVAL 400 DAYS")).alias("event_time"))
+    return _streamed(s, rows.unionByName(last), lambda events: detectors.stream_brute_force(events, D.RULES)).select(_PLAIN[1:])
+
+
+@query
+def stream_dedup(s, d):
+    """Kinds of events and sources as they come, each once while it is remembered."""
+    rows = D.events(s, d).select(F.col("event_type").alias("incident_type"), "source_ip", F.col("event_time").alias("first_seen"))
+    return _streamed(s, rows, lambda found: detectors.stream_without_repeats(found, 1440).select("incident_type", "source_ip"))
+
+
 @query
 def top_threat_sources(s, d):
     return report.top_sources(incidents(s, d), "five")
