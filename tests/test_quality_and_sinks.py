@@ -293,9 +293,9 @@ def test_searches_take_every_hundredth_vector(spark, sf):
 
     e = D.table(spark, sf, "embeddings")
     ids = {r.vec_id for r in e.where("vec_id % 100 = 0").collect()}
-    exact, near = ({(r.query_id, r.item_id) for r in QUERIES[name](spark, sf).collect()} for name in ("cosine_topk", "ann_topk"))
+    exact, near, filed = ({(r.query_id, r.item_id) for r in QUERIES[name](spark, sf).collect()} for name in ("cosine_topk", "ann_topk", "cell_topk"))
     assert {q for q, _ in exact} == {q for q, _ in near} == ids and len(exact) == 3 * len(ids)
-    assert len(exact & near) >= 0.9 * len(exact)
+    assert len(exact & near) >= 0.9 * len(exact) and len(exact & filed) >= 0.9 * len(exact)
     q, c = e.withColumnRenamed("vec_id", "query_id").where("query_id < 90"), e.withColumnRenamed("vec_id", "item_id")
     rows = lambda df: sorted(map(tuple, df.collect()))
     assert rows(vectors.similar(q, c, query_rows=20, item_rows=70)) == rows(vectors.similar(q, c)) and vectors.similar(q.limit(0), c).count() == 0

@@ -36,6 +36,14 @@ def usable(vector: Column) -> Column:
     return F.coalesce((F.size(vector) > 0) & finite & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
+def moderate(vector: Column) -> Column:
+    """The vector divided by the power of two below its largest component: cosines stay the same to the last bit, and the squares of very
+    large or small components stay in range."""
+    v = vector.cast("array<double>")
+    power = F.pow(F.lit(2.0), F.floor(F.log2(F.array_max(F.transform(v, F.abs)))))
+    return F.get(F.transform(F.array(power), lambda s: F.transform(v, lambda x: x / s)), F.lit(0))
+
+
 def similar(queries: DataFrame, corpus: DataFrame, k: int = 3, query_id: str = "query_id", item_id: str = "item_id", vector: str = "embedding", query_rows: int = QUERY_ROWS, item_rows: int = ITEM_ROWS) -> DataFrame:
     """query_id, item_id, similarity (3 digits), rank: the k nearest items of each query by exact cosine; of equal ones the smaller ids.
 
@@ -43,7 +51,7 @@ def similar(queries: DataFrame, corpus: DataFrame, k: int = 3, query_id: str = "
     into blocks of about query_rows and item_rows, and each pair of blocks meets in a group, which keeps all items that may be among
     the k best of a query; their cosine is then taken by the built-in functions. Every item goes to each block of queries: for a number
     of queries that grows with the items, search a stored index (search_cells) instead."""
-    whole = lambda df, name, short: df.where(usable(F.col(vector))).select(F.col(name).alias(short), F.col(vector).cast("array<double>").alias("v"), F.size(vector).alias("dim"))
+    whole = lambda df, name, short: df.where(usable(F.col(vector))).select(F.col(name).alias(short), moderate(F.col(vector)).alias("v"), F.size(vector).alias("dim"))
     q, c = whole(queries, query_id, "query_id"), whole(corpus, item_id, "item_id")
     blocks, parts = max(1, math.ceil(q.count() / query_rows)), max(1, math.ceil(c.count() / item_rows))
     deal = lambda name, n: F.pmod(F.xxhash64(name, "v"), F.lit(n)).cast("int")
@@ -72,7 +80,7 @@ def _matrix(t: pa.Table, column: str = "v") -> np.ndarray:
 
 def best_of(x: np.ndarray, y: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Rows of x and of y whose cosine is among the k highest of x's row, or as high as the last of these."""
-    unit = lambda m: m / np.linalg.norm(m / np.abs(m).max(1)[:, None], axis=1)[:, None] / np.abs(m).max(1)[:, None]
+    unit = lambda m: m / np.linalg.norm(m, axis=1)[:, None]
     x, y = unit(x), unit(y)
     rows, items = [np.zeros(0, int)], [np.zeros(0, int)]
     for i in range(0, len(x), 64):

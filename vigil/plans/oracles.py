@@ -123,6 +123,7 @@ ORACLES |= {
     "windows_parse": f"WITH {_EV} SELECT CASE event_type WHEN 'failed_login' THEN 'failed_login' WHEN 'successful_login' THEN 'successful_login' ELSE 'event_0' END AS event_type, event_time, source_ip, CASE WHEN event_id % 7 <> 0 THEN username END AS username, CASE WHEN event_id % 5 <> 0 THEN port ELSE -1 END AS port FROM ev WHERE event_type IN ('failed_login', 'successful_login', 'connection')",
     "windows_csv": f"WITH {_EV} SELECT CASE event_type WHEN 'failed_login' THEN 'failed_login' WHEN 'successful_login' THEN 'successful_login' ELSE 'event_0' END AS event_type, event_time, source_ip, CASE WHEN event_id % 7 <> 0 THEN username END AS username, CASE WHEN event_id % 5 <> 0 THEN port ELSE -1 END AS port FROM ev WHERE event_type IN ('failed_login', 'successful_login', 'connection')",
     "stream_brute_force": ORACLES["brute_force"],
+    "tail_ingest": ORACLES["ssh_parse"],
     "stream_dedup": f"WITH {_EV} SELECT DISTINCT event_type AS incident_type, source_ip FROM ev",
     "enriched_scores": f"{_ALL}, {_BURSTS} SELECT incident_type, source_ip, round(coalesce(score, 0.0), 6) AS anomaly_score FROM inc LEFT JOIN burst USING (source_ip)",
     "anomaly_labels": f"{_ALL}, {_BURSTS} SELECT source_ip, round(score, 6) AS anomaly_score, CASE WHEN source_ip IN (SELECT source_ip FROM inc) THEN 'Rule + ML' ELSE 'ML Only' END AS detection FROM burst WHERE score >= {ANOMALOUS}",

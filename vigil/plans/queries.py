@@ -12,10 +12,11 @@ from vigil.config import RuleConfig
 from vigil.functions import privacy as P
 from vigil.functions import shared
 from vigil.functions.ip import networks
-from vigil.operators import anomaly, cidr, contract, detect, enrich, evaluate, features, report, sliding, vectors
+from vigil.operators import anomaly, cells, cidr, contract, detect, enrich, evaluate, features, report, sliding, vectors
 from vigil.plans import driver_data as D
 from vigil.sinks import documents, tables
 from vigil.sources import logs
+from vigil.sources.tail import TailSource
 from vigil.streaming import detectors
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -353,6 +354,30 @@ def stream_dedup(s, d):
     return _streamed(s, rows, lambda found: detectors.stream_without_repeats(found, 1440).select("incident_type", "source_ip"))
 
 
+@query
+def tail_ingest(s, d):
+    """Auth log lines in files that grow: written to the shared folder, tailed by the executors, parsed as they come."""
+    base = f"{shared.shared_folder(s)}/tail-{s.sparkContext.applicationId}-{uuid.uuid4().hex}"
+    D.ssh_lines(s, d).select("value").write.text(f"{base}/in")
+    files = [f.removeprefix("file:").replace("//", "/").replace("//", "/") for f in s.read.text(f"{base}/in").inputFiles()]  # a name for each file
+    s.dataSource.register(TailSource)
+    out = logs.parse_ssh(s.readStream.format("tail").option("paths", ",".join(files)).load(), D.YEAR).select("event_type", "event_time", "source_ip", "username", "port")
+    q = out.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/checkpoint").start()
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    return s.read.schema(out.schema).parquet(f"{base}/out")
+
+
+@query
+def cell_topk(s, d):
+    """Neighbours of every hundredth vector in a stored index."""
+    e = D.table(s, d, "embeddings")
+    index = cells.build_cells(e, f"{shared.shared_folder(s)}/cells-{s.sparkContext.applicationId}-{uuid.uuid4().hex}", 16, item_id="vec_id")
+    return cells.search_cells(_searches(e), index)
+
+
 @query
 def top_threat_sources(s, d):
     return report.top_sources(incidents(s, d), "five")
