@@ -7,6 +7,7 @@ gives an empty result with the same columns.
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
@@ -62,9 +63,13 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write df as a table in the shared folder and read it again: lineage ends there, and lost executors lose nothing."""
+def cut(df: DataFrame, sweep: bool = False) -> DataFrame:
+    """Write df as a table in the shared folder and read it again: lineage ends there, and lost executors lose nothing. sweep: first let
+    Spark delete the shuffle files of steps that are over, which it does when the driver's garbage is collected."""
     spark = df.sparkSession
+    if sweep:
+        gc.collect()
+        spark._jvm.System.gc()
     bound_batches(spark)
     path = f"{shared_dir(spark)}/cut-{spark.sparkContext.applicationId}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)

@@ -182,7 +182,7 @@ def search_shard(words: list[bytes], n: np.ndarray, rid: np.ndarray, a: np.ndarr
 
 def _distinct(seen: DataFrame) -> DataFrame:
     """Distinct stretches (route, k, n, words) with their first and last places. seen: those, first and last."""
-    return cut(seen.groupBy("route", "k", "n").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.first("words").alias("words")))
+    return cut(seen.groupBy("route", "k", "n").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.first("words").alias("words")), sweep=True)
 
 
 def _shorter(heavy: DataFrame, gram: int) -> DataFrame:
@@ -215,7 +215,7 @@ def _mask_at(place: Column) -> Column:
 def judged(known: DataFrame, level: int = 0) -> DataFrame:
     """route, k, n of distinct stretches, at (the first place), and masks of the windows that start earlier: mask for the first place,
     later for the others. known: what _distinct() gives."""
-    crowd = cut(known.groupBy("route").count().where(F.col("count") > ROUTE_ROWS).select("route"))
+    crowd = cut(known.groupBy("route").count().where(F.col("count") > ROUTE_ROWS).select("route"), sweep=True)
     split = level + 1 < len(GRAMS) and not crowd.isEmpty()
     light = known.join(crowd, "route", "left_anti") if split else known
     shards = light.count() // SHARD_ROWS + 1
@@ -230,7 +230,7 @@ def judged(known: DataFrame, level: int = 0) -> DataFrame:
     found = light.withColumn("shard", shard).groupBy("shard").applyInArrow(run, "route long, k long, n int, at struct<rid: bigint, a: int>, mask long, later long")
     if not split:
         return found
-    parts = cut(_shorter(known.join(crowd, "route", "left_semi"), GRAMS[level + 1]))
+    parts = cut(_shorter(known.join(crowd, "route", "left_semi"), GRAMS[level + 1]), sweep=True)
     answers = parts.join(judged(_distinct(parts), level + 1), ["route", "k", "n"])
     whole = answers.select("up", "first", F.expr("shiftleft(later, off)").alias("later"), _mask_at(F.col("first")).alias("mask"), "off")
     whole = whole.groupBy("up").agg(F.min("first").alias("at"), F.bit_or(F.expr("shiftleft(mask, off)")).alias("mask"), F.bit_or("later").alias("later"))
@@ -295,7 +295,7 @@ def _dedup(docs: DataFrame, text_out: bool) -> DataFrame:
     runs = anchors(docs)
     repeated = cut(runs.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h"))
     places = runs.join(repeated.hint("shuffle_hash"), "h").groupBy("rid", "tkey").agg(F.collect_set(F.struct("h", "a", "n")).alias("places"))
-    kept = cut(_packed(docs).join(places, ["rid", "tkey"], "left"))
+    kept = cut(_packed(docs).join(places, ["rid", "tkey"], "left"), sweep=True)
     none = F.lit(None).cast("array<struct<a:int,mask:bigint>>")
     plain = kept.where("places is null").drop("places").withColumn("windows", none)
     held = kept.where("places is not null")
