@@ -5,8 +5,9 @@ import random
 
 from pyspark.sql import functions as F
 
-from vigil.functions.ip import network_text, parsed_networks, v4_number, v6_digits
+from vigil.functions.ip import network_text, networks, parsed_networks, v4_number, v6_digits
 from vigil.functions.ipranges import range_networks
+from vigil.operators import cidr
 from vigil.operators.cidr import longest_match
 from vigil.sources.feeds import count_bad_countries, load_countries, load_threat_intel
 
@@ -115,3 +116,28 @@ def test_feed(spark, tmp_path):
     got = sorted((r.version, r.prefix_len, r.net_key) for r in load_threat_intel(spark, str(tmp_path / "feed.txt")).collect())
     assert got == [(4, 8, str(10 << 24)), (4, 32, str(0x01020304)), (6, 32, "20010db8" + "0" * 24)]
     assert load_threat_intel(spark, str(tmp_path / "none.txt")).count() == 0 and load_threat_intel(spark, None).count() == 0
+
+
+def test_short_and_long_lists_agree(spark, monkeypatch):
+    """Networks compared in place, and the same ones joined, against the library."""
+    rng = random.Random(15)
+    nets = [str(ipaddress.ip_network((rng.getrandbits(32), rng.randrange(4, 33)), strict=False)) for _ in range(12)] + [str(ipaddress.ip_network((rng.getrandbits(128), rng.randrange(2, 129)), strict=False)) for _ in range(12)] + ["0.0.0.0/32", "ffff::/16", "::/128"]
+    ips = [strange(rng) for _ in range(600)] + [str(ipaddress.ip_network(n)[k]) for n in nets for k in (0, -1)] + ["", None, "0.0.0.0", "::", "0.0.0.1"]
+    rows = spark.createDataFrame([(i, ip) for i, ip in enumerate(ips)], "k int, source_ip string").repartition(3)
+    held = [ipaddress.ip_network(n) for n in nets]
+
+    def inside(ip):
+        try:
+            x = ipaddress.ip_address((ip or "").partition("%")[0])
+        except ValueError:
+            return False
+        return number(ip, type(x)) is not None and any(x in n for n in held if n.version == x.version)
+
+    want = {i for i, ip in enumerate(ips) if inside(ip)}
+    for most in (64, 3):
+        monkeypatch.setattr(cidr, "LITERAL", most)
+        table = networks(spark, nets)
+        assert {r.k for r in cidr.flag_networks(rows, table, "bad").where("bad").collect()} == want
+        assert {r.k for r in cidr.without_networks(rows, table).collect()} == set(range(len(ips))) - want
+    monkeypatch.setattr(cidr, "LITERAL", 64)
+    assert "hashpartitioning" not in cidr.without_networks(rows, networks(spark, nets))._jdf.queryExecution().executedPlan().toString()

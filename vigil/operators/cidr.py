@@ -44,14 +44,52 @@ def contained(addresses: DataFrame, nets: DataFrame, ip_col: str = "source_ip")
     return keys.join(nets.select("version", "prefix_len", "net_key").distinct(), ["version", "prefix_len", "net_key"]).groupBy("ip").agg(F.max("prefix_len").alias("prefix_len"))
 
 
+#: Lists of so many networks at most, such as allowlists, are compared with each address in place; longer ones are joined.
+LITERAL = 64
+
+
+def literal_ranges(nets: DataFrame) -> list[tuple[int, int, int]] | None:
+    """(version, first, last) of each network of a short list, or None for a longer one, of which no more than LITERAL rows are fetched."""
+    rows = nets.select("version", "prefix_len", "net_key").distinct().limit(LITERAL + 1).collect()
+    if len(rows) > LITERAL:
+        return None
+    out = []
+    for r in rows:
+        first = int(r.net_key, 10 if r.version == 4 else 16)
+        out.append((r.version, first, first + (1 << ((32 if r.version == 4 else 128) - r.prefix_len)) - 1))
+    return out
+
+
+def inside_ranges(ip: Column, ranges: list[tuple[int, int, int]]) -> Column:
+    """Whether an address lies in one of the ranges; false for what is no address. Version 6 addresses compare as their digits."""
+    text = {4: lambda n: n, 6: lambda n: f"{n:032x}"}
+    out = F.lit(False)
+    for version, key in ((4, v4_number(ip)), (6, v6_digits(ip))):
+        own = [F.struct(F.lit(text[version](a)).cast("long" if version == 4 else "string").alias("a"), F.lit(text[version](b)).cast("long" if version == 4 else "string").alias("b")) for v, a, b in sorted(ranges) if v == version]
+        if own:
+            out = out | F.coalesce(_in_any(key, F.array(*own)), F.lit(False))
+    return out
+
+
+def _in_any(key: Column, ranges: Column) -> Column:
+    """Whether the key, which is computed once, lies in one of the ranges (a, b)."""
+    return F.get(F.transform(F.array(key), lambda n: F.exists(ranges, lambda r: (n >= r["a"]) & (n <= r["b"]))), F.lit(0))
+
+
 def without_networks(events: DataFrame, nets: DataFrame, ip_col: str = "source_ip") -> DataFrame:
-    """Events outside all networks; null and unparseable addresses stay."""
+    """Events outside all networks; null and unparseable addresses stay. A short list is compared in place, without a shuffle of events."""
+    ranges = literal_ranges(nets)
+    if ranges is not None:
+        return events.where(~inside_ranges(F.col(ip_col), ranges))
     inside = contained(events, nets, ip_col).select(F.col("ip").alias(ip_col))
     return events.join(inside, ip_col, "left_anti").select(*events.columns)
 
 
 def flag_networks(rows: DataFrame, nets: DataFrame, flag: str, ip_col: str = "source_ip") -> DataFrame:
-    """rows with a boolean: does the address lie in any network."""
+    """rows with a boolean: does the address lie in any network. A short list is compared in place."""
+    ranges = literal_ranges(nets)
+    if ranges is not None:
+        return rows.drop(flag).withColumn(flag, inside_ranges(F.col(ip_col), ranges))
     inside = contained(rows, nets, ip_col).select(F.col("ip").alias(ip_col), F.lit(True).alias("__in"))
     return rows.drop(flag).join(inside, ip_col, "left").withColumn(flag, F.coalesce("__in", F.lit(False))).select(*[c for c in rows.columns if c != flag], flag)
 
