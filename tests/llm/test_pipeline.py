@@ -137,7 +137,8 @@ def test_run(spark, sf):
         docs = cut(stage(spark, docs, sf))
     folder = Path(shared_dir(spark).removeprefix("file://"))
     there = set(folder.iterdir())
-    with cuts_made() as made:  # of the last stage: the others note their own
+    with cuts_made() as made:
         pieces = corpus_pipeline.run(spark, sf).collect()
     check_packing(pieces, {r.doc_id: r.text for r in docs.collect()})
-    assert len(set(folder.iterdir()) - there) == len(made) + 1  # the last stage's tables and its input, which its rows are read from
+    left = {p.name for p in set(folder.iterdir()) - there}
+    assert left < {path.rsplit("/", 1)[1] for path in made} and len(left) < len(made) / 3  # of most stages nothing is left; the last one's rows are read from the rest

@@ -80,13 +80,15 @@ def cut(df: DataFrame, sweep: bool = False) -> DataFrame:
 
 @contextmanager
 def cuts_made() -> Iterator[list[str]]:
-    """The paths that cut() writes to inside this context, and in this thread, in their order."""
+    """The paths that cut() writes to inside this context, and in this thread, in their order; an outer context gets them too."""
     made: list[str] = []
     before = _MADE.set(made)
     try:
         yield made
     finally:
         _MADE.reset(before)
+        if (outer := _MADE.get()) is not None:
+            outer.extend(made)
 
 
 def drop_paths(spark: SparkSession, paths: list[str]) -> None:

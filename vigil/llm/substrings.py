@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigil.llm.common import SPACE, cut, gram_hashes, mix, read, span_hashes, text_slices, with_fields, word_bounds
+from vigil.llm.common import SPACE, cut, cuts_made, drop_paths, gram_hashes, mix, read, span_hashes, text_slices, with_fields, word_bounds
 from vigil.llm.fmindex import FMIndex
 
 WINDOW = 20
@@ -240,9 +240,11 @@ def judged(known: DataFrame, level: int = 0) -> DataFrame:
 def covers(held: DataFrame) -> DataFrame:
     """rid, tkey, windows: which windows (a: first of a run, mask: of those that follow) of each text start earlier elsewhere."""
     place = F.struct("rid", "a")
-    found = judged(_distinct(stretches(held, True).withColumn("first", place).withColumn("last", place)))
+    with cuts_made() as made:
+        found = cut(judged(_distinct(stretches(held, True).withColumn("first", place).withColumn("last", place))), sweep=True)
+    drop_paths(held.sparkSession, made[:-1])  # the words of stretches, which the masks don't need
     hits = stretches(held, False).join(found.hint("shuffle_hash"), ["route", "k", "n"]).select("rid", "tkey", "a", _mask_at(place).alias("mask"))
-    return hits.where("mask <> 0").groupBy("rid", "tkey").agg(F.collect_set(F.struct("a", "mask")).alias("windows"))
+    return cut(hits.where("mask <> 0").groupBy("rid", "tkey").agg(F.collect_set(F.struct("a", "mask")).alias("windows")), sweep=True)
 
 
 def _finish(rows: DataFrame, text_out: bool) -> DataFrame:
