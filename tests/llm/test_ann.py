@@ -63,6 +63,20 @@ def test_queries_that_lack_neighbours_see_all(spark, monkeypatch):
     assert recall(got, brute(np.arange(len(x)), x)) >= 0.9
 
 
+def test_recall_where_few_vectors_or_one_group_decide(spark, monkeypatch):
+    monkeypatch.setattr(ann, "SAMPLE_ROWS", 600)
+    monkeypatch.setattr(ann, "JUDGES", 600)
+    monkeypatch.setattr(ann, "EXPECTED", 64)
+    rng = np.random.default_rng(6)
+    huge, group = rng.normal(size=(6000, 16)), rng.normal(size=(6000, 16))
+    huge[:20] *= 50
+    blob = rng.random(6000) < 0.3
+    group[blob] = 2 * group[0] + 1e-3 * rng.normal(size=(blob.sum(), 16))
+    for x in (huge, group):
+        rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(5)
+        assert recall(ann.nearest(rows, F.col("id") % 20 == 0).collect(), brute(np.arange(6000), x)) >= 0.9
+
+
 def test_few_and_no_rows(spark):
     few = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.5]), (2, [-1.0, 0.0])], "vec_id long, embedding array<float>")
     assert [(r.query_id, r.rank, r.vec_id, r.score) for r in ann.nearest(few, F.col("id") % 20 == 0).orderBy("rank").collect()] == [(0, 1, 1, 0.5), (0, 2, 2, -1.0)]

@@ -2,12 +2,13 @@
 
 Coarse centroids and residual codebooks are fitted on a bounded sample. Every vector is filed under its centroid with the code of
 its residual. A query visits the lists of its best centroids and ranks their vectors by asymmetric distance tables; those that the
-sample's scores say may be among the best are scored again exactly. How many lists to visit is set from the sample's own neighbours.
+sample's scores say may be among the best are scored again exactly. Some queries are compared with all vectors first: their true
+neighbours set how many lists are visited and how far down the guessed scores exact ones are computed.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -21,16 +22,18 @@ SAMPLE_ROWS = 20_000
 MAX_LISTS = 4096
 CODES = 256
 PART_DIMS = 8
-#: Share of the sample's neighbours whose lists must be visited.
+#: Queries that are compared with all vectors, share of their neighbours whose lists must be visited, and share that must reach a limit.
+TRIED = 256
 TARGET = 0.96
-#: Vectors in a cell (some short lists or a block of a long one) as long as there are at most MAX_CELLS cells, candidates scored
-#: exactly per query and cell at most, and queries per block.
+REACHED = 0.99
+#: Vectors in a cell (some short lists or a block of a long one) as long as there are at most MAX_CELLS cells, queries per block, and
+#: components of candidates that are scored exactly at once.
 CELL_ROWS = 1024
 MAX_CELLS = 4096
-RERANK = 256
 QUERY_ROWS = 200_000
+SCORED = 1 << 22
 #: Sample rows whose scores tell a query what is worth scoring exactly or returning, how many candidates each query expects to score
-#: exactly in all, and by how much more of the sample than its share is taken for safety.
+#: exactly in all at least, and by how much more of the sample than its share is taken for safety.
 JUDGES = 4096
 EXPECTED = 1024
 SPARE = 1.5
@@ -61,6 +64,7 @@ class Index:
     probes: int
     judges: np.ndarray  # vectors of the sample
     rows: int  # vectors in all
+    spread: tuple[float, float] = (1.0, 1.0)  # by how much more than expected must reach the guessed and the exact limit
 
     def code(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """List and residual codes of each vector."""
@@ -75,10 +79,15 @@ class Index:
 
     def limits(self, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """For each query the guessed score that about EXPECTED vectors reach and the exact one that more than k reach, as far as the
-        sample can tell; half a millionth below, so that rounding decides nothing."""
+        sample can tell, or the multiples of both in `spread`; half a millionth below, so that rounding decides nothing. Where that is
+        all of the sample there is no limit."""
         out = []
-        for x, wanted in ((self.restored(self.judges), EXPECTED), (self.judges, k)):
-            n = min(len(x), int(np.ceil(SPARE * wanted * len(x) / max(self.rows, 1))) + 8)
+        for x, wanted, spread in ((self.restored(self.judges), EXPECTED, self.spread[0]), (self.judges, k, self.spread[1])):
+            n = spread * (SPARE * wanted * len(x) / max(self.rows, 1) + 8)
+            if n >= len(x):
+                out.append(np.full(len(q), -np.inf))
+                continue
+            n = int(np.ceil(n))
             edge = np.concatenate([np.partition(q[i : i + 256] @ x.T, len(x) - n, axis=1)[:, len(x) - n] for i in range(0, len(q), 256)] or [np.zeros(0)])
             out.append(edge - 5e-7 * np.abs(edge))
         return out[0], out[1]
@@ -87,6 +96,21 @@ class Index:
         """The lists that each query visits, best first."""
         return np.argsort(-(q @ self.centroids.T), axis=1, kind="stable")[:, : self.probes]
 
+    def guessed(self, q: np.ndarray, lists: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """The guessed score of a filed vector for each query."""
+        return (q * (self.centroids[lists] + np.concatenate([book[c] for book, c in zip(self.books, codes.T, strict=True)], 1))).sum(1)
+
+    def fitted(self, q: np.ndarray, places: np.ndarray, who: np.ndarray, guess: np.ndarray, score: np.ndarray, k: int) -> Index:
+        """The index with as many visits and such limits as the true neighbours of some queries need. places: of a neighbour's list in
+        the order of visits; who: its query; guess and score: its guessed and exact score."""
+        index = replace(self, probes=min(len(self.centroids), int(np.quantile(places, TARGET, method="higher")) + 1))
+        for side, reached in enumerate((guess, score)):
+            while index.spread[side] < len(self.judges) and (reached >= index.limits(q, k)[side][who]).mean() < REACHED:  # there is no limit at last
+                spread = list(index.spread)
+                spread[side] *= 2
+                index = replace(index, spread=tuple(spread))
+        return index
+
 
 def fit_index(sample: np.ndarray, rows: int, k: int = 20, seed: int = 11) -> Index:
     """Fit centroids, codebooks and the number of visited lists on the sample; rows: how many vectors there are in all."""
@@ -115,7 +139,7 @@ def search_cell(index: Index, q: np.ndarray, q_ids: np.ndarray, visits: list[np.
     stand in order of their ids."""
     out = [[], [], []]
     rows_of = {int(m): np.flatnonzero(lists == m) for m in np.unique(lists)}
-    few = min(RERANK, len(v))
+    step = max(1, SCORED // v.shape[1])
     for first in range(0, len(q), 64):
         part = q[first : first + 64]
         guess = np.full((len(part), len(v)), -np.inf)
@@ -134,11 +158,8 @@ def search_cell(index: Index, q: np.ndarray, q_ids: np.ndarray, visits: list[np.
             guess[np.ix_(who, rows)] = score
         least, lowest = (x[first : first + 64] for x in limits)
         near = (guess >= least[:, None]) & np.isfinite(guess) & (ids != q_ids[first : first + 64, None])
-        for i in np.flatnonzero(near.sum(1) > few):  # of equal guesses those with the smallest ids
-            pick = np.flatnonzero(near[i])
-            near[i, pick[np.argsort(-guess[i, pick], kind="stable")[few:]]] = False
         i, at = np.nonzero(near)
-        exact = (v[at] * part[i]).sum(axis=1)
+        exact = np.concatenate([(v[at[a : a + step]] * part[i[a : a + step]]).sum(axis=1) for a in range(0, len(i), step)] or [np.zeros(0)])
         reach = exact >= lowest[i]
         i, at, exact = i[reach], at[reach], exact[reach]
         order = np.lexsort((ids[at], -exact, i))
@@ -156,6 +177,45 @@ def _usable(vector: Column) -> Column:
     return F.coalesce(fine & F.exists(x, lambda a: a != 0), F.lit(False))
 
 
+def _judged(index: Index, filed: DataFrame, asked: DataFrame, k: int) -> Index:
+    """The index with visits and limits set from the true neighbours, among all filed vectors, of the TRIED asked rows with the smallest
+    hashes of their ids. One pass over the vectors; each task sends k rows for each of these queries."""
+    tried = asked.orderBy(F.xxhash64("id"), "id").limit(TRIED).toArrow()
+    if not tried.num_rows:
+        return index
+    q_ids, q = tried.column("id").to_numpy(), np.asarray(tried.column("v").combine_chunks().flatten()).reshape(tried.num_rows, -1)
+    places = np.argsort(np.argsort(-(q @ index.centroids.T), axis=1, kind="stable"), axis=1)
+
+    def compare(batches):
+        best = None  # of each query: scores, places and guesses
+        for b in batches:
+            if not b.num_rows:
+                continue
+            v, lists = np.asarray(b.column(1).flatten()).reshape(b.num_rows, -1), b.column(2).to_numpy()
+            codes = np.frombuffer(b"".join(b.column(3).to_pylist()), np.uint8).reshape(b.num_rows, len(index.parts))
+            score = q @ v.T
+            score[b.column(0).to_numpy() == q_ids[:, None]] = -np.inf
+            at = np.argpartition(-score, min(k, b.num_rows) - 1, axis=1)[:, :k]
+            who = np.repeat(np.arange(len(q)), at.shape[1])
+            guess = index.guessed(q[who], lists[at.ravel()], codes[at.ravel()]).reshape(at.shape)
+            new = np.stack([np.take_along_axis(score, at, 1), np.take_along_axis(places, lists[at], 1), guess])
+            best = new if best is None else np.concatenate([best, new], axis=2)
+            top = np.argsort(-best[0], axis=1, kind="stable")[:, :k]
+            best = np.take_along_axis(best, top[None], 2)
+        if best is not None:
+            who = np.repeat(np.arange(len(q)), best.shape[2])
+            real = np.isfinite(best[0].ravel())
+            yield pa.record_batch([pa.array(who[real]), *(pa.array(x.ravel()[real]) for x in best)], names=["who", "score", "place", "guess"])
+
+    order = Window.partitionBy("who").orderBy(F.desc("score"), "place")
+    found = filed.select("id", "v", "list", "code").mapInArrow(compare, "who long, score double, place double, guess double")
+    true = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).toArrow()  # TRIED * k rows at most
+    if not true.num_rows:
+        return index
+    who, score, place, guess = (true.column(c).to_numpy() for c in ("who", "score", "place", "guess"))
+    return index.fitted(q, place, who, guess, score, k)
+
+
 def nearest(vectors: DataFrame, queries: Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20) -> DataFrame:
     """query_id, rank, vec_id, score: the k best rows found for each row that `queries` (a condition on the id) selects.
 
@@ -236,6 +296,7 @@ def nearest(vectors: DataFrame, queries: Column, id_col: str = "vec_id", vector_
         return cut(found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k))
 
     asked = cut(rows.where(queries).dropDuplicates(["id"]).select("id", "v"))
+    index = _judged(index, filed, asked, k)
     found = best(asked.mapInArrow(visit, names), asked.count())
     full = found.where(F.col("rank") == k).select(F.col("query_id").alias("id"))
     short = cut(asked.join(full, "id", "left_anti"))  # queries whose lists or limits held too few: these see all
