@@ -6,6 +6,8 @@ Spark can broadcast or shuffle by its size; it is done on the distinct addresses
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,17 +15,22 @@ from pyspark.sql import types as T
 from vigil.functions.ip import v4_masked, v4_number, v6_digits, v6_masked
 
 
-def address_keys(addresses: DataFrame, prefixes: dict[int, list[int]], ip_col: str = "source_ip") -> DataFrame:
+#: How an address's text becomes the number of a version 4 and the digits of a version 6 address.
+Readers = tuple[Callable[[Column], Column], Callable[[Column], Column]]
+STRICT: Readers = (v4_number, v6_digits)
+
+
+def address_keys(addresses: DataFrame, prefixes: dict[int, list[int]], ip_col: str = "source_ip", readers: Readers = STRICT) -> DataFrame:
     """A row for each distinct address and prefix length: ip, version, prefix_len, net_key. Unparseable addresses have none. Mapped
-    version 4 addresses (::ffff:a.b.c.d) count as version 6."""
+    version 4 addresses (::ffff:a.b.c.d) count as version 6. readers: for texts that are no usual spelling of addresses."""
     ips = addresses.where(F.length(ip_col) > 0).select(F.col(ip_col).alias("ip")).distinct()
     parts = []
     if prefixes.get(4):
-        n = v4_number(F.col("ip"))
+        n = readers[0](F.col("ip"))
         own = ips.withColumn("n", n).where("n is not null")
         parts.append(own.select("ip", F.lit(4).alias("version"), "n", F.explode(F.array(*map(F.lit, prefixes[4]))).alias("prefix_len")).select("ip", "version", "prefix_len", v4_masked(F.col("n"), F.col("prefix_len")).alias("net_key")))
     if prefixes.get(6):
-        own = ips.where(F.contains(F.col("ip"), F.lit(":"))).withColumn("d", v6_digits(F.col("ip"))).where("d is not null")
+        own = ips.where(F.contains(F.col("ip"), F.lit(":"))).withColumn("d", readers[1](F.col("ip"))).where("d is not null")
         parts.append(own.select("ip", F.lit(6).alias("version"), "d", F.explode(F.array(*map(F.lit, prefixes[6]))).alias("prefix_len")).select("ip", "version", "prefix_len", v6_masked(F.col("d"), F.col("prefix_len")).alias("net_key")))
     if not parts:
         return ips.sparkSession.createDataFrame([], "ip string, version int, prefix_len int, net_key string")
@@ -101,10 +108,10 @@ def _less(table: DataFrame, prefer: str) -> list[Column]:
     return [(-F.col(n)).alias(f"o{i}") for i, n in enumerate(names)]
 
 
-def longest_match(rows: DataFrame, table: DataFrame, value_col: str, default: str, ip_col: str = "source_ip", prefer: str = "prefix_len") -> DataFrame:
+def longest_match(rows: DataFrame, table: DataFrame, value_col: str, default: str, ip_col: str = "source_ip", prefer: str = "prefix_len", readers: Readers = STRICT) -> DataFrame:
     """rows with the value of the longest network around the address, or of that with the largest `prefer`, such as `narrow` for ranges;
-    equal ones by the smaller value. table: version, prefix_len, net_key, value_col and prefer."""
-    keys = address_keys(rows, prefix_lengths(table), ip_col)
+    equal ones by the smaller value. table: version, prefix_len, net_key, value_col and prefer. readers: as in address_keys()."""
+    keys = address_keys(rows, prefix_lengths(table), ip_col, readers)
     best = keys.join(table, ["version", "prefix_len", "net_key"]).groupBy("ip").agg(F.min_by(value_col, F.struct(*_less(table, prefer), value_col)).alias("__value"))
     joined = rows.drop(value_col).join(best.withColumnRenamed("ip", ip_col), ip_col, "left")
     return joined.withColumn(value_col, F.coalesce("__value", F.lit(default))).select(*[c for c in rows.columns if c != value_col], value_col)

@@ -6,13 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vigil.functions.privacy import decrypt
-from vigil.operators.cidr import flag_networks, longest_match
+from vigil.operators.cidr import STRICT, Readers, flag_networks, longest_match
 
 
-def enrich(incidents: DataFrame, intel: DataFrame | None = None, countries: DataFrame | None = None, scores: DataFrame | None = None, score_default: float | None = None) -> DataFrame:
-    """Incidents with known_bad, country (Unknown by default) and anomaly_score (null by default, reports use 0.0)."""
+def enrich(incidents: DataFrame, intel: DataFrame | None = None, countries: DataFrame | None = None, scores: DataFrame | None = None, score_default: float | None = None, readers: Readers = STRICT) -> DataFrame:
+    """Incidents with known_bad, country (Unknown by default) and anomaly_score (null by default, reports use 0.0). readers: how the
+    search for countries reads addresses."""
     out = flag_networks(incidents, intel, "known_bad") if intel is not None else incidents.withColumn("known_bad", F.lit(False))
-    out = longest_match(out, countries, "country", "Unknown") if countries is not None else out.withColumn("country", F.lit("Unknown"))
+    out = longest_match(out, countries, "country", "Unknown", readers=readers) if countries is not None else out.withColumn("country", F.lit("Unknown"))
     if scores is not None:
         out = out.drop("anomaly_score").join(scores.select("source_ip", "anomaly_score"), "source_ip", "left")
     else:
