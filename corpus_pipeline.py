@@ -37,7 +37,8 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: that of the smallest id. Ids with several texts, repeated rows, null ids and texts
+    """One document of each group of near-duplicates: that of the smallest id. Candidates are the components of op5's trie self-join of
+    fingerprints, of five-word shingles, and what bands of least shingle hashes add beyond its three bits; links are checked exactly. Ids with several texts, repeated rows, null ids and texts
     without words are treated as keep_one() says."""
     return simhash.keep_one(docs)
 

@@ -5,6 +5,7 @@ import re
 
 import numpy as np
 import xxhash
+from pyspark.sql import functions as F
 
 from vigil.llm import simhash
 from vigil.llm.common import read
@@ -123,6 +124,23 @@ def test_near_copies_against_all_pairs(spark, sf):
     assert len({(want[i], n) for i, n in name_of.items()}) == len(set(want.values())) == len(set(name_of.values()))
 
 
+def test_fingerprints_find_copies_that_share_no_band(spark, monkeypatch):
+    rng = random.Random(9)
+    rows = []
+    for i in range(12):
+        words = [f"v{rng.randrange(5000)}" for _ in range(3000)]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join([*words[:1500], "edited", *words[1501:]]))]
+    noted = simhash._noted
+    no_bands = lambda *a, **k: (lambda df: df.withColumn("__bands", F.array().cast("array<long>")) if "__bands" in df.columns else df)(noted(*a, **k))
+    monkeypatch.setattr(simhash, "_noted", no_bands)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    fps = {r.doc_id: r.fp % 2**64 for r in simhash.fingerprints(docs, k=simhash.COPY_SHINGLE).collect()}
+    near = {i for i in range(0, 24, 2) if (fps[i] ^ fps[i + 1]).bit_count() <= simhash.BUDGET}
+    assert len(near) > 6
+    got = {r.doc_id: r.component_id for r in simhash.near_copies(docs).collect()}
+    assert got == {i: i - i % 2 if i - i % 2 in near else i for i in range(24)}
+
+
 def test_keep_one_where_an_id_has_several_texts(spark):
     a, b, c = (" ".join(f"{x}{i}" for i in range(50)) for x in "abc")
     rows = [(1, a), (1, b), (2, a + " end"), (3, b), (3, c), (1, a), (4, c), (None, c)]

@@ -7,8 +7,8 @@ nodes are traversed together from the root, differing bits add up, and a pair of
 Buckets report a star for each local group, not its pairs.
 
 Fingerprints can't hold all pairs whose shingle sets have a similarity of 0.8, which differ in about ten bits: blocks for so many
-are too short to tell texts apart. near_copies() finds those by bands of least shingle hashes and compares the sets of texts that
-meet in a band.
+are too short to tell texts apart. near_copies() takes as candidates the components of the trie self-join of fingerprints, and for
+pairs beyond its reach also texts that meet in a band of least shingle hashes; it compares the sets of both.
 """
 
 from __future__ import annotations
@@ -40,8 +40,10 @@ BANDS, BAND = 20, 4
 #: Different texts of a band, and shingles of theirs, that are compared in one group; larger ones are compared by blocks.
 BLOCK_ROWS = 1_000
 BLOCK_SHINGLES = 500_000
-#: Bands whose links are found first; of all bands only texts that these don't connect are compared then.
+#: Bands whose links are found first, with those in components of fingerprints (which count as band TRIE); of all bands only texts that
+#: these don't connect are compared then.
 FIRST_BANDS = 4
+TRIE = -1
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
@@ -272,7 +274,7 @@ def _bands(sets: np.ndarray, heads: np.ndarray) -> np.ndarray:
 
 
 def _noted(rows: DataFrame, columns: list[str], k: int, bands: bool = False) -> DataFrame:
-    """columns of rows (which has `text`) with __node (a hash of the text's set of shingles) and, if asked for, __bands and __size (of that set)."""
+    """columns of rows (which has `text`) with __node (a hash of the text's set of shingles) and, if asked for, __bands, __size (of that set) and __fp (the fingerprint)."""
     own = columns if "text" in columns else [*columns, "text"]
     rows = rows.select(*own)
     at, width = own.index("text"), len(columns)
@@ -289,9 +291,10 @@ def _noted(rows: DataFrame, columns: list[str], k: int, bands: bool = False) ->
                     keys = _bands(sets, heads[:-1][full]) if full.any() else np.zeros(0, np.uint64)
                     out.append(pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(full * BANDS)]).astype(np.int32), keys.ravel().view(np.int64)))
                     out.append(pa.array(np.diff(heads)))
-                yield pa.RecordBatch.from_arrays(out, names=[*columns, "__node", "__bands", "__size"][: len(out)])
+                    out.append(pa.array(_simhashes(data, offsets, k, SEED).view(">i8").ravel().astype(np.int64)))
+                yield pa.RecordBatch.from_arrays(out, names=[*columns, "__node", "__bands", "__size", "__fp"][: len(out)])
 
-    return rows.mapInArrow(run, with_fields(rows.schema.fields[:width], "__node long" + ", __bands array<long>, __size long" * bands))
+    return rows.mapInArrow(run, with_fields(rows.schema.fields[:width], "__node long" + ", __bands array<long>, __size long, __fp long" * bands))
 
 
 def similar_pairs(sets: list[np.ndarray], side: np.ndarray, root: np.ndarray, similarity: float = SIMILARITY) -> tuple[np.ndarray, np.ndarray]:
@@ -329,15 +332,19 @@ def _compared(met: DataFrame, texts: DataFrame, k: int, similarity: float) -> Da
 
 
 def copy_links(docs: DataFrame, nodes: DataFrame, k: int, similarity: float, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Links (u, v) that connect the nodes (__node, __bands, __size) of the similarity or more: those that share a band and whose sets
-    of shingles, made from the `text` of docs, are so similar.
+    """Links (u, v) that connect the nodes (__node, __bands, __size, __fp) of the similarity or more: those that lie in one component
+    of fingerprints or share a band, and whose sets of shingles, made from the `text` of docs, are so similar.
 
-    First the texts of FIRST_BANDS are compared; a band's many texts are dealt into blocks, twice, and only compared inside those.
+    Components of fingerprints, which near_links() finds, are treated like bands. First the texts of these and of FIRST_BANDS are
+    compared; a band's many texts are dealt into blocks, twice, and only compared inside those.
     As the blocks of both deals and of several bands overlap, that connects a large group of copies in time in proportion to its size.
     Then each band's texts are compared that are not in one component yet: all others with the band's largest component and with
     each other, by blocks. So every pair of a band is compared or connected.
     """
     rows = nodes.select(F.col("__node").alias("node"), F.col("__size").alias("size"), F.posexplode("__bands").alias("pos", "key"))
+    chains = components(near_links(cut(nodes.select(F.col("__fp").alias("fp")).distinct())))
+    of_trie = nodes.join(chains, nodes["__fp"] == chains.u, "left").withColumn("key", F.xxhash64(F.lit(TRIE), F.coalesce("v", "__fp")))
+    rows = rows.unionByName(of_trie.select(F.col("__node").alias("node"), F.col("__size").alias("size"), F.lit(TRIE).alias("pos"), "key"))
     bands = rows.groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("w"), F.min("pos").alias("pos"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("s"), F.min("node").alias("m"))
     bands = bands.where("n > 1").groupBy("n", "w", "s", "m").agg(F.min(F.struct("pos", "key")).alias("at"))  # bands of the same nodes once
     bands = cut(bands.select("at.pos", "at.key", "n", "w"))
@@ -372,7 +379,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     more) for each row; ids as in near_duplicates(). Texts without words are copies of each other."""
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     marked = cut(_noted(rows, ["id"], k, bands=True))
-    nodes = cut(marked.groupBy("__node").agg(F.min("id").alias("least"), F.first("__bands").alias("__bands"), F.first("__size").alias("__size")))
+    nodes = cut(marked.groupBy("__node").agg(F.min("id").alias("least"), F.first("__bands").alias("__bands"), F.first("__size").alias("__size"), F.min("__fp").alias("__fp")))
     linked = components(copy_links(rows, nodes, k, similarity))
     rooted = cut(nodes.join(linked, nodes["__node"] == linked.u, "left").select("__node", "least", F.coalesce("v", "__node").alias("root")))
     names = cut(rooted.groupBy("root").agg(F.min("least").alias("component_id")))
@@ -382,7 +389,8 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one document of each component of near copies, the one of the smallest id, whole and with all its columns, whatever
-    their names. Candidates meet in bands of least shingle hashes and links are checked exactly.
+    their names. Candidates lie in one component of the trie self-join of fingerprints or meet in a band of least shingle hashes, and
+    links are checked exactly.
 
     Where rows of that id have several texts in the component, that of the least hash stays; of repeated rows of both one stays. Rows
     with a null id can't stand for a component and all stay. Null and empty texts and texts of white space alone are copies of each
