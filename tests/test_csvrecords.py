@@ -76,3 +76,11 @@ def test_messages_can_forge_no_events(small_splits, tmp_path):
         (tmp_path / f"{name}.csv").write_bytes(out.getvalue().encode())
     got = sorted((r.event_type, r.source_ip, r.username, r.port) for r in logs.read_windows(small_splits, str(tmp_path)).collect())
     assert got == sorted(({"4625": "failed_login", "4624": "successful_login"}[r[1]], r[3], r[4], int(r[5])) for r in rows * 2)
+
+
+def test_lines_are_not_shuffled(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('h1,h2\n1,"x\ny"\n2,z\n')
+    plan = csv_records(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    windows = [line for line in plan.splitlines() if "Window [" in line]
+    assert windows and not any("from_out" in line and "value" in line for line in windows) and "windowspecdefinition(source_file#" in plan
+    assert not any("split#" in line.split("], [")[1] for line in windows)  # no window over the lines of a split
