@@ -351,3 +351,12 @@ def test_techniques_near_those_of_incidents(spark):
     incidents = spark.createDataFrame([("port_scan", ("T1046",)), ("port_scan", ("T1046",))], "incident_type string, mitre struct<id:string>")
     got = similar_techniques(incidents, techniques, 2).orderBy("rank").collect()
     assert [(r.incident_type, r.technique_id, r.rank) for r in got] == [("port_scan", "T1046", 1), ("port_scan", "T1", 2)]
+
+
+def test_cells_make_no_rows_of_pairs(spark):
+    rng = np.random.default_rng(3)
+    items = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(300, 6)))], "item_id long, embedding array<float>")
+    queries = items.where("item_id % 10 = 0").withColumnRenamed("item_id", "query_id")
+    got = vectors.similar_in_cells(queries, items, cells=4, probes=4)  # all cells
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, vectors.similar(queries, items).collect()))
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()

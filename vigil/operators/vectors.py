@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 #: Queries and items of a group of similar(), about.
 QUERY_ROWS = 1_000
 ITEM_ROWS = 10_000
+#: Queries of a group of similar_in_cells(), about: every item of a cell goes to each group of its queries.
+CELL_QUERIES = 20_000
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -117,21 +119,35 @@ def embed(rows: DataFrame, text: str, dims: int = 384, vector: str = "embedding"
 
 def similar_in_cells(queries: DataFrame, corpus: DataFrame, k: int = 3, cells: int = 50, probes: int = 8, query_id: str = "query_id", item_id: str = "item_id", vector: str = "embedding", sample: float = 1.0) -> DataFrame:
     """Like similar(), over the nearest k-means cells of each query only; for corpora too large to score in full. The centres come
-    from a share of the corpus."""
+    from a share of the corpus. In a cell, blocks of queries and items meet in groups that keep what may be among the k best of a query, as
+    in similar(); pairs are never rows."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    rows = lambda df: df.withColumn("__v", array_to_vector(F.transform(vector, lambda x: x.cast("double") / F.sqrt(dot(F.col(vector), F.col(vector))))))
+    length = F.array(F.sqrt(dot(F.col(vector), F.col(vector))))  # computed once for each vector, not for each component
+    rows = lambda df: df.withColumn("__v", array_to_vector(F.get(F.transform(length, lambda n: F.transform(vector, lambda x: x.cast("double") / n)), F.lit(0))))
     held = rows(corpus.where(dot(F.col(vector), F.col(vector)) > 0))
     model = KMeans(k=cells, seed=42, maxIter=10, featuresCol="__v", predictionCol="__cell").fit(held if sample >= 1 else held.sample(sample, seed=42))
     centres = np.array(model.clusterCenters())
     distance = lambda c: -dot(F.col(vector), F.array(*map(F.lit, c.tolist()))) / F.sqrt(dot(F.col(vector), F.col(vector))) + float(c @ c) / 2
     near = F.slice(F.array_sort(F.array(*(F.struct(distance(c).alias("d"), F.lit(i).alias("cell")) for i, c in enumerate(centres)))), 1, probes)
-    q = queries.select(F.col(query_id).alias("query_id"), F.col(vector).alias("__q"), F.explode(near["cell"]).alias("__cell"))
-    c = model.transform(held).select(F.col(item_id).alias("item_id"), F.col(vector).alias("__c"), "__cell")
-    scored = c.join(q, "__cell").select("query_id", "item_id", cosine(F.col("__q"), F.col("__c")).alias("s"))
-    w = Window.partitionBy("query_id").orderBy(F.desc("s"), "item_id")
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "item_id", F.round("s", 3).alias("similarity"), "rank")
+    q = queries.where(dot(F.col(vector), F.col(vector)) > 0).select(F.col(query_id).alias("query_id"), F.col(vector).alias("v"), F.explode(near["cell"]).alias("cell"))
+    c = model.transform(held).select(F.col(item_id).alias("item_id"), F.col(vector).alias("v"), F.col("__cell").alias("cell"))
+    blocks = max(1, math.ceil(q.count() / (cells * CELL_QUERIES)))
+    parts = max(1, math.ceil(c.count() / (cells * ITEM_ROWS)))
+    deal = lambda name, n: F.pmod(F.xxhash64(name, "v"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    q = q.select("*", deal("query_id", blocks).alias("block"), every(parts).alias("part"))
+    c = c.select("*", deal("item_id", parts).alias("part"), every(blocks).alias("block"))
+
+    def run(a: pa.Table, b: pa.Table) -> pa.Table:
+        r, at = best_of(_matrix(a), _matrix(b), k) if a.num_rows and b.num_rows else (np.zeros(0, int), np.zeros(0, int))
+        mine, found = a.take(r), b.take(at)
+        return pa.table({"query_id": mine.column("query_id"), "item_id": found.column("item_id"), "q": mine.column("v"), "c": found.column("v")})
+
+    kind = lambda df, name: df.schema[name].dataType.simpleString()
+    best = q.groupBy("cell", "block", "part").cogroup(c.groupBy("cell", "block", "part")).applyInArrow(run, f"query_id {kind(q, 'query_id')}, item_id {kind(c, 'item_id')}, q {kind(q, 'v')}, c {kind(c, 'v')}")
+    return _ranked(best.select("query_id", "item_id", cosine(F.col("q"), F.col("c")).alias("s")), k)
 
 
 def similar_techniques(incidents: DataFrame, techniques: DataFrame, k: int = 3, vector: str = "embedding") -> DataFrame:
