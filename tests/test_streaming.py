@@ -78,6 +78,37 @@ def test_state_is_bounded_and_can_be_seeded(spark, tmp_path):
     assert again == {r.source_ip for r in found.where("source_ip >= 's2'").collect()}
 
 
+def test_python_state_grows_with_reported_sources_alone(spark, tmp_path):
+    """100 sources of 60 events, every tenth with a window that is reported: the processor keeps a row for each of those ten, none for an
+    event; incidents are those of the batch operator, whatever the parts, and rows without a time are left out."""
+    schema = "event_type string, source_ip string, event_time timestamp, port int"
+    quiet, busy = ([60 * 9 * i for i in range(60)], [60 * 9 * min(i, 40) + 20 * max(i - 40, 0) for i in range(60)])
+    rows = [(kind, f"s{k}", T0 + timedelta(seconds=at), i % 30 + 1) for kind in ("failed_login", "connection") for k in range(100) for i, at in enumerate(quiet if k % 10 else busy)]
+    df = spark.createDataFrame([*rows, ("failed_login", "s1", None, 1), ("connection", "s1", None, 1)], schema)
+    flush = spark.createDataFrame([("failed_login", "flush", T0 + timedelta(days=3), 1), ("connection", "flush", T0 + timedelta(days=3), 1)], schema)
+    df.union(flush).coalesce(2).write.parquet(str(tmp_path / "in"))
+    got = lambda rows: sorted((r.source_ip, r.first_seen, r.last_seen, r.event_count, tuple(r.details.unique_ports or ())) for r in rows.collect())
+    cfg = RuleConfig(port_scan_count=8)
+    for name, stream, batch, more in (("brute", detectors.stream_brute_force, detect.brute_force, {}), ("scan", detectors.stream_port_scan, detect.port_scan, {"parts": 4})):
+        q = run(stream(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), cfg, "1 minute", **more), tmp_path / name, tmp_path / f"cp-{name}")
+        found, want = got(spark.read.parquet(str(tmp_path / name))), got(batch(df, cfg))
+        kept = [o["numRowsUpdated"] for p in q.recentProgress for o in p["stateOperators"] if o["operatorName"].startswith("transformWithState")]
+        assert found == want and len(want) == 10 and sum(kept) <= 10
+
+
+def test_a_forgotten_source_is_reported_again(spark, tmp_path):
+    """Five events a burst, 10 minutes a window, 30 to remember: a burst at 0 is reported, those that start up to minute 40 are not, be they
+    in one batch or in several whose watermarks lie between; the next one is."""
+    schema = "event_type string, source_ip string, event_time timestamp"
+    for parts, batches in ((2, [(0, 25, 39, 41, 60, 200)]), (1, [(0, 25), (39, 41), (60, 200)])):
+        base = tmp_path / str(parts)
+        for batch in batches:
+            rows = [("failed_login", "a", T0 + timedelta(minutes=at, seconds=i)) for at in batch for i in range(5)]
+            spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(base / "in"))
+            run(detectors.stream_brute_force(spark.readStream.schema(schema).parquet(str(base / "in")), RuleConfig(), "0 minutes", forget_minutes=30, parts=parts), base / "out", base / "cp")
+        assert sorted((r.first_seen - T0).seconds // 60 for r in spark.read.parquet(str(base / "out")).collect()) == [0, 41]
+
+
 def test_a_retried_batch_skips_sinks_that_finished(spark, tmp_path):
     """The second of three sinks breaks after half of its work: on the next start each ends with each row once."""
     schema = "source_ip string, n int"

@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
@@ -16,95 +15,98 @@ from vigil.operators.sliding import tumbling_rule
 
 
 class FirstWindow(StatefulProcessor):
-    """Emits, for each source once, the earliest window with enough events (or distinct values), with its whole count: a window is
-    judged when the watermark has passed its end, so the result equals the batch operator's for events that are not late.
+    """Emits, for each source once, the earliest window with enough events (or distinct values), with its whole count. Rows are buckets
+    (see _stream_rule) that are over: `low`, where the windows of the bucket start, and t, sorted, and v of the events they may hold.
 
-    State holds how often each time and value came, and one timer is pending, for the first window that may end. With `forget_us` a
-    source that was reported is forgotten so long after its window and may be reported again: then state is bounded by the sources of
-    that time. Without, a mark of each reported source stays. Stored incidents can be the initial state: their sources count as
-    reported, by their windows."""
+    State is the end of the reported window, of sources that were reported. With `forget_us` they are forgotten so long after it, and a
+    window that starts later is reported again: then state is bounded by the sources of that time. Without, the mark of each reported
+    source stays. Stored incidents can be the initial state: their sources count as reported, by their windows.
 
-    def __init__(self, span_us: int, least: int, distinct: bool, forget_us: int | None = None):
-        self.span, self.least, self.distinct, self.forget = span_us, least, distinct, forget_us
+    Each call on a state is an exchange with Spark; there are a few for a source and batch, none for an event."""
+
+    def __init__(self, span_us: int, step_us: int, least: int, distinct: bool, forget_us: int | None = None):
+        self.span, self.step, self.least, self.distinct, self.forget = span_us, step_us, least, distinct, forget_us
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.seen = handle.getMapState("seen", "t long, v long", "n long")
-        self.due = handle.getValueState("due", "t long")
         self.done = handle.getValueState("done", "t long")
 
+    def _forgotten(self, end: int) -> int:
+        """When the last bucket with a start that is still known is over."""
+        return end + self.forget + self.span + self.step
+
     def _reported(self, end: int) -> None:
         self.done.update((end,))
         if self.forget is not None:
-            self.handle.registerTimer((end + self.forget) // 1000 + 1)
+            self.handle.registerTimer(self._forgotten(end) // 1000 + 1)
 
     def handleInitialState(self, key, initialState, timerValues) -> None:
-        self._reported(int(initialState["t"].max()) + self.span)
-
-    def _wait(self, t: int) -> None:
-        self.handle.registerTimer(t // 1000 + 1)
-        self.due.update((t,))
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        if self.done.exists():
-            return iter([])
-        first = None
-        for part in rows:
-            for (t, v), n in part.groupby(["t", "v"]).size().items():
-                at = (int(t), int(v))
-                self.seen.updateValue(at, ((self.seen.getValue(at)[0] if self.seen.containsKey(at) else 0) + int(n),))
-            low = int(part["t"].min())
-            first = low if first is None else min(first, low)
-        if first is not None and (not self.due.exists() or first + self.span < self.due.get()[0]):
-            self._wait(first + self.span)
-        return iter([])
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now = int(timerValues.getCurrentWatermarkInMs()) * 1000
-        if self.done.exists():
-            if self.forget is not None and self.done.get()[0] + self.forget < now:
-                self.done.clear()
-            return
-        events = sorted((int(t), int(v), int(n[0])) for (t, v), n in self.seen.iterator())
-        inside: dict[int, int] = {}
-        first = last = total = 0
-        while first < len(events) and events[first][0] + self.span < now:
-            start = events[first][0]
-            while last < len(events) and events[last][0] <= start + self.span:
-                inside[events[last][1]] = inside.get(events[last][1], 0) + events[last][2]
-                total += events[last][2]
+        self._reported(int(initialState.t) + self.span)
+
+    def _first(self, row: Row, low: int) -> Row | None:
+        """The first window of a bucket that starts at `low` or later."""
+        t, inside, last = row.t, {}, 0
+        for first, start in enumerate(t):
+            if start >= row.low + self.step:
+                return None
+            while last < len(t) and t[last] <= start + self.span:
+                if self.distinct:
+                    inside[row.v[last]] = inside.get(row.v[last], 0) + 1
                 last += 1
-            count = len(inside) if self.distinct else total
-            if count >= self.least:
-                self.seen.clear()
-                self.due.clear()
-                self._reported(start + self.span)
-                yield pd.DataFrame({"source_ip": [key[0]], "first": [start], "last": [events[last - 1][0]], "event_count": [count], "ports": [sorted(inside) if self.distinct else []]})
-                return
-            while first < len(events) and events[first][0] == start:  # the window moves on to the next time
-                t, v, n = events[first]
-                inside[v] -= n
-                total -= n
-                if not inside[v]:
-                    del inside[v]
-                self.seen.removeKey((t, v))
-                first += 1
-        self.due.clear()
-        if first < len(events):
-            self._wait(events[first][0] + self.span)
+            count = len(inside) if self.distinct else last - first
+            if start >= low and count >= self.least:
+                return Row(source_ip=row.source_ip, first=start, last=t[last - 1], event_count=count, ports=sorted(inside))
+            if self.distinct:
+                inside[row.v[first]] -= 1
+                if not inside[row.v[first]]:
+                    del inside[row.v[first]]
+        return None
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        done = self.done.get()
+        best = None
+        if self.forget is None and done is None:
+            for row in rows:
+                if best is None or row.low < best.first:
+                    best = self._first(row, row.low) or best
+            if best is not None:
+                yield best
+        elif self.forget is not None:
+            end = None if done is None else done[0]
+            for row in sorted(rows, key=lambda row: row.low):
+                found = self._first(row, row.low if end is None else max(row.low, end + self.forget + 1))
+                if found is not None:
+                    best, end = found, found.first + self.span
+                    yield best
+        if best is not None:
+            self._reported(best.first + self.span)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        done = self.done.get()
+        if done is not None and self._forgotten(done[0]) < timerValues.getCurrentWatermarkInMs() * 1000:
+            self.done.clear()
+        return iter([])
 
     def close(self) -> None:
         pass
 
 
-def _stream_rule(events: DataFrame, kind: str, window_min: int, least: int, distinct: bool, delay: str, forget_minutes: int | None, stored: DataFrame | None) -> DataFrame:
-    value = F.col("port").cast("long") if distinct else F.lit(0).cast("long")
-    rows = events.withWatermark("event_time", delay).select("source_ip", "event_time", micros(F.col("event_time")).alias("t"), value.alias("v"))
+def _stream_rule(events: DataFrame, kind: str, window_min: int, least: int, distinct: bool, delay: str, forget_minutes: int | None, stored: DataFrame | None, parts: int) -> DataFrame:
+    """Starts of windows are dealt into buckets, `parts` to a window's length, and Spark's own aggregation gathers what a bucket's windows
+    may hold until the watermark has passed it; buckets with too few events go, the others meet what is known of their source."""
+    span, step = window_min * 60_000_000, window_min * 60_000_000 // parts
+    seen = events.where(F.col("event_time").isNotNull()).withWatermark("event_time", delay)
+    bucket = F.window("event_time", f"{span + step} microseconds", f"{step} microseconds").alias("bucket")
+    t = micros(F.col("event_time"))
+    gathered = F.collect_set(F.struct(t.alias("t"), F.col("port").cast("long").alias("v"))) if distinct else F.collect_list(F.struct(t.alias("t")))
+    full = seen.groupBy("source_ip", bucket).agg(F.array_sort(gathered).alias("e"))
+    values = F.col("e.v") if distinct else F.lit(None).cast("array<long>")
+    rows = full.where(F.size(F.array_distinct("e.v") if distinct else "e") >= least).select("source_ip", "bucket", micros(F.col("bucket.start")).alias("low"), F.col("e.t").alias("t"), values.alias("v"))
     known = None
     if stored is not None:
         known = stored.where((F.col("incident_type") == kind) & F.col("first_seen").isNotNull()).groupBy("source_ip").agg(F.max(micros(F.col("first_seen"))).alias("t")).groupBy("source_ip")
-    out = rows.groupBy("source_ip").transformWithStateInPandas(
-        FirstWindow(window_min * 60_000_000, least, distinct, None if forget_minutes is None else forget_minutes * 60_000_000),
+    out = rows.groupBy("source_ip").transformWithState(
+        FirstWindow(span, step, least, distinct, None if forget_minutes is None else forget_minutes * 60_000_000),
         outputStructType="source_ip string, first long, last long, event_count int, ports array<int>", outputMode="Append", timeMode="EventTime", initialState=known,
     )
     ports = F.col("ports") if distinct else F.lit(None).cast("array<int>")
@@ -112,23 +114,24 @@ def _stream_rule(events: DataFrame, kind: str, window_min: int, least: int, dist
     return rate(out.select(F.lit(kind).alias("incident_type"), "source_ip", F.timestamp_micros("first").alias("first_seen"), F.timestamp_micros("last").alias("last_seen"), "event_count", details.alias("details")))
 
 
-def stream_brute_force(events: DataFrame, cfg: RuleConfig = RuleConfig(), delay: str = "10 minutes", forget_minutes: int | None = None, stored: DataFrame | None = None) -> DataFrame:
+def stream_brute_force(events: DataFrame, cfg: RuleConfig = RuleConfig(), delay: str = "10 minutes", forget_minutes: int | None = None, stored: DataFrame | None = None, parts: int = 1) -> DataFrame:
     """Streaming brute_force(). Needs the RocksDB state store provider. forget_minutes: how long after its window a reported source is
-    remembered (always, if not given). stored: incidents (incident_type, source_ip, first_seen) that a new query starts from."""
+    remembered (always, if not given). stored: incidents (incident_type, source_ip, first_seen) that a new query starts from. A window
+    is judged when the watermark has passed its end and, at most, one part of its length more; an event is held `parts` + 1 times."""
     rows = events.where((F.col("event_type") == "failed_login") & (F.length("source_ip") > 0))
-    return _stream_rule(rows, "brute_force", cfg.brute_force_window, cfg.brute_force_count, False, delay, forget_minutes, stored)
+    return _stream_rule(rows, "brute_force", cfg.brute_force_window, cfg.brute_force_count, False, delay, forget_minutes, stored, parts)
 
 
-def stream_port_scan(events: DataFrame, cfg: RuleConfig = RuleConfig(), delay: str = "10 minutes", forget_minutes: int | None = None, stored: DataFrame | None = None) -> DataFrame:
+def stream_port_scan(events: DataFrame, cfg: RuleConfig = RuleConfig(), delay: str = "10 minutes", forget_minutes: int | None = None, stored: DataFrame | None = None, parts: int = 1) -> DataFrame:
     """Streaming port_scan(); arguments as in stream_brute_force()."""
     rows = events.where((F.col("event_type") == "connection") & (F.length("source_ip") > 0) & (F.col("port") != 0))
-    return _stream_rule(rows, "port_scan", cfg.port_scan_window, cfg.port_scan_count, True, delay, forget_minutes, stored)
+    return _stream_rule(rows, "port_scan", cfg.port_scan_window, cfg.port_scan_count, True, delay, forget_minutes, stored, parts)
 
 
-def stream_flood_404(events: DataFrame, cfg: RuleConfig = RuleConfig(), delay: str = "10 minutes", forget_minutes: int | None = None, stored: DataFrame | None = None) -> DataFrame:
+def stream_flood_404(events: DataFrame, cfg: RuleConfig = RuleConfig(), delay: str = "10 minutes", forget_minutes: int | None = None, stored: DataFrame | None = None, parts: int = 1) -> DataFrame:
     """Streaming flood_404(); arguments as in stream_brute_force()."""
     rows = events.where((F.col("event_type") == "http_404") & (F.length("source_ip") > 0))
-    return _stream_rule(rows, "flood_404", cfg.flood_404_window, cfg.flood_404_count, False, delay, forget_minutes, stored)
+    return _stream_rule(rows, "flood_404", cfg.flood_404_window, cfg.flood_404_count, False, delay, forget_minutes, stored, parts)
 
 
 def stream_tumbling(events: DataFrame, span_s: int, least: int, delay: str = "10 minutes") -> DataFrame:
